@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import exact_dedup, mixing
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
+    "op2_exact_dedup": exact_dedup.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_exact_dedup": exact_dedup.ORACLE,
+}
