@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, lm_ppm, mixing
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_exact_dedup": exact_dedup.query,
+    "op3_lm_score": lm_ppm.query,
 }
 
 ORACLES: dict[str, str] = {
