@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, lm_ppm, mixing
+from . import exact_dedup, lm_ppm, mixing, packing
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_lm_score": lm_ppm.query,
+    "op4_pack_best_fit": packing.query,
 }
 
 ORACLES: dict[str, str] = {
