@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, lm_ppm, mixing, packing
+from . import ann, exact_dedup, lm_ppm, mixing, packing
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_lm_score": lm_ppm.query,
     "op4_pack_best_fit": packing.query,
+    "op5_ann_one_bit": ann.query,
 }
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op5_ann_one_bit": ann.ORACLE,
 }
