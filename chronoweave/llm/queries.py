@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, lm_ppm, mixing, packing
+from . import ann, exact_dedup, langid, lm_ppm, mixing, packing
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_lm_score": lm_ppm.query,
     "op4_pack_best_fit": packing.query,
     "op5_ann_one_bit": ann.query,
+    "op7_language_id": langid.query,
 }
 
 ORACLES: dict[str, str] = {
