@@ -30,43 +30,45 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ORDER = 5
+ORDER = 4
 END = 10  # white space never occurs in a word, so a line feed can stand for the end
 FLUSH = 400_000
+SLICE = 50_000
 #: Groups with a trie of their own; the smallest of more share the last.
 MAX_GROUPS = 64
 _SHIFT = 8 * (ORDER + 1)
 _GROUP = _SHIFT + 4
 
 
-def _events(words: list[bytes], orders: range) -> tuple[np.ndarray, np.ndarray]:
-    """Keys order << _SHIFT | context << 8 | symbol of every position, for each order that fits; and their word's index.
+def _events(words: list[bytes]):
+    """Keys depth << _SHIFT | context << 8 | symbol of every position with its longest context, and the word's index.
 
-    orders range(ORDER, ORDER + 1) stands for the longest context of each position alone.
+    In slices of SLICE words, each a pair of arrays.
     """
-    text = np.frombuffer(b" " + b" ".join(words) + b" ", dtype=np.uint8).astype(np.int64)
-    space = np.flatnonzero(text == 32)
-    owner = np.repeat(np.arange(len(words)), np.diff(space))
-    at = np.arange(1, len(text))
-    depth = np.minimum(at - space[:-1][owner], ORDER)
-    symbol = text[1:]
-    context = np.zeros((ORDER + 1, len(at)), dtype=np.int64)  # by order; garbage where it doesn't fit
-    for j in range(1, ORDER + 1):
-        back = np.zeros(len(at), dtype=np.int64)
-        back[j - 1 :] = text[: len(at) - j + 1]
-        context[j] = context[j - 1] | back << 8 * (j - 1)
-    if len(orders) == 1:
-        return depth << _SHIFT | context[depth, np.arange(len(at))] << 8 | symbol, owner
-    keys, owners = [], []
-    for j in orders:
-        fits = depth >= j
-        keys.append((j << _SHIFT | context[j] << 8 | symbol)[fits])
-        owners.append(owner[fits])
-    return np.concatenate(keys), np.concatenate(owners)
-
-
-#: The events of the end, longest context first.
-_END_KEYS = (1 << _SHIFT | 32 << 8 | END, END)
+    for low in range(0, len(words), SLICE):
+        some = words[low : low + SLICE]
+        text = np.frombuffer(b" " + b" ".join(some) + b" ", dtype=np.uint8)
+        space = np.flatnonzero(text == 32)
+        owner = np.repeat(np.arange(low, low + len(some)), np.diff(space))
+        at = np.arange(1, len(text))
+        depth = np.minimum(at - np.repeat(space[:-1], np.diff(space)), ORDER)
+        key = depth << _SHIFT | text[1:]
+        for j in range(1, ORDER + 1):
+            fits = np.flatnonzero(depth >= j)
+            key[fits] |= text[at[fits] - j].astype(np.int64) << 8 * j
+        yield key, owner
+
+
+def _summed(keys: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, weight = np.concatenate(keys), np.concatenate(weights)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[start], np.add.reduceat(weight[order], start)
+
+
+#: The event of the end, after the space that stands before a word.
+_END_KEY = 1 << _SHIFT | 32 << 8 | END
 
 
 def _words(text: bytes | None) -> list[bytes]:
@@ -85,16 +87,15 @@ def _count(batches):
     def flush(group, counts, docs):
         words = [*counts]
         n = np.fromiter(counts.values(), np.int64, len(words))
-        if words:
-            keys, owner = _events(words, range(ORDER + 1))
-            keys, where = np.unique(keys, return_inverse=True)
-            sums = np.bincount(where, weights=n[owner]).astype(np.int64)
-        else:
-            keys = sums = np.zeros(0, np.int64)
-        none_e, none_w = pa.nulls(len(words), pa.int64()), pa.nulls(len(keys) + 3, pa.binary())
+        keys, sums = [], []
+        for key, owner in _events(words):
+            key, sum_ = _summed([key], [n[owner]])
+            keys.append(key), sums.append(sum_)
+        keys, sums = _summed([*keys, np.array([_END_KEY])], [*sums, np.array([docs])])
+        none_e, none_w = pa.nulls(len(words), pa.int64()), pa.nulls(len(keys) + 1, pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), none_e, pa.array(n)], schema=_COUNTS)
-        keys = pa.array([*(keys | group << _GROUP), *(k | group << _GROUP for k in _END_KEYS), -1 - group], pa.int64())
-        yield pa.RecordBatch.from_arrays([none_w, keys, pa.array([*sums, docs, docs, docs], pa.int64())], schema=_COUNTS)
+        keys = pa.array(np.append(keys | group << _GROUP, -1 - group))
+        yield pa.RecordBatch.from_arrays([none_w, keys, pa.array(np.append(sums, docs))], schema=_COUNTS)
 
     counts, docs = {}, Counter()
     for b in batches:
@@ -132,7 +133,8 @@ def _ask(table):
     for text in table["text"]:
         words.update(_words(text.as_py()))
     words = [*words]
-    keys = np.unique(_events(words, range(ORDER, ORDER + 1))[0]) if words else np.zeros(0, np.int64)
+    keys = [np.unique(key) for key, _ in _events(words)]
+    keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
     n, m = len(words), len(keys)
     return pa.table([pa.array([chunk] * (n + m), pa.int64()), pa.array(words + [None] * m, pa.binary()), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(keys)])], schema=_ASKED)
 
@@ -153,27 +155,38 @@ def _distribution(nodes: dict, order: int, context: int) -> tuple[dict, float]:
     return out, math.log10(escape / max(1, 256 - len(out)))
 
 
-def _node(tries: dict, event: int, n: int) -> None:
-    order = event >> _SHIFT & 15
-    tries.setdefault(event >> _GROUP, {}).setdefault((order, event >> 8 & (1 << 8 * ORDER) - 1), {})[event & 255] = n
+def _tries(low: list[tuple[int, int]], counts=()) -> dict:
+    """Nodes {(order, context): {symbol: n}} by group; low: (event of one context byte, n), counts: longest events.
+
+    An event counts for every suffix of its context; contexts under two bytes are counted in low alone.
+    """
+    tries: dict = {}
+    for event, n in low:
+        nodes = tries.setdefault(event >> _GROUP, {})
+        for at in ((1, event >> 8 & 255), (0, 0)):
+            node = nodes.setdefault(at, {})
+            node[event & 255] = node.get(event & 255, 0) + n
+    for event, n in counts:
+        nodes, symbol, context = tries.setdefault(event >> _GROUP, {}), event & 255, event >> 8
+        for j in range(2, (event >> _SHIFT & 15) + 1):
+            node = nodes.setdefault((j, context & (1 << 8 * j) - 1), {})
+            node[symbol] = node.get(symbol, 0) + n
+    return tries
 
 
 def _score_events(groups: list[int], low: list[tuple[int, int]]):
-    """A shard's counts and the events asked for to log10 probabilities by group; low: counts of contexts under two bytes."""
+    """A shard's counts and the events asked for to log10 probabilities by group."""
 
     def run(counts, asked):
-        tries: dict = {}
-        for event, n in low:
-            _node(tries, event, n)
-        for event, n in zip(counts["event"].to_pylist(), counts["n"].to_pylist()):
-            _node(tries, event, n)
+        tries = _tries(low, zip(counts["event"].to_pylist(), counts["n"].to_pylist()))
         events, logp, at, dist = sorted(asked["event"].to_pylist()), [], None, []
         for event in events:
             if event >> 8 != at:
                 at = event >> 8
                 dist = [_distribution(tries.get(g, {}), event >> _SHIFT, at & (1 << 8 * ORDER) - 1) for g in groups]
             logp.append([known.get(event & 255, other) for known, other in dist])
-        return pa.table({"event": pa.array(events, pa.int64()), "logp": pa.array(logp, pa.list_(pa.float64()))})
+        packed = [row.tobytes() for row in np.array(logp, dtype="<f8").reshape(len(events), len(groups))]
+        return pa.table({"event": pa.array(events, pa.int64()), "logp": pa.array(packed, pa.binary())})
 
     return run
 
@@ -192,12 +205,13 @@ def _score_chunk(total: int, distinct: int, end: int, share: list[float], end_lo
         model = np.zeros((len(words), len(share)))
         if words:
             events = answers.filter(pa.compute.invert(is_word))
-            key, logp = events["event"].to_numpy(), events["logp"].combine_chunks().flatten().to_numpy().reshape(-1, len(share))
+            key, logp = events["event"].to_numpy(), np.frombuffer(b"".join(events["logp"].to_pylist()), "<f8").reshape(-1, len(share))
             order = np.argsort(key)
-            asked, owner = _events(words, range(ORDER, ORDER + 1))
-            at = order[np.searchsorted(key[order], asked)]
-            for g in range(len(share)):
-                model[:, g] = np.bincount(owner, weights=logp[at, g], minlength=len(words))
+            key = key[order]
+            for asked, owner in _events(words):
+                at = order[np.searchsorted(key, asked)]
+                for g in range(len(share)):
+                    model[owner[0] : owner[-1] + 1, g] = np.bincount(owner - owner[0], weights=logp[at, g])
         index = {w: i for i, w in enumerate(words)}
         tokens, seen, base_sum, score = [], [], [], []
         for text in docs["text"]:
@@ -222,10 +236,9 @@ def score(docs: DataFrame, counts: DataFrame, held_out: Column, id_col="doc_id",
     by_group = {-1 - r.event: r.n for r in counts.where(is_docs).collect()} or {0: 0}  # MAX_GROUPS rows at most
     groups, end = sorted(by_group), sum(by_group.values())
     total, distinct = (sums.n or 0) + end, sums.v + (end > 0)
-    low = [(r.event, r.n) for r in counts.where(~is_docs & (order < 2)).select("event", "n").collect()]
-    tries: dict = {}
-    for event, n in low:
-        _node(tries, event, n)
+    one = F.shiftleft(F.shiftright("event", _GROUP), _GROUP).bitwiseOR(F.col("event").bitwiseAND(0xFFFF))
+    low = [(r.event, r.n) for r in counts.where(~is_docs).groupBy(one.alias("event")).agg(F.sum("n").alias("n")).collect()]
+    tries = _tries(low)
     at_start = [_distribution(tries.get(g, {}), 1, 32) for g in groups]
     end_logp = [known.get(END, other) for known, other in at_start]
     share = [(by_group[g] + 1) / (end + len(groups)) for g in groups]
@@ -239,10 +252,10 @@ def score(docs: DataFrame, counts: DataFrame, held_out: Column, id_col="doc_id",
     shard = F.shiftright("event", 8).bitwiseAND(0xFFFF).alias("shard")
     nodes_by_shard = counts.where(~is_docs & (order >= 2)).select("event", "n", shard)
     asked_by_shard = asked.where(is_event).select("event").distinct().select("event", shard)
-    logp = nodes_by_shard.groupBy("shard").cogroup(asked_by_shard.groupBy("shard")).applyInArrow(_score_events(groups, low), "event long, logp array<double>")
+    logp = nodes_by_shard.groupBy("shard").cogroup(asked_by_shard.groupBy("shard")).applyInArrow(_score_events(groups, low), "event long, logp binary")
     zero, none = F.lit(0).cast("long"), F.lit(None)
-    for_words = asked.where(is_word).select("chunk", "word").join(counts.where(is_word).select("word", "n"), "word", "left")
-    for_words = for_words.select("chunk", "word", none.cast("long").alias("event"), F.coalesce("n", zero).alias("n"), none.cast("array<double>").alias("logp"))
+    for_words = asked.where(is_word).select("chunk", "word").join(counts.where(is_word).select("word", "n").hint("shuffle_hash"), "word", "left")
+    for_words = for_words.select("chunk", "word", none.cast("long").alias("event"), F.coalesce("n", zero).alias("n"), none.cast("binary").alias("logp"))
     for_events = asked.where(is_event).select("chunk", "event").join(logp, "event")
     for_events = for_events.select("chunk", none.cast("binary").alias("word"), "event", zero.alias("n"), "logp")
     answers = for_words.unionByName(for_events)
