@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, langid, lm_ppm, mixing, packing
+from . import ann, exact_dedup, langid, lm_ppm, mixing, packing, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_pack_best_fit": packing.query,
     "op5_ann_one_bit": ann.query,
     "op7_language_id": langid.query,
+    "op8_warc": warc.query,
+    "op9_toxicity": toxicity.query,
 }
 
 ORACLES: dict[str, str] = {
