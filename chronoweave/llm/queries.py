@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, langid, lm_ppm, mixing, packing, toxicity, warc
+from . import ann, exact_dedup, langid, lm_ppm, mixing, packing, pii, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_lm_score": lm_ppm.query,
     "op4_pack_best_fit": packing.query,
     "op5_ann_one_bit": ann.query,
+    "op6_pii_boosted": pii.query,
     "op7_language_id": langid.query,
     "op8_warc": warc.query,
     "op9_toxicity": toxicity.query,
