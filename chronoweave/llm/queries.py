@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, langid, lm_ppm, mixing, packing, pii, toxicity, warc
+from . import ann, exact_dedup, jaccard, langid, lm_ppm, mixing, packing, pii, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_language_id": langid.query,
     "op8_warc": warc.query,
     "op9_toxicity": toxicity.query,
+    "op10_ngram_jaccard_join": jaccard.query,
 }
 
 ORACLES: dict[str, str] = {
