@@ -1,4 +1,6 @@
 """Registered queries of the temporal operators."""
 
-QUERIES = {}
-ORACLES = {}
+from . import q_graph
+
+QUERIES = {**q_graph.QUERIES}
+ORACLES = {**q_graph.ORACLES}
