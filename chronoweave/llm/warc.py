@@ -45,7 +45,7 @@ def base32_sha1(data: Column) -> Column:
 
 
 def _record_id(page: Column, digest: Column) -> Column:
-    h = F.sha1(F.concat_ws("|", F.coalesce(page.cast("string"), F.lit("-")), digest).cast("binary"))
+    h = F.sha1(F.concat_ws("|", F.coalesce(F.concat(F.lit("p"), page.cast("string")), F.lit("n")), digest).cast("binary"))
     parts = [F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -86,8 +86,9 @@ def write(pages: DataFrame, path: str, revisit_from: int = 0, page_col="page_id"
     metadata = captures.select(_record(F.lit("metadata"), other("metadata", "application/warc-fields"), F.concat(about, F.lit("\r\n"))).alias("value"))
 
     once = common.free_name(rows.columns, "_nth")
-    bodies = rows.select(F.col("page").alias("_page"), F.col("digest").alias("_digest"), "html").withColumn(once, F.row_number().over(Window.partitionBy("_page", "_digest").orderBy(F.lit(0)))).where(F.col(once) == 1)
-    full = captures.where("NOT again").join(bodies, F.col("page").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")))
+    bodies = rows.select(_record_id(F.col("page"), F.col("digest")).alias("id"), "html")  # one key, so that one shuffle serves both
+    bodies = bodies.withColumn(once, F.row_number().over(Window.partitionBy("id").orderBy(F.lit(0)))).where(F.col(once) == 1)
+    full = captures.where("NOT again").join(bodies, "id")
     responses = full.select(_record(F.lit("response"), [*common_headers, *kind], F.concat(head, F.col("html"))).alias("value"))
     small = revisits.unionByName(requests).unionByName(metadata)
     for records, mode in ((responses, "errorifexists"), (small, "append")):
