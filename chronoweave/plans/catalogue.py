@@ -1,6 +1,6 @@
 """Registered queries of the temporal operators."""
 
-from . import q_graph
+from . import q_graph, q_text
 
-QUERIES = {**q_graph.QUERIES}
-ORACLES = {**q_graph.ORACLES}
+QUERIES = {**q_graph.QUERIES, **q_text.QUERIES}
+ORACLES = {**q_graph.ORACLES, **q_text.ORACLES}
