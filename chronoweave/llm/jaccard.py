@@ -6,8 +6,8 @@ them as its label. Two texts of similarity t share the first k values of some tr
 threshold. Nodes that share such a prefix form a bucket of a sorted prefix trie. In a bucket a node proposes the hub (most
 estimated neighbours) and the partners with the longest common prefix and best estimated similarity; proposals are
 verified on the full shingle sets. Then components are taken and buckets that still hold several are asked again for
-pairs across components that were not verified yet, twice as many each round, until a round finds none.
-So links that could join two components are not lost, and a group of copies of any size costs a few pairs a member.
+pairs across components that were not verified yet, twice as many each round, until a round links nothing new.
+So a node with a link is asked until it is connected, and a group of copies of any size costs a few pairs a member.
 
 A bucket over BLOCK members is dealt into blocks at random, anew in each round and tree; components in it send delegates
 to later rounds, so no group is gathered in one task.
@@ -122,17 +122,34 @@ def _documents(texts):
         yield got
 
 
-def _sketch(batches):
-    """Batches (.., text) to (.., sig): the minima as big-endian 32-bit numbers, null without words."""
-    for b in batches:
-        sig = np.full(b.num_rows, None, dtype=object)
-        for index, hashes, begin in _documents(b.column(b.num_columns - 1).to_pylist()):
-            x = (hashes >> np.uint64(32)).astype(np.uint32)
-            minima = np.empty((len(begin), TREES * DEPTH), dtype=">u4")
-            for i in range(TREES * DEPTH):
-                minima[:, i] = np.minimum.reduceat(x * _MUL[i] + _ADD[i], begin)
-            sig[index] = [row.tobytes() for row in minima]
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sig, pa.binary())], names=[*b.schema.names[:-1], "sig"])
+def _sketch(k: int):
+    """Batches (.., text) to (.., prefixes, sig), both null without words.
+
+    prefixes: a 64-bit hash of each tree's first k minima; sig: the lowest byte of each minimum, to estimate from.
+    """
+
+    def run(batches):
+        for b in batches:
+            sig, prefixes = (np.full(b.num_rows, None, dtype=object) for _ in range(2))
+            for index, hashes, begin in _documents(b.column(b.num_columns - 1).to_pylist()):
+                x = (hashes >> np.uint64(32)).astype(np.uint32)
+                minima = np.empty((len(begin), TREES * DEPTH), dtype=np.uint32)
+                for i in range(TREES * DEPTH):
+                    minima[:, i] = np.minimum.reduceat(x * _MUL[i] + _ADD[i], begin)
+                sig[index] = [row.tobytes() for row in minima.astype(np.uint8)]
+                prefixes[index] = [row.tobytes() for row in _prefixes(minima, k)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(prefixes, pa.binary()), pa.array(sig, pa.binary())], names=[*b.schema.names[:-1], "prefixes", "sig"])
+
+    return run
+
+
+def _prefixes(minima: np.ndarray, k: int) -> np.ndarray:
+    """(rows, TREES) 64-bit hashes of each tree's first k minima."""
+    out = np.zeros((len(minima), TREES), dtype=np.uint64)
+    for t in range(TREES):
+        for i in range(k):
+            out[:, t] = _mixed(out[:, t] * np.uint64(_BASE) + minima[:, t * DEPTH + i].astype(np.uint64) + np.uint64(t + 1))
+    return out
 
 
 def _sets(batches):
@@ -170,10 +187,10 @@ def _propose(k_min: int, partners: int, least: float):
         for i in range(total):
             equal = sig[:, i][:, None] == sig[:, i]
             same += equal
-            if tree * DEPTH <= i < (tree + 1) * DEPTH:
+            if tree * DEPTH + k_min <= i < (tree + 1) * DEPTH:
                 alive &= equal
                 prefix += alive
-        same[(comp[:, None] == comp) | (prefix < k_min)] = -1
+        same[comp[:, None] == comp] = -1
         fits = same >= least * total
         if not fits.any():
             return
@@ -213,7 +230,7 @@ def _propose(k_min: int, partners: int, least: float):
         for low, high in zip(cut[:-1], cut[1:]):
             if high - low < 2 or all(c == comp[low] for c in comp[low + 1 : high]):
                 continue
-            sig = np.frombuffer(b"".join(raw[low:high]), ">u4").reshape(high - low, total)
+            sig = np.frombuffer(b"".join(raw[low:high]), np.uint8).reshape(high - low, total)
             for x, y in pairs(tree[low], node[low:high], np.unique(np.array(comp[low:high], dtype=object), return_inverse=True)[1], sig):
                 p, q = node[low + x], node[low + y]
                 a.append(min(p, q)), b.append(max(p, q))
@@ -227,13 +244,24 @@ def _key(text):
     return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
-def _members(nodes: DataFrame, k_min: int) -> DataFrame:
-    """(bucket, tree, node, sig) of all buckets with two nodes or more."""
-    prefixes = F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.substring("sig", 4 * DEPTH * t + 1, 4 * k_min)).alias("bucket")) for t in range(TREES)])
+def _members(nodes: DataFrame) -> DataFrame:
+    """(bucket, tree, node) of all buckets with two nodes or more."""
+    prefixes = F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.substring("prefixes", 8 * t + 1, 8)).alias("bucket")) for t in range(TREES)])
     each = nodes.where(F.col("sig").isNotNull()).select("key", F.explode(prefixes).alias("p")).select(F.col("p.bucket").alias("bucket"), F.col("p.tree").alias("tree"), F.col("key").alias("node"))
     shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("bucket").alias("_bucket"))
-    found = each.join(shared, each["bucket"] == shared["_bucket"]).drop("_bucket")
-    return common.stage(found.join(nodes.select(F.col("key").alias("node"), "sig"), "node"), "buckets")
+    return common.stage(each.join(shared, each["bucket"] == shared["_bucket"]).drop("_bucket"), "buckets")
+
+
+def _delegates(members: DataFrame, comps: DataFrame, round_: int) -> DataFrame:
+    """(bucket, tree, node, comp) of the buckets that still hold several components, DELEGATES of each at most.
+
+    Which ones changes with the round; the smallest hash in each of DELEGATES shares is found without a sort.
+    """
+    live = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_ = live.groupBy("bucket").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("bucket")
+    h = F.xxhash64(F.lit(round_), "bucket", "node")
+    some = live.join(open_, "bucket", "left_semi").groupBy("bucket", "comp", F.pmod(h, F.lit(DELEGATES)).alias("_share")).agg(F.min(F.struct(h.alias("h"), "tree", "node")).alias("r"))
+    return some.select("bucket", "r.tree", "r.node", "comp")
 
 
 def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col="doc_id", text_col="text") -> tuple[DataFrame, DataFrame, DataFrame | None]:
@@ -242,27 +270,21 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     base = docs.select(F.col(id_col).alias("doc_id"), _key(text).alias("key"), text.alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    rows = common.stage(base.mapInArrow(_sketch, f"doc_id {kind}, key binary, sig binary"), "sketches")
-    nodes = common.stage(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("sig").alias("sig")), "nodes")
-    members = _members(nodes, k_min)
+    rows = common.stage(base.mapInArrow(_sketch(k_min), f"doc_id {kind}, key binary, prefixes binary, sig binary"), "sketches")
+    nodes = common.stage(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("prefixes").alias("prefixes"), F.min("sig").alias("sig")), "nodes")
+    members = _members(nodes)
 
-    asked = members.select(F.col("node").alias("key")).distinct().join(nodes.select("key", "first"), "key")
-    asked = asked.select(F.col("key").alias("_key"), F.col("first").alias("_first"))
-    texts = base.join(asked, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_first"))).select("key", "text")
-    sets = common.stage(texts.mapInArrow(_sets, "key binary, shingles binary"), "shingles").dropDuplicates(["key"])
+    asked = common.stage(members.select(F.col("node").alias("key")).distinct().join(nodes.select("key", "first", "sig"), "key"), "asked")
+    wanted = asked.select(F.col("key").alias("_key"), F.col("first").alias("_first"))
+    texts = base.join(wanted, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_first"))).select("key", "text")
+    sets = common.stage(texts.mapInArrow(_sets, "key binary, shingles binary").dropDuplicates(["key"]), "shingles")
+    sigs = asked.select(F.col("key").alias("node"), "sig")
 
     least = max(0.0, threshold - SLACK * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5)
-    seen, found, comps, partners, round_ = None, None, None, 1, 0
+    seen, found, comps, partners, round_ = None, None, None, 2, 0
     while True:
-        if comps is None:
-            live = members.withColumn("comp", F.col("node"))
-        else:
-            live = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            open_ = live.groupBy("bucket").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("bucket")
-            salt = F.xxhash64(F.lit(round_), "bucket", "node")
-            live = live.join(open_, "bucket", "left_semi").groupBy("bucket", "comp", F.pmod(salt, F.lit(DELEGATES)).alias("salt"))
-            live = live.agg(F.min(F.struct(salt.alias("h"), "tree", "node", "sig")).alias("r")).select("bucket", "comp", "r.tree", "r.node", "r.sig")
-        live = common.stage(live.select("bucket", "tree", "node", "comp", "sig"), "live")
+        live = members.withColumn("comp", F.col("node")) if comps is None else _delegates(members, comps, round_)
+        live = common.stage(live.join(sigs, "node").select("bucket", "tree", "node", "comp", "sig"), "live")
         sizes = live.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).withColumnRenamed("bucket", "_bucket")
         dealt = live.join(sizes, live["bucket"] == F.col("_bucket"), "left")
         block = F.pmod(F.xxhash64(F.lit(round_), "bucket", "node"), F.ceil(F.coalesce("n", F.lit(1)) / F.lit(BLOCK)).cast("long")).cast("int")
@@ -271,13 +293,13 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = common.stage(pairs, "pairs")
-        if pairs.isEmpty():
-            break
         with_a = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
         with_b = with_a.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
         checked = common.stage(with_b.mapInArrow(_verify(threshold), "a binary, b binary, near boolean"), "verified")
-        seen = checked.select("a", "b") if seen is None else seen.unionByName(checked.select("a", "b"))
         near = checked.where("near").select("a", "b")
+        if near.isEmpty():
+            break
+        seen = checked.select("a", "b") if seen is None else seen.unionByName(checked.select("a", "b"))
         found = near if found is None else found.unionByName(near)
         comps = components(found)
         partners, round_ = partners * 2, round_ + 1
