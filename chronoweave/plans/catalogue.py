@@ -1,6 +1,6 @@
 """Registered queries of the temporal operators."""
 
-from . import q_graph, q_text
+from . import q_graph, q_narrative, q_text
 
-QUERIES = {**q_graph.QUERIES, **q_text.QUERIES}
-ORACLES = {**q_graph.ORACLES, **q_text.ORACLES}
+QUERIES = {**q_graph.QUERIES, **q_text.QUERIES, **q_narrative.QUERIES}
+ORACLES = {**q_graph.ORACLES, **q_text.ORACLES, **q_narrative.ORACLES}
