@@ -72,7 +72,7 @@ def macro(counts: DataFrame) -> DataFrame:
 def report(detail: DataFrame) -> DataFrame:
     """Lines of the text report: line_no, line."""
     scores = overall(detail).crossJoin(macro(confusion(detail)))  # one row each
-    percent = lambda title, c: F.format_string(f"{title:<25}%.1f%%%%", F.col(c) * 100)
+    percent = lambda title, c: F.format_string(f"{title:<25}%.1f%%", F.col(c) * 100)
     number = lambda title, c: F.format_string(f"{title:<25}%.3f", F.col(c))
     head = [
         F.lit("=" * 50), F.lit("          Temporal Reasoning Evaluation           "), F.lit("=" * 50), F.format_string(f"{'Total Examples:':<25}%d", F.col("total")),
