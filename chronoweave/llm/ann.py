@@ -98,7 +98,7 @@ def _search(k: int, bound: float, seed: int, out: pa.Schema):
 def search(codes: DataFrame, is_query: Column, k: int = 5, bound: float = BOUND, seed: int = SEED, query_block: int = QUERY_BLOCK, data_block: int = DATA_BLOCK) -> DataFrame:
     """The k nearest other rows of each row that is_query picks, by cosine: query_id, rank, vec_id, score."""
     n = {r.dim: (r.n, r.q) for r in codes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).collect()}
-    sizes = F.lit(None)
+    sizes = F.lit(None).cast("array<int>")
     for dim, (rows, asked) in n.items():  # a few dimensions
         sizes = F.when(F.col("dim") == dim, F.array(F.lit(-(-rows // data_block)), F.lit(max(1, -(-asked // query_block))))).otherwise(sizes)
     hashed = F.xxhash64("vec_id")

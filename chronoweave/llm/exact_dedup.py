@@ -13,6 +13,7 @@ and SHA-256, the operator raises. An empty table gives no rows; other columns ar
 from __future__ import annotations
 
 import pickle
+import shutil
 import tempfile
 
 import pyarrow as pa
@@ -99,6 +100,15 @@ class RadixTrie:
         for key, value in self._walk(node.kids[most], prefix):
             pickle.dump((key, value), out.file, pickle.HIGHEST_PROTOCOL)
             self.keys -= 1
+        todo = [node.kids[most]]
+        while todo:  # what was spilled from the subtree before goes along
+            inner = todo.pop()
+            if isinstance(inner, _Spilled):
+                inner.file.seek(0)
+                shutil.copyfileobj(inner.file, out.file)
+                inner.file.close()
+            else:
+                todo.extend(inner.kids.values())
         node.kids[most] = out
         self.size = max(0, self.size - sizes[most])
 

@@ -81,7 +81,7 @@ def predict(langs: list[str], prior: np.ndarray, logp: np.ndarray, texts) -> tup
     """Language and its posterior probability of each text."""
     texts = [t if isinstance(t, str) else None for t in texts]
     total = np.tile(prior, (len(texts), 1))
-    for index, starts, rows in _slabs(texts):
+    for index, starts, rows in _slabs(texts) if langs else ():
         for row in rows:
             np.add.at(total, index, np.add.reduceat(logp[row], starts, axis=0))
     lang, score = [], []

@@ -118,15 +118,11 @@ def copies(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: fl
 
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", **options) -> DataFrame:
     """The mixed corpus: every row of docs as often as its copies say, with the columns of docs."""
-    cols = docs.columns
     chosen = copies(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where(F.col("copies") > 0)
-    chosen = chosen.select(*[F.col(c).alias(f"_mix_{c}") for c in ("doc_id", "source", "size", "copies")])
-    joined = docs.join(
-        chosen,
-        docs[id_col].eqNullSafe(F.col("_mix_doc_id")) & docs[source_col].eqNullSafe(F.col("_mix_source")) & (common.word_count(docs[text_col]) == F.col("_mix_size")),
-    )
-    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))).alias("_mix_n")
-    return joined.select(*[docs[c] for c in cols], again).drop("_mix_n")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), common.word_count(F.col(text_col)).alias("_size"))
+    joined = rows.join(chosen, F.col("_id").eqNullSafe(F.col("doc_id")) & F.col("_source").eqNullSafe(F.col("source")) & (F.col("_size") == F.col("size")))
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_n")
+    return joined.select("row", again).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

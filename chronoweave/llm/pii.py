@@ -56,7 +56,7 @@ def luhn(number: Column) -> Column:
     turned = F.reverse(number)
 
     def add(total, i):
-        d = F.substring(turned, i, F.lit(1)).cast("int") * F.when(i % 2 == 0, 2).otherwise(1)
+        d = F.coalesce(F.substring(turned, i, F.lit(1)).try_cast("int"), F.lit(0)) * F.when(i % 2 == 0, 2).otherwise(1)
         return total + F.when(d > 9, d - 9).otherwise(d)
 
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(number), F.lit(1))), F.lit(0), add) % 10 == 0
@@ -108,8 +108,12 @@ def _overlaps(a: Column, b: Column) -> Column:
 
 
 def candidates(docs: DataFrame, text_col="text") -> DataFrame:
-    """docs without its text, with base: array<struct<kind, start, stop>> and cand: the same and bits, positive."""
-    text, base, cand = (common.free_name(docs.columns, n) for n in ("_text", "base", "cand"))
+    """docs without its text, with base: array<struct<kind, start, stop>> and cand: the same and bits, positive.
+
+    Columns of docs that have those names, or spans, are dropped.
+    """
+    docs, base, cand = docs.drop("base", "cand", "spans"), "base", "cand"
+    text = common.free_name(docs.columns, "_text")
     rows = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
     t = F.col(text)
     asked = {"email": F.contains(t, F.lit("@")) | F.regexp_like(t, F.lit(r"[\[(]at[\])]")), "other": F.regexp_like(t, F.lit("[0-9]"))}
@@ -217,10 +221,11 @@ def detect(docs: DataFrame, text_col="text") -> DataFrame:
     model = boost(cells)
     least = F.array(*[F.lit(x) for x in thresholds(cells, model)])
     good = F.filter("cand", lambda c: (_scored(with_kind(c), model) >= F.element_at(least, c["kind"] + 1)) & ~F.exists("base", lambda b: _overlaps(b, c)))
-    rows = rows.withColumn("_good", F.when(F.size("cand") > 0, good).otherwise(F.array().cast(rows.schema["cand"].dataType)))
-    alone = F.filter("_good", lambda c: ~F.exists("_good", lambda o: (o["kind"] < c["kind"]) & _overlaps(o, c)))
+    chosen = common.free_name(rows.columns, "_good")
+    rows = rows.withColumn(chosen, F.when(F.size("cand") > 0, good).otherwise(F.array().cast(rows.schema["cand"].dataType)))
+    alone = F.filter(chosen, lambda c: ~F.exists(chosen, lambda o: (o["kind"] < c["kind"]) & _overlaps(o, c)))
     added = F.transform(alone, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop")))
-    return rows.select(*[c for c in rows.columns if c not in ("cand", "_good")], F.array_sort(F.concat("base", added)).alias("spans"))
+    return rows.select(*[c for c in rows.columns if c not in ("cand", chosen)], F.array_sort(F.concat("base", added)).alias("spans"))
 
 
 def digest(spans: Column) -> Column:
