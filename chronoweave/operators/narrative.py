@@ -366,6 +366,12 @@ def gap(original: DataFrame, twin: DataFrame, metrics: list[str], key: str = "st
     return original.join(other, key).select(key, *[(F.col(m) - F.col(f"_{m}")).alias(f"{m}_gap") for m in metrics])
 
 
+def display(scored: DataFrame) -> DataFrame:
+    """Edges with a hue from red (0) to green (120) for their score and a fixed jitter of -0.5 to 0.5 for their ends."""
+    jitter = F.pmod(F.hash("story_id", "node_i", "node_j"), F.lit(1000)) / 1000 - 0.5
+    return scored.withColumns({"hue": F.round(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)) * 120).cast("int"), "jitter": jitter})
+
+
 def node_scores(scored: DataFrame) -> DataFrame:
     """Mean score, number and display radius of the edges at each node."""
     ends = scored.select("story_id", F.explode(F.array("node_i", "node_j")).alias("id"), "score")

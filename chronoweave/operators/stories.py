@@ -93,6 +93,10 @@ def problems(threads: DataFrame, events: DataFrame, links: DataFrame, pairs: Dat
         say(ends.where("thread_id_i = thread_id_j"), "convergence_in_one_thread", joint),
         say(ends.where(apart), "convergence_without_instant", joint),
     ]
+    if "label" in threads.columns and "text" in events.columns:
+        first = F.filter(F.split(F.element_at(F.split("label", ","), 1), r"\s+"), lambda w: F.regexp_like(w, F.lit("^[A-Z]")))
+        own = events.join(threads.select("story_id", F.col("id").alias("thread_id"), first.alias("_names")), ["story_id", "thread_id"])
+        found.append(say(own.where(F.exists("_names", lambda w: F.contains(opening(F.col("text")), w))), "opens_with_own_name", F.col("id")))
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)

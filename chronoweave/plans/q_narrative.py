@@ -317,7 +317,7 @@ def _(spark, d):
 @query("story_problems", f"""WITH {_PAIRS}, {_THREADS}, c AS (SELECT th.story_id, th.id, count(ev.id) AS n FROM th LEFT JOIN ev ON ev.story_id = th.story_id AND ev.thread_id = th.id GROUP BY 1, 2),
 cr AS (SELECT g.story_id, count(*) FILTER (p.thread_id <> q.thread_id) AS n FROM gold g JOIN ev p ON p.story_id = g.story_id AND p.id = node_i JOIN ev q ON q.story_id = g.story_id AND q.id = node_j GROUP BY 1)
 SELECT 'events_per_thread' AS problem, count(*) AS n FROM c WHERE n NOT BETWEEN 9 AND 12 UNION ALL SELECT 'cross_thread_edges', count(*) FROM cr WHERE n NOT BETWEEN 3 AND 7
-UNION ALL SELECT 'convergence_without_instant', count(*) FROM gp JOIN ev p ON p.story_id = gp.story_id AND p.id = gp.a JOIN ev q ON q.story_id = gp.story_id AND q.id = gp.b WHERE NOT (p.s = q.s OR p.s = q.e OR p.e = q.s OR p.e = q.e)""")
+UNION ALL SELECT 'opens_with_own_name', count(*) FROM ev UNION ALL SELECT 'convergence_without_instant', count(*) FROM gp JOIN ev p ON p.story_id = gp.story_id AND p.id = gp.a JOIN ev q ON q.story_id = gp.story_id AND q.id = gp.b WHERE NOT (p.s = q.s OR p.s = q.e OR p.e = q.s OR p.e = q.e)""")
 def _(spark, d):
     ev, pairs, _ = _pairs(spark, d)
     return stories.problems(_threads(ev), ev, _links(ev), pairs).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
@@ -406,6 +406,11 @@ def _(spark, d):
     return stories.leakage(_threads(ev), ev)
 
 
+@query("edge_display", f"WITH {_SCORED} SELECT story_id, node_i, node_j, round(score * 120)::BIGINT AS hue FROM sc")
+def _(spark, d):
+    return narrative.display(_scored(spark, d)).select("story_id", "node_i", "node_j", F.col("hue").cast("long"))
+
+
 @query("node_mean_score", f"WITH {_SCORED}, n AS (SELECT story_id, node_i AS id, score FROM sc UNION ALL SELECT story_id, node_j, score FROM sc) SELECT story_id, id, round(avg(score), 9) AS mean_score FROM n GROUP BY 1, 2")
 def _(spark, d):
     return _rounded(narrative.node_scores(_scored(spark, d)).select("story_id", "id", "mean_score"), "mean_score")

@@ -14,6 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 POSTS, REPLIES, TIMEOUT = 8, 7, 240
+#: Prompts of the extraction calls; {passage} and {so_far} are filled in.
+PROMPTS = {
+    "node": "Read the numbered sentences below. Each describes one event. Decide which storyline each event belongs to and give every storyline a short id.\n\n{passage}\n\nAnswer with JSON: {\"nodes\": [{\"id\": \"s1\", \"thread_id\": \"T1\"}, ...]}.",
+    "edge": "Read the numbered sentences and the events found in them. Name the interval relation between events that the text relates, with one of: " + ", ".join(("equals", "before", "after", "meets", "met-by", "overlaps", "overlapped-by", "starts", "started-by", "during", "contains", "finishes", "finished-by")) + ". Also list groups of events of different storylines that share one moment.\n\n{passage}\n\nEvents: {so_far}\n\nAnswer with JSON: {\"edges\": [{\"node_i\": \"s1\", \"node_j\": \"s2\", \"allen_relation\": \"before\", \"evidence_span\": \"...\"}], \"convergence_points\": [{\"members\": [\"s1\", \"s4\"], \"shared_detail\": \"...\"}]}.",
+    "critique": "Here are numbered sentences and what was found in them. Which moments shared by events of different storylines were missed?\n\n{passage}\n\nFound so far: {so_far}\n\nAnswer with JSON: {\"edges\": [], \"convergence_points\": [{\"members\": [\"s1\", \"s4\"], \"shared_detail\": \"...\"}]}.",
+    "direct": "Read the numbered sentences below. Assign each to a storyline, put all of them into the order in which they happened, and list pairs that happened at the same moment.\n\n{passage}\n\nAnswer with JSON: {\"events\": [{\"id\": \"s1\", \"thread_id\": \"T1\"}], \"global_order\": [\"s1\"], \"convergence_points\": [[\"s1\", \"s2\"]]}.",
+}
 
 
 class Model(Protocol):

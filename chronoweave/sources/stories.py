@@ -21,6 +21,15 @@ MANIFEST = "stories array<struct<id:string,dir:string,title:string>>"
 REPLIES = {"node": "nodes array<struct<id:string,thread_id:string>>", "edge": f"edges array<{EDGE}>, convergence_points array<struct<members:array<string>,shared_detail:string>>", "direct": "events array<struct<id:string,thread_id:string>>, global_order array<string>, convergence_points array<array<string>>"}
 
 
+#: Specs from which stories are built: intervals in minutes, edges as pairs, ordered renames.
+SPEC = f"story_id string, title string, source string, threads array<{THREAD}>, events array<struct<id:string,thread_id:string,time_expr:string,text:string,start:int,end:int>>, edges array<array<string>>, convergence_points array<array<string>>, counterfactual_names array<struct<old:string,new:string>>"
+
+
+def read_specs(spark: SparkSession, pattern: str) -> DataFrame:
+    """Interval specs as JSON; nothing in a spec is executed."""
+    return spark.read.schema(SPEC).option("multiLine", True).json(pattern)
+
+
 def _named(df: DataFrame, pattern: str, *names: str) -> DataFrame:
     path = F.input_file_name()
     return df.withColumns({n: F.nullif(F.regexp_extract(path, pattern, i + 1), F.lit("")) for i, n in enumerate(names)})
