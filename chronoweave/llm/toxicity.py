@@ -38,6 +38,8 @@ RATIO = 8.0
 #: Shortest term that may be misspelled.
 FUZZY_LEN = 5
 THRESHOLD = 0.3
+#: Weight of a misspelling that the training documents don't hold, as a share of its term's.
+UNSEEN = 0.75
 WINDOW = 6
 QUOTED = 0.25
 CACHE = 400_000
@@ -243,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     near = [Counter(i for x in some for i, _, _ in x) for some in plain]
     t0, c0 = map(len, plain)
     fuzzy_odds = lambda i: math.log((near[0][i] + 0.5) / (t0 + 1)) - math.log((near[1][i] + 0.5) / (c0 + 1))
-    fuzzy = [fuzzy_odds(i) if near[0][i] + near[1][i] else exact[i] / 2 for i in range(len(terms))]
+    fuzzy = [fuzzy_odds(i) if near[0][i] + near[1][i] else exact[i] * UNSEEN for i in range(len(terms))]
     x = np.array([features(h, exact, fuzzy) for h in each])
     weight = np.where(y == 1, known[1] / t, known[0] / c)
     return terms, exact, fuzzy, _logistic(x, y, weight / weight.mean())
