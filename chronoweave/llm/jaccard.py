@@ -33,6 +33,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 TREES = 14
+#: Trees that the first round asks; the others only see what those left apart.
+FIRST_TREES = 4
 DEPTH = 5
 #: Estimates this far below the threshold are not verified: four standard deviations of TREES * DEPTH draws.
 SLACK = 4.0
@@ -260,10 +262,23 @@ def _delegates(members: DataFrame, comps: DataFrame, round_: int) -> DataFrame:
     live = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_ = live.groupBy("bucket").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("bucket")
     h = F.xxhash64(F.lit(round_), "bucket", "node")
-    some = live.join(open_, "bucket", "left_semi").groupBy("bucket", "comp", F.pmod(h, F.lit(DELEGATES)).alias("_share")).agg(F.min(F.struct(h.alias("h"), "tree", "node")).alias("r"))
+    some = live.join(open_, "bucket", "left_semi").repartition("bucket", "node").groupBy("bucket", "comp", F.pmod(h, F.lit(DELEGATES)).alias("_share")).agg(F.min(F.struct(h.alias("h"), "tree", "node")).alias("r"))
     return some.select("bucket", "r.tree", "r.node", "comp")
 
 
+def _joined(comps: DataFrame | None, near: DataFrame) -> DataFrame:
+    """Components (node, comp) after more links; only what the links join is looked at again."""
+    if comps is None:
+        return components(near)
+    to = lambda side: comps.select(F.col("node").alias(side), F.col("comp").alias(f"_{side}"))
+    ends = near.join(to("a"), "a", "left").join(to("b"), "b", "left").select("a", "b", F.coalesce("_a", "a").alias("_a"), F.coalesce("_b", "b").alias("_b"))
+    ends = common.stage(ends, "ends")
+    merged = components(ends.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()).toDF("_node", "_comp")
+    fresh = ends.select(F.col("a").alias("node"), F.col("_a").alias("comp")).unionByName(ends.select(F.col("b").alias("node"), F.col("_b").alias("comp")))
+    every = comps.unionByName(fresh).distinct()
+    return common.stage(every.join(merged, every["comp"] == merged["_node"], "left").select("node", F.coalesce("_comp", "comp").alias("comp")).distinct(), "comps")
+
+
 def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col="doc_id", text_col="text") -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(rows: doc_id and key of every row; verified links a, b between keys; components or None without links)."""
     k_min = prefix_length(threshold, recall)
@@ -281,9 +296,9 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     sigs = asked.select(F.col("key").alias("node"), "sig")
 
     least = max(0.0, threshold - SLACK * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5)
-    seen, found, comps, partners, round_ = None, None, None, 2, 0
+    seen, found, comps, partners, round_ = None, None, None, 1, 0
     while True:
-        live = members.withColumn("comp", F.col("node")) if comps is None else _delegates(members, comps, round_)
+        live = members.where(F.col("tree") < FIRST_TREES).withColumn("comp", F.col("node")) if round_ == 0 else _delegates(members, comps, round_)
         live = common.stage(live.join(sigs, "node").select("bucket", "tree", "node", "comp", "sig"), "live")
         sizes = live.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).withColumnRenamed("bucket", "_bucket")
         dealt = live.join(sizes, live["bucket"] == F.col("_bucket"), "left")
@@ -297,18 +312,18 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
         with_b = with_a.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
         checked = common.stage(with_b.mapInArrow(_verify(threshold), "a binary, b binary, near boolean"), "verified")
         near = checked.where("near").select("a", "b")
-        if near.isEmpty():
+        if near.isEmpty() and round_:
             break
         seen = checked.select("a", "b") if seen is None else seen.unionByName(checked.select("a", "b"))
         found = near if found is None else found.unionByName(near)
-        comps = components(found)
+        comps = _joined(comps, near)
         partners, round_ = partners * 2, round_ + 1
     empty = docs.sparkSession.createDataFrame([], "a binary, b binary")
     return rows.select("doc_id", "key"), found if found is not None else empty, comps
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col="doc_id", text_col="text") -> DataFrame:
-    """One row for each row of docs: doc_id, class_id, n_links, class_size, key.
+    """One row for each row of docs: doc_id, class_id, n_links, class_size, key, class_key.
 
     A class holds the texts connected by links of the threshold or more; class_id is its smallest doc_id. n_links counts
     the verified links of the row's text to different texts; copies of a text share them.
@@ -321,19 +336,20 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     texts = texts.join(comps, texts["key"] == comps["node"], "left").join(degree, F.col("key") == F.col("_node"), "left")
     texts = common.stage(texts.select("key", "_first", "_copies", F.coalesce("comp", "key").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "texts")
     named = texts.groupBy("comp").agg(F.min("_first").alias("class_id"), F.sum("_copies").alias("class_size"))
-    texts = texts.join(named, "comp").select(F.col("key").alias("_key"), "class_id", "n_links", "class_size")
-    return rows.join(texts, rows["key"] == texts["_key"]).select("doc_id", "class_id", "n_links", "class_size", "key")
+    texts = texts.join(named, "comp").select(F.col("key").alias("_key"), "class_id", "n_links", "class_size", F.col("comp").alias("class_key"))
+    return rows.join(texts, rows["key"] == texts["_key"]).select("doc_id", "class_id", "n_links", "class_size", "key", "class_key")
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col="doc_id", text_col="text") -> DataFrame:
     """The row of each class with the smallest id, with the columns of docs."""
     kept = classes(docs, threshold, recall, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    kept = kept.groupBy("class_id").agg(F.min("key").alias("key")).select(F.col("class_id").alias("_id"), F.col("key").alias("_key"))
-    text = F.coalesce(docs[text_col], F.lit("")).cast("binary")
-    nth = common.free_name(docs.columns, "_nth")
-    rows = docs.join(kept, docs[id_col].eqNullSafe(F.col("_id")) & (_key(text) == F.col("_key")))
-    return rows.withColumn(nth, F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))).where(F.col(nth) == 1).select(*[docs[c] for c in docs.columns])
+    kept = kept.groupBy("class_id", "class_key").agg(F.min("key").alias("key")).select(F.col("class_id").alias("_id"), F.col("key").alias("_key"))
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_doc"), _key(text).alias("_text"))
+    rows = rows.join(kept, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")))
+    nth = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))
+    return rows.withColumn("_nth", nth).where("_nth = 1").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(common.read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("key")
+    return classes(common.read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("key", "class_key")
