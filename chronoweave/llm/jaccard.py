@@ -6,7 +6,7 @@ them as its label. Two texts of similarity t share the first k values of some tr
 threshold. Nodes that share such a prefix form a bucket of a sorted prefix trie. In a bucket a node proposes the hub (most
 estimated neighbours) and the partners with the longest common prefix and best estimated similarity; proposals are
 verified on the full shingle sets. Then components are taken and buckets that still hold several are asked again for
-pairs across components that were not verified yet, twice as many each round, until a round links nothing new.
+pairs across components that were not verified yet, twice as many a node each round, until a round links nothing new.
 So a node with a link is asked until it is connected, and a group of copies of any size costs a few pairs a member.
 
 A bucket over BLOCK members is dealt into blocks at random, anew in each round and tree; components in it send delegates
@@ -36,8 +36,8 @@ TREES = 14
 #: Trees that the first round asks; the others only see what those left apart.
 FIRST_TREES = 4
 DEPTH = 5
-#: Estimates this far below the threshold are not verified: four standard deviations of TREES * DEPTH draws.
-SLACK = 4.0
+#: Estimates this many standard deviations of TREES * DEPTH draws below the threshold are not verified.
+SLACK = 4.5
 BLOCK = 256
 DELEGATES = 64
 SLAB = 1 << 20
