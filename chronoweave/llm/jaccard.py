@@ -3,14 +3,17 @@
 Identical texts are one node. A node's signature holds TREES * DEPTH minima of its shingles' hashes; each tree takes DEPTH of
 them as its label. Two texts of similarity t share the first k values of some tree with probability
 1 - (1 - t^k)^TREES, so the matched prefix is shortened from DEPTH to the longest k that reaches the target recall at the
-threshold. Nodes that share such a prefix form a bucket of a sorted prefix trie. In a bucket a node proposes the hub (most
-estimated neighbours) and the partners with the longest common prefix and best estimated similarity; proposals are
-verified on the full shingle sets. Then components are taken and buckets that still hold several are asked again for
-pairs across components that were not verified yet, twice as many a node each round, until a round links nothing new.
-So a node with a link is asked until it is connected, and a group of copies of any size costs a few pairs a member.
+threshold. Nodes that share such a prefix form a bucket of a sorted prefix trie.
 
-A bucket over BLOCK members is dealt into blocks at random, anew in each round and tree; components in it send delegates
-to later rounds, so no group is gathered in one task.
+Two rounds link most of a group for a few pairs a member. In a bucket a node proposes the hub (most estimated neighbours)
+and the partner with the longest common prefix and best estimated similarity; proposals are verified on the full shingle
+sets and components are taken. Round 0 asks FIRST_TREES trees, round 1 at most DELEGATES members of each component in the
+buckets that hold several. A bucket over BLOCK members is dealt into blocks at random, anew in each round and tree.
+
+What the rounds leave apart is compared in full: every pair of nodes of different components that shares any bucket is
+verified exactly, without estimates. A bucket over BLOCK members is dealt into blocks and each pair of blocks is one group
+of rows, so no bucket is gathered in one task; large components get blocks of their own, which are not compared with
+each other. The work on a group of m different texts grows with m * m, the rows with m * m / BLOCK.
 
 Defined cases: words are runs without ASCII white space, shingles SHINGLE consecutive words; a shorter text is one
 shingle of all its words. A text without words is linked to nothing; identical texts (null and empty are equal) are one
@@ -35,12 +38,16 @@ RECALL = 0.9999
 TREES = 14
 #: Trees that the first round asks; the others only see what those left apart.
 FIRST_TREES = 4
+#: Rounds of proposals before what they left apart is compared in full.
+ROUNDS = 2
 DEPTH = 5
-#: Estimates this many standard deviations of TREES * DEPTH draws below the threshold are not verified.
+#: The rounds propose no pair whose estimate is this many standard deviations of TREES * DEPTH draws below the threshold.
 SLACK = 4.5
 BLOCK = 256
 DELEGATES = 64
 SLAB = 1 << 20
+#: Shingles that a comparison of blocks multiplies at once.
+WIDTH = 4096
 
 _rng = np.random.default_rng(51)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -208,40 +215,133 @@ def _propose(k_min: int, partners: int, least: float):
                 if fits[x, y]:
                     yield x, y
 
+    def group(table):
+        node, comp, raw = (table[c].to_pylist() for c in ("node", "comp", "sig"))
+        if len(node) < 2 or all(c == comp[0] for c in comp):
+            return
+        sig = np.frombuffer(b"".join(raw), np.uint8).reshape(len(node), total)
+        for x, y in pairs(table["tree"][0].as_py(), node, np.unique(np.array(comp, dtype=object), return_inverse=True)[1], sig):
+            yield min(node[x], node[y]), max(node[x], node[y])
+
+    return _by_group(["bucket", "block"], group, [("a", pa.binary()), ("b", pa.binary())])
+
+
+def _by_group(keys: list, group, fields: list):
+    """Batches sorted by keys to the rows that group makes of the rows of each key."""
+
     def run(batches):
         held = None
         for b in batches:
             table = pa.Table.from_batches([b])
             if held is not None:
                 table = pa.concat_tables([held, table])
-            yield from groups(table, False)
-            held = table.slice(groups.rest)
+            cut = cuts(table)
+            yield from made(table, cut)
+            held = table.slice(cut[-1])
         if held is not None:
-            yield from groups(held, True)
-
-    def groups(table, last):
-        bucket, block = table["bucket"].to_numpy(), table["block"].to_numpy()
-        cut = np.flatnonzero((bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])) + 1
-        cut = np.concatenate([[0], cut, [len(bucket)] if last else []]).astype(int)
-        groups.rest = cut[-1]
-        if len(cut) < 2:
-            return
-        tree = table["tree"].to_numpy()
-        node, comp, raw = (table[c].to_pylist() for c in ("node", "comp", "sig"))
-        a, b = [], []
-        for low, high in zip(cut[:-1], cut[1:]):
-            if high - low < 2 or all(c == comp[low] for c in comp[low + 1 : high]):
-                continue
-            sig = np.frombuffer(b"".join(raw[low:high]), np.uint8).reshape(high - low, total)
-            for x, y in pairs(tree[low], node[low:high], np.unique(np.array(comp[low:high], dtype=object), return_inverse=True)[1], sig):
-                p, q = node[low + x], node[low + y]
-                a.append(min(p, q)), b.append(max(p, q))
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            yield from made(held, [*cuts(held), held.num_rows])
+
+    def cuts(table):
+        columns = [table[k].to_numpy() for k in keys]
+        new = np.zeros(max(table.num_rows - 1, 0), dtype=bool)
+        for c in columns:
+            new |= c[1:] != c[:-1]
+        return [0, *(np.flatnonzero(new) + 1).tolist()]
+
+    def made(table, cut):
+        rows = [r for low, high in zip(cut[:-1], cut[1:]) for r in group(table.slice(low, high - low))]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
 
     return run
 
 
+def _common(left: list, right: list) -> np.ndarray:
+    """The number of common values of each of left with each of right, sorted distinct values each."""
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    if len(left) * len(right) <= 4:
+        for i, x in enumerate(left):
+            for j, y in enumerate(right):
+                out[i, j] = len(np.intersect1d(x, y, assume_unique=True))
+        return out
+    if left is right:
+        values, times = np.unique(np.concatenate(left), return_counts=True)
+        shared = values[times > 1]
+    else:
+        shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    if not len(shared):
+        return out
+
+    def places(sets):
+        value, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(shared, value), len(shared) - 1)
+        inside = shared[at] == value
+        at, row = at[inside], row[inside]
+        order = np.argsort(at, kind="stable")
+        return at[order], row[order]
+
+    def slab(side, low, n):
+        at, row = side[0], side[1]
+        first, stop = np.searchsorted(at, (low, low + WIDTH))
+        m = np.zeros((n, min(WIDTH, len(shared) - low)), dtype=np.float32)
+        m[row[first:stop], at[first:stop] - low] = 1
+        return m
+
+    x = places(left)
+    y = x if left is right else places(right)
+    for low in range(0, len(shared), WIDTH):
+        a = slab(x, low, len(left))
+        b = a if left is right else slab(y, low, len(right))
+        out += (a @ b.T).astype(np.int64)
+    return out
+
+
+def _near(table, threshold: float):
+    """(rows of one block, rows of the other, whether they reach the threshold); one block compared with itself has each pair once."""
+    sets = [np.frombuffer(s, np.uint64) for s in table["shingles"].to_pylist()]
+    side = table["side"].to_numpy()
+    low, high = (np.flatnonzero(side == k) for k in (0, 1))
+    alone = table["x"][0].as_py() == table["y"][0].as_py()
+    if len(low) + alone < 2 if alone else not (len(low) and len(high)):
+        return None
+    left = [sets[i] for i in low]
+    if alone:
+        high, right = low, left
+    else:
+        right = [sets[i] for i in high]
+    both = _common(left, right)
+    n, m = (np.array([len(s) for s in part]) for part in (left, right))
+    near = both >= threshold * (n[:, None] + m - both) - 1e-9
+    return low, high, np.triu(near, 1) if alone else near
+
+
+def _link(threshold: float):
+    """Of a pair of blocks, the links that join its components: one for each that two of them become one."""
+
+    def group(table):
+        node, comp = table["node"].to_pylist(), table["comp"].to_pylist()
+        if all(c == comp[0] for c in comp) or (got := _near(table, threshold)) is None:
+            return
+        low, high, near = got
+        number = np.unique(np.array(comp, dtype=object), return_inverse=True)[1]
+        near = near & (number[low][:, None] != number[high])
+        parent = list(range(len(comp)))
+
+        def root(i):
+            while parent[i] != i:
+                parent[i] = i = parent[parent[i]]
+            return i
+
+        for i, j in zip(*np.nonzero(near)):
+            x, y = low[i], high[j]
+            p, q = root(number[x]), root(number[y])
+            if p != q:
+                parent[p] = q
+                yield min(node[x], node[y]), max(node[x], node[y])
+
+    return _by_group(["bucket", "x", "y"], group, [("a", pa.binary()), ("b", pa.binary())])
+
+
 def _key(text):
     return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
@@ -266,6 +366,40 @@ def _delegates(members: DataFrame, comps: DataFrame, round_: int) -> DataFrame:
     return some.select("bucket", "r.tree", "r.node", "comp")
 
 
+def _block_pairs(live: DataFrame, sets: DataFrame, apart: bool) -> DataFrame:
+    """Rows (bucket, node, comp) with shingles, once for each pair of blocks (x, y) of their bucket that they are in.
+
+    Sorted by bucket, x and y; side is 1 in block y of two. With apart, pairs of one component need not meet: a component
+    with more than half a block in a bucket gets blocks of its own, which do not meet each other. A bucket of BLOCK
+    members at most is one block.
+    """
+    counts = live.groupBy("bucket", F.col("comp") if apart else F.lit(None).cast("binary").alias("comp")).agg(F.count(F.lit(1)).alias("c"))
+    own = (F.col("c") > BLOCK // 2) if apart else F.lit(False)
+    parts = lambda n: F.greatest(F.ceil(n / F.lit(BLOCK)).cast("int"), F.lit(1))
+    hot = counts.groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.when(own, F.lit(0)).otherwise(F.col("c"))).alias("rest"), F.collect_list(F.when(own, F.struct("comp", parts(F.col("c")).alias("parts")))).alias("own"))
+    hot = hot.where(F.col("n") > BLOCK).select(F.col("bucket").alias("_bucket"), parts(F.col("rest")).alias("_rest"), F.col("own").alias("_own"))
+    dealt = live.join(F.broadcast(hot), live["bucket"] == F.col("_bucket"), "left")
+    # a block is its owner's number (0 for all small components) times 2^20 plus its part
+    owner = F.coalesce(F.array_position(F.col("_own.comp"), F.col("comp")), F.lit(0)).cast("long") if apart else F.lit(0).cast("long")
+    dealt = dealt.select("bucket", "node", "comp", "_rest", "_own", owner.alias("_owner"))
+    of = F.when(F.col("_owner") > 0, F.expr("try_element_at(_own, cast(_owner as int)).parts")).otherwise(F.coalesce("_rest", F.lit(1)))
+    me = F.col("_owner") * (1 << 20) + F.pmod(F.xxhash64("bucket", "node"), of.cast("long"))
+    blocks = F.expr("""flatten(transform(concat(array(_rest), _own.parts), (n, i) -> if(i > 0 AND i = _owner, array(), transform(sequence(0, n - 1), p -> cast(i AS BIGINT) * 1048576 + p))))""")
+    dealt = dealt.select("bucket", "node", "comp", me.alias("_me"), F.when(F.col("_rest").isNull(), F.array(me)).otherwise(blocks).alias("_others"))
+    dealt = dealt.select("bucket", "node", "comp", "_me", F.explode("_others").alias("_other"))
+    dealt = dealt.select("bucket", F.least("_me", "_other").alias("x"), F.greatest("_me", "_other").alias("y"), (F.col("_me") > F.col("_other")).cast("int").alias("side"), "node", "comp")
+    rows = dealt.join(sets.select(F.col("key").alias("node"), "shingles"), "node").select("bucket", "x", "y", "side", "node", "comp", "shingles")
+    return rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+
+
+def _left_apart(members: DataFrame, comps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links a, b that join all components between which a bucket has a link."""
+    live = common.stage(members.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp")), "live")
+    open_ = live.groupBy("bucket").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("bucket")
+    live = common.stage(live.join(open_, "bucket", "left_semi"), "open")
+    return common.stage(_block_pairs(live, sets, True).mapInArrow(_link(threshold), "a binary, b binary").distinct(), "apart")
+
+
 def _joined(comps: DataFrame | None, near: DataFrame) -> DataFrame:
     """Components (node, comp) after more links; only what the links join is looked at again."""
     if comps is None:
@@ -279,8 +413,8 @@ def _joined(comps: DataFrame | None, near: DataFrame) -> DataFrame:
     return common.stage(every.join(merged, every["comp"] == merged["_node"], "left").select("node", F.coalesce("_comp", "comp").alias("comp")).distinct(), "comps")
 
 
-def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col="doc_id", text_col="text") -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(rows: doc_id and key of every row; verified links a, b between keys; components or None without links)."""
+def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col="doc_id", text_col="text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: doc_id and key of every row; verified links a, b between keys; components of the linked keys: node, comp)."""
     k_min = prefix_length(threshold, recall)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     base = docs.select(F.col(id_col).alias("doc_id"), _key(text).alias("key"), text.alias("text"))
@@ -296,30 +430,22 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     sigs = asked.select(F.col("key").alias("node"), "sig")
 
     least = max(0.0, threshold - SLACK * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5)
-    seen, found, comps, partners, round_ = None, None, None, 1, 0
-    while True:
+    comps = found = None
+    for round_ in range(ROUNDS):
         live = members.where(F.col("tree") < FIRST_TREES).withColumn("comp", F.col("node")) if round_ == 0 else _delegates(members, comps, round_)
         live = common.stage(live.join(sigs, "node").select("bucket", "tree", "node", "comp", "sig"), "live")
         sizes = live.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).withColumnRenamed("bucket", "_bucket")
         dealt = live.join(sizes, live["bucket"] == F.col("_bucket"), "left")
         block = F.pmod(F.xxhash64(F.lit(round_), "bucket", "node"), F.ceil(F.coalesce("n", F.lit(1)) / F.lit(BLOCK)).cast("long")).cast("int")
         dealt = dealt.select("bucket", block.alias("block"), "tree", "node", "comp", "sig").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
-        pairs = dealt.mapInArrow(_propose(k_min, partners, least), "a binary, b binary").distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = common.stage(pairs, "pairs")
+        pairs = common.stage(dealt.mapInArrow(_propose(k_min, 1, least), "a binary, b binary").distinct(), "pairs")
         with_a = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
         with_b = with_a.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-        checked = common.stage(with_b.mapInArrow(_verify(threshold), "a binary, b binary, near boolean"), "verified")
-        near = checked.where("near").select("a", "b")
-        if near.isEmpty() and round_:
-            break
-        seen = checked.select("a", "b") if seen is None else seen.unionByName(checked.select("a", "b"))
+        near = common.stage(with_b.mapInArrow(_verify(threshold), "a binary, b binary, near boolean").where("near").select("a", "b"), "verified")
         found = near if found is None else found.unionByName(near)
         comps = _joined(comps, near)
-        partners, round_ = partners * 2, round_ + 1
-    empty = docs.sparkSession.createDataFrame([], "a binary, b binary")
-    return rows.select("doc_id", "key"), found if found is not None else empty, comps
+    apart = _left_apart(members, comps, sets, threshold)
+    return rows.select("doc_id", "key"), found.unionByName(apart), _joined(comps, apart)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col="doc_id", text_col="text") -> DataFrame:
@@ -329,8 +455,6 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     the verified links of the row's text to different texts; copies of a text share them.
     """
     rows, found, comps = links(docs, threshold, recall, id_col, text_col)
-    if comps is None:
-        comps = found.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     degree = found.select("a").unionByName(found.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("_node")).agg(F.count(F.lit(1)).alias("n_links"))
     texts = rows.groupBy("key").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_copies"))
     texts = texts.join(comps, texts["key"] == comps["node"], "left").join(degree, F.col("key") == F.col("_node"), "left")

@@ -503,6 +503,26 @@ def test_jaccard_blocks(spark, monkeypatch):
     assert {r.class_id for r in got} == {0} and all(r.n_links >= 1 and r.class_size == 150 for r in got)
 
 
+def _edited(words, rng, n):
+    words = words[:]
+    for p in rng.sample(range(len(words)), n):
+        words[p] = f"new{rng.randrange(10**9)}"
+    return words
+
+
+def test_jaccard_only_link_into_a_large_group(spark, monkeypatch):
+    """Texts whose only link is to one member of a group that fills many blocks are linked to it."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "DELEGATES", 2)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    group = [_edited(base, rng, 2) for _ in range(150)]
+    rows = [(i, " ".join(w)) for i, w in enumerate([base, *group, *[_edited(w, rng, 4) for w in group[:20]]])]
+    got = {r.doc_id: r.class_id for r in jaccard.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == dict(zip([d for d, _ in rows], brute_classes(rows)))
+    assert sum(c == 0 for c in got.values()) > 160
+
+
 def test_jaccard_edges(spark, edge, empty):
     got = jaccard.classes(edge).collect()
     assert len(got) == len(ROWS)
