@@ -13,7 +13,8 @@ buckets that hold several. A bucket over BLOCK members is dealt into blocks at r
 What the rounds leave apart is compared in full: every pair of nodes of different components that shares any bucket is
 verified exactly, without estimates. A bucket over BLOCK members is dealt into blocks and each pair of blocks is one group
 of rows, so no bucket is gathered in one task; large components get blocks of their own, which are not compared with
-each other. The work on a group of m different texts grows with m * m, the rows with m * m / BLOCK.
+each other. Once classes are final, links are counted by comparing all nodes of a class alike, block against block, and
+only counts leave the comparison. The work on a group of m different texts grows with m * m, the rows with m * m / BLOCK.
 
 Defined cases: words are runs without ASCII white space, shingles SHINGLE consecutive words; a shorter text is one
 shingle of all its words. A text without words is linked to nothing; identical texts (null and empty are equal) are one
@@ -342,6 +343,21 @@ def _link(threshold: float):
     return _by_group(["bucket", "x", "y"], group, [("a", pa.binary()), ("b", pa.binary())])
 
 
+def _count(threshold: float):
+    """Of a pair of blocks, the number of links of each node."""
+
+    def group(table):
+        node = table["node"].to_pylist()
+        if (got := _near(table, threshold)) is None:
+            return
+        low, high, near = got
+        n = np.bincount(low, near.sum(axis=1), len(node)) + np.bincount(high, near.sum(axis=0), len(node))
+        for i in np.flatnonzero(n):
+            yield node[i], int(n[i])
+
+    return _by_group(["bucket", "x", "y"], group, [("node", pa.binary()), ("n", pa.int64())])
+
+
 def _key(text):
     return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
@@ -400,6 +416,14 @@ def _left_apart(members: DataFrame, comps: DataFrame, sets: DataFrame, threshold
     return common.stage(_block_pairs(live, sets, True).mapInArrow(_link(threshold), "a binary, b binary").distinct(), "apart")
 
 
+def _degrees(comps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(node, n_links) of the nodes with links, all of which are in their component."""
+    name = F.xxhash64("comp").alias("bucket")
+    live = comps.select(name, "node", "comp")
+    pairs = _block_pairs(live, sets, False)
+    return pairs.mapInArrow(_count(threshold), "node binary, n bigint").groupBy("node").agg(F.sum("n").alias("n_links"))
+
+
 def _joined(comps: DataFrame | None, near: DataFrame) -> DataFrame:
     """Components (node, comp) after more links; only what the links join is looked at again."""
     if comps is None:
@@ -414,7 +438,7 @@ def _joined(comps: DataFrame | None, near: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col="doc_id", text_col="text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows: doc_id and key of every row; verified links a, b between keys; components of the linked keys: node, comp)."""
+    """(rows: doc_id and key of every row; components of the linked keys: node, comp; sets: key and shingles of the keys in buckets)."""
     k_min = prefix_length(threshold, recall)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     base = docs.select(F.col(id_col).alias("doc_id"), _key(text).alias("key"), text.alias("text"))
@@ -430,7 +454,7 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     sigs = asked.select(F.col("key").alias("node"), "sig")
 
     least = max(0.0, threshold - SLACK * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5)
-    comps = found = None
+    comps = None
     for round_ in range(ROUNDS):
         live = members.where(F.col("tree") < FIRST_TREES).withColumn("comp", F.col("node")) if round_ == 0 else _delegates(members, comps, round_)
         live = common.stage(live.join(sigs, "node").select("bucket", "tree", "node", "comp", "sig"), "live")
@@ -442,23 +466,24 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
         with_a = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
         with_b = with_a.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
         near = common.stage(with_b.mapInArrow(_verify(threshold), "a binary, b binary, near boolean").where("near").select("a", "b"), "verified")
-        found = near if found is None else found.unionByName(near)
         comps = _joined(comps, near)
-    apart = _left_apart(members, comps, sets, threshold)
-    return rows.select("doc_id", "key"), found.unionByName(apart), _joined(comps, apart)
+    return rows.select("doc_id", "key"), _joined(comps, _left_apart(members, comps, sets, threshold)), sets
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col="doc_id", text_col="text") -> DataFrame:
+def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col="doc_id", text_col="text", count: bool = True) -> DataFrame:
     """One row for each row of docs: doc_id, class_id, n_links, class_size, key, class_key.
 
     A class holds the texts connected by links of the threshold or more; class_id is its smallest doc_id. n_links counts
-    the verified links of the row's text to different texts; copies of a text share them.
+    the different texts that the row's text is linked to; copies of a text share them. Without count it is null.
     """
-    rows, found, comps = links(docs, threshold, recall, id_col, text_col)
-    degree = found.select("a").unionByName(found.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("_node")).agg(F.count(F.lit(1)).alias("n_links"))
+    rows, comps, sets = links(docs, threshold, recall, id_col, text_col)
     texts = rows.groupBy("key").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_copies"))
-    texts = texts.join(comps, texts["key"] == comps["node"], "left").join(degree, F.col("key") == F.col("_node"), "left")
-    texts = common.stage(texts.select("key", "_first", "_copies", F.coalesce("comp", "key").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "texts")
+    texts = texts.join(comps, texts["key"] == comps["node"], "left").drop("node")
+    n_links = F.lit(None).cast("bigint")
+    if count:
+        degree = _degrees(comps, sets, threshold)
+        texts, n_links = texts.join(degree, texts["key"] == degree["node"], "left"), F.coalesce("n_links", F.lit(0))
+    texts = common.stage(texts.select("key", "_first", "_copies", F.coalesce("comp", "key").alias("comp"), n_links.alias("n_links")), "texts")
     named = texts.groupBy("comp").agg(F.min("_first").alias("class_id"), F.sum("_copies").alias("class_size"))
     texts = texts.join(named, "comp").select(F.col("key").alias("_key"), "class_id", "n_links", "class_size", F.col("comp").alias("class_key"))
     return rows.join(texts, rows["key"] == texts["_key"]).select("doc_id", "class_id", "n_links", "class_size", "key", "class_key")
@@ -466,7 +491,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col="doc_id", text_col="text") -> DataFrame:
     """The row of each class with the smallest id, with the columns of docs."""
-    kept = classes(docs, threshold, recall, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    kept = classes(docs, threshold, recall, id_col, text_col, count=False).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
     kept = kept.groupBy("class_id", "class_key").agg(F.min("key").alias("key")).select(F.col("class_id").alias("_id"), F.col("key").alias("_key"))
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_doc"), _key(text).alias("_text"))

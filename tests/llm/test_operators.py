@@ -523,6 +523,21 @@ def test_jaccard_only_link_into_a_large_group(spark, monkeypatch):
     assert sum(c == 0 for c in got.values()) > 160
 
 
+def test_jaccard_counts_every_link(spark, monkeypatch):
+    """n_links is the number of different texts within the threshold, in a class of one block and of many."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(_edited(base, rng, 1 + i % 3))) for i in range(90)]
+    rows += [(100 + i, text) for i, (_, text) in enumerate(rows[:10])] + [(200, "alone here"), (201, None)]
+    sets = {t: shingles(t) for _, t in rows}
+    want = {d: sum(t != u and bool(a and b) and len(a & b) >= 0.8 * len(a | b) - 1e-9 for u, b in sets.items()) for d, t in rows for a in [sets[t]]}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for size in (jaccard.BLOCK, 16):
+        monkeypatch.setattr(jaccard, "BLOCK", size)
+        assert {r.doc_id: r.n_links for r in jaccard.classes(docs).collect()} == want
+    assert 40 < want[0] < 90
+
+
 def test_jaccard_edges(spark, edge, empty):
     got = jaccard.classes(edge).collect()
     assert len(got) == len(ROWS)
