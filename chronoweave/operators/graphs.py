@@ -130,7 +130,7 @@ def primary(edges: DataFrame) -> DataFrame:
     return best.select("doc_id", "src", "tgt", F.col("e.rel").alias("rel"), F.col("e.is_inferred").alias("is_inferred"), F.col("p.provenance").alias("provenance"))
 
 
-def paths(edges: DataFrame, sources: DataFrame, max_depth: int = 50) -> DataFrame:
+def paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """Breadth-first paths from sources (doc_id, origin): doc_id, origin, node, depth, rels of the first edge of each hop.
 
     Among the shortest paths the one whose hops were added first wins; a frontier join advances all origins at once.
@@ -138,7 +138,9 @@ def paths(edges: DataFrame, sources: DataFrame, max_depth: int = 50) -> DataFram
     hops = stage(edges.groupBy("doc_id", F.col("src").alias("node"), F.col("tgt").alias("next")).agg(F.min(F.struct("ord", "rel")).alias("e")), "hops")
     at = stage(sources.select("doc_id", "origin", F.col("origin").alias("node"), F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("trail"), F.array().cast("array<int>").alias("rels")), "reached")
     reached = at
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while True:
+        depth += 1
         step = at.join(hops, ["doc_id", "node"]).select("doc_id", "origin", F.col("next").alias("node"), F.concat("trail", F.array(F.col("e.ord").cast("long"))).alias("trail"), F.concat("rels", F.array(F.col("e.rel"))).alias("rels"))
         step = step.join(reached.select("doc_id", "origin", "node"), ["doc_id", "origin", "node"], "left_anti")
         step = step.groupBy("doc_id", "origin", "node").agg(F.min(F.struct("trail", "rels")).alias("p"))

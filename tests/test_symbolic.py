@@ -143,6 +143,12 @@ def test_paths_and_queries(spark):
     assert got == {("a", "c"): 1, ("a", "y"): None, ("d", "c"): 1}
 
 
+def test_paths_have_no_depth_limit(spark):
+    e = edges(spark, *[(f"n{i}", "before", f"n{i + 1}") for i in range(53)])
+    start = spark.createDataFrame([(1, "n0")], "doc_id bigint, origin string")
+    assert {r.depth: r.node for r in graphs.paths(e, start).collect()} == {i: f"n{i}" for i in range(54)}
+
+
 def test_conflicts(spark):
     cycle = edges(spark, ("a", "before", "b"), ("b", "before", "c"), ("c", "meets", "d"), ("d", "before", "a"), ("d", "before", "e"))
     assert [r.event_ids for r in graphs.cycle_paths(cycle).collect()] == [["a", "b", "c", "d", "a"]]
