@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ORDER = 4
+ORDER = 5
 END = 10  # white space never occurs in a word, so a line feed can stand for the end
 FLUSH = 400_000
 SLICE = 50_000

@@ -170,6 +170,12 @@ def test_lm_against_definition(spark):
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens, got[i].held_out) == (len(tokens), sum(counts[w] > 0 for w in tokens), n, i >= 3)
 
 
+def test_lm_contexts_of_five_bytes():
+    """The symbol after five equal bytes is told apart by the fifth byte back."""
+    events = {w: next(lm_ppm._events([w]))[0].tolist() for w in (b"abcdefg", b"xbcdefg")}
+    assert lm_ppm.ORDER >= 5 and events[b"abcdefg"][5] != events[b"xbcdefg"][5]
+
+
 def test_lm_mixture_helps_and_edges(spark, edge, empty):
     got = lm_ppm.query(spark, "/root/testdata/sf0.01").toPandas()
     assert len(got) == 1000 and np.isfinite(got.score).all() and (got.score < 0).all()
