@@ -1,20 +1,23 @@
 """Similarity join on word shingles: a MinHash LSH forest with exact verification.
 
 Identical texts are one node. A node's signature holds TREES * DEPTH minima of its shingles' hashes; each tree takes DEPTH of
-them as its label. Two texts of similarity t share the first k values of some tree with probability
-1 - (1 - t^k)^TREES, so the matched prefix is shortened from DEPTH to the longest k that reaches the target recall at the
-threshold. Nodes that share such a prefix form a bucket of a sorted prefix trie.
-
-Two rounds link most of a group for a few pairs a member. In a bucket a node proposes the hub (most estimated neighbours)
-and the partner with the longest common prefix and best estimated similarity; proposals are verified on the full shingle
-sets and components are taken. Round 0 asks FIRST_TREES trees, round 1 at most DELEGATES members of each component in the
-buckets that hold several. A bucket over BLOCK members is dealt into blocks at random, anew in each round and tree.
-
-What the rounds leave apart is compared in full: every pair of nodes of different components that shares any bucket is
-verified exactly, without estimates. A bucket over BLOCK members is dealt into blocks and each pair of blocks is one group
-of rows, so no bucket is gathered in one task; large components get blocks of their own, which are not compared with
-each other. Once classes are final, links are counted by comparing all nodes of a class alike, block against block, and
-only counts leave the comparison. The work on a group of m different texts grows with m * m, the rows with m * m / BLOCK.
+them as its label, and the sorted labels of a tree are a prefix trie. Two texts of similarity t meet at depth k of some
+trie with probability 1 - (1 - t^k)^TREES.
+
+All tries are climbed together, from depth DEPTH up to the longest k at which that chance reaches the target recall at the
+threshold. At each depth only those trie nodes are opened that still hold leaves of different components. The leaves of an
+opened node, sorted by label, are joined by a spanning forest: pairs with the longest common prefix first, then shorter
+ones, and among them the best estimate; m leaves propose m - 1 pairs at most. Proposals are verified on the full shingle
+sets and components are taken before the prefix is shortened again. The first depth asks FIRST_TREES tries, the others
+all, with at most DELEGATES leaves of each component. A node over BLOCK leaves is dealt into blocks at random, anew at
+each depth and in each tree.
+
+What the climb leaves apart is compared in full: every pair of nodes of different components that shares any bucket (trie
+node of the last depth) is verified exactly, without estimates. A bucket over BLOCK members is dealt into blocks and each
+pair of blocks is one group of rows, so no bucket is gathered in one task; large components get blocks of their own, which
+are not compared with each other. Once classes are final, links are counted by comparing all nodes of a class alike, block
+against block, and only counts leave the comparison. The work on a group of m different texts grows with m * m, the rows
+with m * m / BLOCK.
 
 Defined cases: words are runs without ASCII white space, shingles SHINGLE consecutive words; a shorter text is one
 shingle of all its words. A text without words is linked to nothing; identical texts (null and empty are equal) are one
@@ -37,12 +40,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 TREES = 14
-#: Trees that the first round asks; the others only see what those left apart.
+#: Trees that the first depth asks; the others only see what those left apart.
 FIRST_TREES = 4
-#: Rounds of proposals before what they left apart is compared in full.
-ROUNDS = 2
 DEPTH = 5
-#: The rounds propose no pair whose estimate is this many standard deviations of TREES * DEPTH draws below the threshold.
+#: The climb proposes no pair whose estimate is this many standard deviations of TREES * DEPTH draws below the threshold.
 SLACK = 4.5
 BLOCK = 256
 DELEGATES = 64
@@ -185,43 +186,49 @@ def _verify(threshold: float):
     return run
 
 
-def _propose(k_min: int, partners: int, least: float):
-    """Batches (bucket, block, tree, node, comp, sig) sorted by bucket and block to candidate pairs across components."""
+def _forest(weight: np.ndarray):
+    """Edges (x, y) of a heaviest spanning forest; weights below 0 are no edges, inf joins without being an edge to give."""
+    m = len(weight)
+    best, by, left = np.full(m, -2.0), np.zeros(m, dtype=np.int64), np.ones(m, dtype=bool)
+    for _ in range(m):
+        x = int(np.where(left, best, -3).argmax())
+        if 0 <= best[x] < np.inf:
+            yield int(by[x]), x
+        left[x] = False
+        closer = weight[x] > best
+        best[closer], by[closer] = weight[x][closer], x
+
+
+def _propose(k_min: int, least: float):
+    """Batches (bucket, block, tree, tail, node, comp, sig) sorted by bucket, block and tail to candidate pairs across components.
+
+    The rows of a block are the leaves of a trie node, its sorted labels; m of them give m - 1 pairs at most.
+    """
     total = TREES * DEPTH
 
-    def pairs(tree, node, comp, sig):
-        m = len(node)
-        same = np.zeros((m, m), dtype=np.int32)
-        prefix = np.zeros((m, m), dtype=np.int32)
-        alive = np.ones((m, m), dtype=bool)
+    def weights(tree, comp, sig):
+        same = np.zeros((len(sig), len(sig)), dtype=np.int32)
+        prefix, alive = np.zeros_like(same), np.ones(same.shape, dtype=bool)
         for i in range(total):
             equal = sig[:, i][:, None] == sig[:, i]
             same += equal
             if tree * DEPTH + k_min <= i < (tree + 1) * DEPTH:
                 alive &= equal
                 prefix += alive
-        same[comp[:, None] == comp] = -1
-        fits = same >= least * total
-        if not fits.any():
-            return
-        if m <= 4:
-            yield from zip(*np.nonzero(np.triu(fits)))
-            return
-        hub = int(fits.sum(axis=1).argmax())
-        for x in np.flatnonzero(fits[hub]):
-            yield hub, x
-        order = np.argsort(-(prefix * (total + 1) + same) * fits, axis=1, kind="stable")[:, :partners]
-        for x in range(m):
-            for y in order[x]:
-                if fits[x, y]:
-                    yield x, y
+        weight = np.where(same >= least * total, prefix * (total + 1.0) + same, -1.0)
+        weight[comp[:, None] == comp] = np.inf
+        return weight
 
     def group(table):
         node, comp, raw = (table[c].to_pylist() for c in ("node", "comp", "sig"))
         if len(node) < 2 or all(c == comp[0] for c in comp):
             return
         sig = np.frombuffer(b"".join(raw), np.uint8).reshape(len(node), total)
-        for x, y in pairs(table["tree"][0].as_py(), node, np.unique(np.array(comp, dtype=object), return_inverse=True)[1], sig):
+        if len(node) == 2:
+            edges = [(0, 1)] if (sig[0] == sig[1]).sum() >= least * total else []
+        else:
+            edges = _forest(weights(table["tree"][0].as_py(), np.unique(np.array(comp, dtype=object), return_inverse=True)[1], sig))
+        for x, y in edges:
             yield min(node[x], node[y]), max(node[x], node[y])
 
     return _by_group(["bucket", "block"], group, [("a", pa.binary()), ("b", pa.binary())])
@@ -362,24 +369,30 @@ def _key(text):
     return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
-def _members(nodes: DataFrame) -> DataFrame:
-    """(bucket, tree, node) of all buckets with two nodes or more."""
-    prefixes = F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.substring("prefixes", 8 * t + 1, 8)).alias("bucket")) for t in range(TREES)])
-    each = nodes.where(F.col("sig").isNotNull()).select("key", F.explode(prefixes).alias("p")).select(F.col("p.bucket").alias("bucket"), F.col("p.tree").alias("tree"), F.col("key").alias("node"))
+def _members(nodes: DataFrame, k_min: int) -> DataFrame:
+    """(bucket, tree, tail, node) of all buckets with two nodes or more; tail: the rest of the node's label in that tree."""
+    leaf = lambda t: F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.substring("prefixes", 8 * t + 1, 8)).alias("bucket"), F.substring("sig", t * DEPTH + k_min + 1, DEPTH - k_min).alias("tail"))
+    each = nodes.where(F.col("sig").isNotNull()).select("key", F.explode(F.array(*map(leaf, range(TREES)))).alias("p"))
+    each = each.select("p.bucket", "p.tree", "p.tail", F.col("key").alias("node"))
     shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("bucket").alias("_bucket"))
     return common.stage(each.join(shared, each["bucket"] == shared["_bucket"]).drop("_bucket"), "buckets")
 
 
+def _at_depth(members: DataFrame, k: int, k_min: int) -> DataFrame:
+    """members with the trie nodes of depth k for buckets."""
+    return members.withColumn("bucket", F.xxhash64("bucket", F.substring("tail", 1, k - k_min))) if k > k_min else members
+
+
 def _delegates(members: DataFrame, comps: DataFrame, round_: int) -> DataFrame:
-    """(bucket, tree, node, comp) of the buckets that still hold several components, DELEGATES of each at most.
+    """(bucket, tree, tail, node, comp) of the buckets that still hold several components, DELEGATES of each at most.
 
     Which ones changes with the round; the smallest hash in each of DELEGATES shares is found without a sort.
     """
     live = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_ = live.groupBy("bucket").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("bucket")
     h = F.xxhash64(F.lit(round_), "bucket", "node")
-    some = live.join(open_, "bucket", "left_semi").repartition("bucket", "node").groupBy("bucket", "comp", F.pmod(h, F.lit(DELEGATES)).alias("_share")).agg(F.min(F.struct(h.alias("h"), "tree", "node")).alias("r"))
-    return some.select("bucket", "r.tree", "r.node", "comp")
+    some = live.join(open_, "bucket", "left_semi").repartition("bucket", "node").groupBy("bucket", "comp", F.pmod(h, F.lit(DELEGATES)).alias("_share")).agg(F.min(F.struct(h.alias("h"), "tree", "tail", "node")).alias("r"))
+    return some.select("bucket", "r.tree", "r.tail", "r.node", "comp")
 
 
 def _block_pairs(live: DataFrame, sets: DataFrame, apart: bool) -> DataFrame:
@@ -445,7 +458,7 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     kind = base.schema["doc_id"].dataType.simpleString()
     rows = common.stage(base.mapInArrow(_sketch(k_min), f"doc_id {kind}, key binary, prefixes binary, sig binary"), "sketches")
     nodes = common.stage(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("prefixes").alias("prefixes"), F.min("sig").alias("sig")), "nodes")
-    members = _members(nodes)
+    members = _members(nodes, k_min)
 
     asked = common.stage(members.select(F.col("node").alias("key")).distinct().join(nodes.select("key", "first", "sig"), "key"), "asked")
     wanted = asked.select(F.col("key").alias("_key"), F.col("first").alias("_first"))
@@ -455,14 +468,15 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
 
     least = max(0.0, threshold - SLACK * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5)
     comps = None
-    for round_ in range(ROUNDS):
-        live = members.where(F.col("tree") < FIRST_TREES).withColumn("comp", F.col("node")) if round_ == 0 else _delegates(members, comps, round_)
-        live = common.stage(live.join(sigs, "node").select("bucket", "tree", "node", "comp", "sig"), "live")
+    for k in range(DEPTH, k_min - 1, -1):
+        level = _at_depth(members, k, k_min)
+        live = level.where(F.col("tree") < FIRST_TREES).withColumn("comp", F.col("node")) if comps is None else _delegates(level, comps, k)
+        live = common.stage(live.join(sigs, "node").select("bucket", "tree", "tail", "node", "comp", "sig"), "live")
         sizes = live.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).withColumnRenamed("bucket", "_bucket")
         dealt = live.join(sizes, live["bucket"] == F.col("_bucket"), "left")
-        block = F.pmod(F.xxhash64(F.lit(round_), "bucket", "node"), F.ceil(F.coalesce("n", F.lit(1)) / F.lit(BLOCK)).cast("long")).cast("int")
-        dealt = dealt.select("bucket", block.alias("block"), "tree", "node", "comp", "sig").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
-        pairs = common.stage(dealt.mapInArrow(_propose(k_min, 1, least), "a binary, b binary").distinct(), "pairs")
+        block = F.pmod(F.xxhash64(F.lit(k), "bucket", "node"), F.ceil(F.coalesce("n", F.lit(1)) / F.lit(BLOCK)).cast("long")).cast("int")
+        dealt = dealt.select("bucket", block.alias("block"), "tree", "tail", "node", "comp", "sig").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "tail")
+        pairs = common.stage(dealt.mapInArrow(_propose(k_min, least), "a binary, b binary").distinct(), "pairs")
         with_a = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
         with_b = with_a.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
         near = common.stage(with_b.mapInArrow(_verify(threshold), "a binary, b binary, near boolean").where("near").select("a", "b"), "verified")

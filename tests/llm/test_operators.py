@@ -126,67 +126,90 @@ def test_dedup_edges(spark, edge, empty):
 # ---------------------------------------------------------------- language model
 
 
-def brute_ppm(train, word, order):
-    """log10 probability of a word and its space in one group, straight from the definition."""
-    nodes = defaultdict(Counter)
-    for text in train:
-        for w in [*text.encode().lower().split(), None]:
-            t = b" " + w + b" " if w is not None else b" \n"
-            for i in range(1, len(t)):
-                for j in range(min(i, order) + 1):
-                    nodes[j, t[i - j : i]][t[i]] += 1
-    total, t = 0.0, (b" " + word + b" " if word is not None else b" \n")
-    for i in range(1, len(t)):
-        out, p = set(), 1.0
-        for j in range(min(i, order), -1, -1):
-            fresh = {s: n for s, n in nodes.get((j, t[i - j : i]), {}).items() if s not in out}
-            if not fresh:
-                continue
-            once = sum(n == 1 for n in fresh.values()) + 1
-            size = sum(fresh.values()) + once
-            if t[i] in fresh:
-                p *= fresh[t[i]] / size
-                break
-            p *= once / size
-            out |= set(fresh)
-        else:
-            p /= 256 - len(out)
-        total += math.log10(p)
-    return total
-
-
-def test_lm_against_definition(spark):
-    texts = ["the cat sat on the mat", "The dog sat", "a cataract of cats", "", "zebra the"]
+def brute_ppm(train, text, order):
+    """log10 probability of a text straight from the definition: escapes with exclusion, symbol by symbol."""
+    stream = lambda t: b"\n" * order + b" ".join((t or "").encode().lower().split()) + b"\n"
+    nodes = [defaultdict(Counter) for _ in range(order + 1)]
+    for t in map(stream, train):
+        for i in range(order, len(t)):
+            nodes[order][t[i - order : i]][t[i]] += 1
+    for j in range(order - 1, -1, -1):  # update exclusion
+        for context, symbols in nodes[j + 1].items():
+            for s in symbols:
+                nodes[j][context[1:]][s] += 1
+    discount = []
+    for level in nodes:
+        n = [sum(c == r for symbols in level.values() for c in symbols.values()) for r in (1, 2, 3, 4)]
+        y = n[0] / max(1, n[0] + 2 * n[1])
+        discount.append([min(max(r - (r + 1) * y * n[r] / max(1, n[r - 1]), 0.05), r - 0.02) for r in (1, 2, 3)])
+
+    def distribution(context, j):
+        if j < 0:
+            return [1 / 256] * 256
+        lower, node = distribution(context[1:], j - 1), nodes[j].get(context)
+        if not node:
+            return lower
+        d = {s: discount[j][min(n, 3) - 1] for s, n in node.items()}
+        total, left = sum(node.values()), sum(d.values())
+        p = {s: (n - d[s]) / total + left / total * lower[s] for s, n in node.items()}
+        escape, others = 1 - sum(p.values()), 1 - sum(lower[s] for s in node)
+        return [p[s] if s in p else escape * lower[s] / others for s in range(256)]
+
+    t = stream(text)
+    return sum(math.log10(distribution(t[i - order : i], order)[t[i]]) for i in range(order, len(t)))
+
+
+def test_lm_against_definition(spark, monkeypatch):
+    texts = ["the cat sat on the mat", "The dog sat", "a cataract of cats", "", "zebra the", None, "the cat sat on  the dog\t", "é the \u00a0 dog"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    train = docs.where("doc_id < 3")
-    got = {r.doc_id: r for r in lm_ppm.score(docs, lm_ppm.statistics(train), F.col("doc_id") >= 3, chunk_bytes=16).collect()}
-    counts = Counter(w for t in texts[:3] for w in [*t.lower().split(), "\n"])
+    train = docs.where("doc_id < 4")
+    counts = Counter(w for t in texts[:4] for w in [*t.lower().split(), "\n"])
     n, v = sum(counts.values()), len(counts)
-    for i, text in enumerate(texts):
-        words = text.encode().lower().split()
-        assert got[i].score == pytest.approx(sum(brute_ppm(texts[:3], w, lm_ppm.ORDER) for w in [*words, None]))
-        tokens = [*text.lower().split(), "\n"]
-        assert got[i].base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens))
-        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens, got[i].held_out) == (len(tokens), sum(counts[w] > 0 for w in tokens), n, i >= 3)
-
-
-def test_lm_contexts_of_five_bytes():
-    """The symbol after five equal bytes is told apart by the fifth byte back."""
-    events = {w: next(lm_ppm._events([w]))[0].tolist() for w in (b"abcdefg", b"xbcdefg")}
-    assert lm_ppm.ORDER >= 5 and events[b"abcdefg"][5] != events[b"xbcdefg"][5]
-
-
-def test_lm_mixture_helps_and_edges(spark, edge, empty):
-    got = lm_ppm.query(spark, "/root/testdata/sf0.01").toPandas()
-    assert len(got) == 1000 and np.isfinite(got.score).all() and (got.score < 0).all()
-    assert got.score.sum() > got.base_score.sum()
-    rows = lm_ppm.score(edge, lm_ppm.statistics(edge.where("doc_id < 6"), group_col="lang"), F.lit(False)).collect()
-    assert len(rows) == len(ROWS)
+    for keys in (lm_ppm.KEYS, 4):
+        monkeypatch.setattr(lm_ppm, "KEYS", keys)
+        got = {r.doc_id: r for r in lm_ppm.score(docs, lm_ppm.train(train), F.col("doc_id") >= 4, chunk_bytes=16).collect()}
+        for i, text in enumerate(texts):
+            assert got[i].score == pytest.approx(brute_ppm(texts[:4], text, lm_ppm.ORDER))
+            tokens = [w.decode() for w in [*(text or "").lower().encode().split(), b"\n"]]
+            assert got[i].base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens))
+            assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens, got[i].held_out) == (len(tokens), sum(counts[w] > 0 for w in tokens), n, i >= 4)
+
+
+def test_lm_is_a_distribution():
+    """The probabilities of all symbols in a context sum to 1, seen or not."""
+    keys = [np.unique(k, return_counts=True) for k, _ in lm_ppm._keys([b"abracadabra abra", b"cad bra", b""])]
+    levels = lm_ppm._levels(*keys[0], lm_ppm.ORDER, 0)
+    discount = lm_ppm.discounts(lm_ppm._numbers(levels))
+    for context in (b"cadabr", b"xxxabr", b"zzzzzz", b"\n\n\n\n\n\n"):
+        asked = (int.from_bytes(context, "big") << 8) + np.arange(256)
+        p = lm_ppm._probabilities(asked, np.full(256, 1 / 256), levels, discount)
+        assert p.min() > 0 and p.sum() == pytest.approx(1)
+
+
+def test_lm_keys_by_slice(monkeypatch):
+    """Contexts cross words and reach back ORDER bytes, also where a long text is cut."""
+    texts = [b"Ab c", b"", None, LONG.encode()[:900]]
+    whole = [(key.tolist(), owner.tolist()) for key, owner in lm_ppm._keys(texts)]
+    assert len(whole) == 1 and whole[0][0][4] == int.from_bytes(b"\n\nab c\n", "big") and whole[0][1][4:7] == [0, 1, 2]
+    monkeypatch.setattr(lm_ppm, "SLICE", 50)
+    parts = [*zip(*((key.tolist(), owner.tolist()) for key, owner in lm_ppm._keys(texts)))]
+    assert [sum(x, []) for x in parts] == [*whole[0]]
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_lm_beats_base_on_held_out(spark, sf):
+    got = lm_ppm.query(spark, f"/root/testdata/sf{sf}").where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base"), F.max("score").alias("most")).first()
+    assert got.score > got.base and got.most < 0
+
+
+def test_lm_edges(spark, edge, empty):
+    rows = lm_ppm.score(edge, lm_ppm.train(edge.where("doc_id < 6")), F.lit(False)).collect()
+    assert len(rows) == len(ROWS) and all(math.isfinite(r.score) and r.score < 0 for r in rows)
     assert {r.n_tokens for r in rows if r.doc_id in (3, 4, 7)} == {1}
     assert len({r.score for r in rows if r.doc_id == 2}) == 1
-    bare = lm_ppm.score(edge, lm_ppm.statistics(empty), F.lit(True)).collect()
+    bare = lm_ppm.score(edge, lm_ppm.train(empty), F.lit(True)).collect()
     assert len(bare) == len(ROWS) and all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in bare)
-    assert lm_ppm.score(empty, lm_ppm.statistics(edge), F.lit(True)).count() == 0
+    assert lm_ppm.score(empty, lm_ppm.train(edge), F.lit(True)).count() == 0
 
 
 # ---------------------------------------------------------------- packing
@@ -563,6 +586,29 @@ def test_shingle_hashes_by_slab(monkeypatch):
     assert len(whole[0]) == 3 and len(whole[5]) == len(shingles(LONG))
 
 
+def test_forest_spans_with_the_heaviest_edges():
+    rng = np.random.default_rng(3)
+    for m in (3, 9, 30):
+        weight = rng.integers(-3, 40, (m, m)).astype(float)
+        weight = np.where(np.maximum(weight, weight.T) < 5, -1, np.maximum(weight, weight.T))
+        comp = rng.integers(0, m, m)
+        weight[comp[:, None] == comp] = np.inf
+        got = list(jaccard._forest(weight))
+        parent = list(range(m))
+
+        def find(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        want, edges = 0.0, sorted(((weight[x, y], x, y) for x in range(m) for y in range(x) if weight[x, y] >= 0), reverse=True)
+        for w, x, y in edges:  # Kruskal's
+            if find(x) != find(y):
+                parent[find(x)] = find(y)
+                want += w if w < np.inf else 0
+        assert sum(weight[x, y] for x, y in got) == want and len(got) < m and all(weight[x, y] < np.inf for x, y in got)
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
