@@ -1,18 +1,22 @@
 """Language-model scores by prediction by partial matching.
 
-A byte-context trie of order ORDER is counted over all training documents. Its symbols are the bytes of the words
-(A-Z in lower case), a space after each word and one end after the last; contexts are the preceding bytes back to the
-space before the word. A symbol's probability starts at the longest context seen, pays the escape of method X1
-((symbols seen once + 1) / (total + symbols seen once + 1)) for each shorter one and excludes the symbols of the contexts that it left.
-
-Words say little about the language of the next one, so training documents may be grouped by a column (the language):
-each group has a trie of its own, and a document's probability is the mixture of the groups' by their shares of the
-training documents. Scoring never reads that column.
-
-The tries are never gathered. Counts of words and of (context, symbol) are summed by key; nodes are scored in shards by
-the last two bytes of the context, so that all shorter contexts of a shard but those of one byte (65,792 counts a
-group at most, which is what is sent to every task) lie in it. Documents are dealt into chunks of about CHUNK_BYTES; a chunk
-asks for the distinct words and symbols that it holds and scores its documents from the answers.
+A byte-context trie of order ORDER is counted over all training documents. A document's symbols are the bytes of its words
+(A-Z in lower case) with one space between two, then one end; contexts are the ORDER bytes before, across words, with end
+bytes before the first. Counts follow update exclusion: at the longest context a symbol counts as often as it occurs, at a
+shorter one once for each longer context that holds it.
+
+In a context with total n, a symbol s seen n(s) times has (n(s) - D) / n and inherits its share of what the discounts D
+leave, by the probabilities of the next shorter context; the escape is the rest of it, what that context gives to symbols
+not seen here. After an escape the symbols seen are excluded and the shorter context's probabilities are scaled to the others.
+Both cases come to (n(s) - D)+ / n + g * P(s | shorter context), g being the context's discounts over n, which
+is how they are computed; below the empty context all 256 bytes are equal. D depends on the order and on whether a symbol
+was seen once, twice or more, and is estimated from the numbers of counts 1 to 4 in the whole trie.
+
+The trie is never gathered. Keys are 8-byte integers (ORDER context bytes and the symbol) in shards by the hash of the
+three last context bytes, so that a shard holds whole subtries; a row holds a shard's sorted keys as one binary. Shards are
+merged and asked in streams, and what a shard holds is bounded by distinct contexts. Only contexts of up to two bytes are
+sent to every task: 2^24 keys and counts (256 MiB) at the most, a few MB for text. Documents are dealt into chunks of about
+CHUNK_BYTES; a chunk asks for the distinct words and keys that it holds and scores its documents from the answers.
 
 Defined cases: a null or word-less text has the end as its only token. Without training documents every count is 0 and
 symbols are uniform over 256. Rows are scored one by one, so repeated rows and null ids keep their own results.
@@ -30,243 +34,331 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ORDER = 5
+ORDER = 6
+#: Contexts up to this order are sent to every task; a shard is a set of contexts one byte longer.
+LOW = 2
 END = 10  # white space never occurs in a word, so a line feed can stand for the end
-FLUSH = 400_000
-SLICE = 50_000
-#: Groups with a trie of their own; the smallest of more share the last.
-MAX_GROUPS = 64
-_SHIFT = 8 * (ORDER + 1)
-_GROUP = _SHIFT + 4
-
-
-def _events(words: list[bytes]):
-    """Keys depth << _SHIFT | context << 8 | symbol of every position with its longest context, and the word's index.
-
-    In slices of SLICE words, each a pair of arrays.
-    """
-    for low in range(0, len(words), SLICE):
-        some = words[low : low + SLICE]
-        text = np.frombuffer(b" " + b" ".join(some) + b" ", dtype=np.uint8)
-        space = np.flatnonzero(text == 32)
-        owner = np.repeat(np.arange(low, low + len(some)), np.diff(space))
-        at = np.arange(1, len(text))
-        depth = np.minimum(at - np.repeat(space[:-1], np.diff(space)), ORDER)
-        key = depth << _SHIFT | text[1:]
-        for j in range(1, ORDER + 1):
-            fits = np.flatnonzero(depth >= j)
-            key[fits] |= text[at[fits] - j].astype(np.int64) << 8 * j
-        yield key, owner
-
-
-def _summed(keys: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, weight = np.concatenate(keys), np.concatenate(weights)
+#: Distinct words, and keys, that a counting task holds before it passes them on.
+WORDS = 400_000
+KEYS = 4 << 20
+#: Bytes whose keys are built at once.
+SLICE = 1 << 20
+#: Least and most shards, and training bytes for each between these.
+SHARDS = (1 << 12, 1 << 16)
+SHARD_BYTES = 1 << 30
+
+
+def _words(text: bytes | None) -> list[bytes]:
+    return text.lower().split() if text else []
+
+
+def _keys(texts: list[bytes | None]):
+    """(keys, index of the text) of the symbols of texts, in slices of about SLICE bytes."""
+    pad = bytes([END]) * ORDER
+    parts, index, size = [], [], 0
+
+    def slice_():
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        n = np.array([len(p) for p in parts])
+        start = np.cumsum(n) - n
+        symbol = np.ones(len(data), dtype=bool)
+        symbol[(start[:, None] + np.arange(ORDER)).ravel()] = False
+        at = np.flatnonzero(symbol)
+        key = np.zeros(len(at), dtype=np.int64)
+        for j in range(ORDER + 1):
+            key |= data[at - j].astype(np.int64) << 8 * j
+        return key, np.repeat(index, n - ORDER)
+
+    for i, text in enumerate(texts):
+        body = b" ".join(_words(text)) + bytes([END])
+        before = pad
+        for low in range(0, len(body), SLICE):
+            parts.append(before + body[low : low + SLICE])
+            index.append(i)
+            size += len(parts[-1])
+            before = body[low + SLICE - ORDER : low + SLICE]
+            if size >= SLICE:
+                yield slice_()
+                parts, index, size = [], [], 0
+    if parts:
+        yield slice_()
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their counts."""
+    key, count = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(key, kind="stable")
     key = key[order]
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[start], np.add.reduceat(weight[order], start)
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[start], np.add.reduceat(count[order], start) if len(key) else count
+
+
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    """A power of two of shards, by the bytes LOW + 1 to 1 of the context."""
+    context = keys >> 8 & (1 << 8 * (LOW + 1)) - 1
+    return ((context.astype(np.uint32) * np.uint32(2654435761)).astype(np.uint64) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+
+
+def _rows(keys: np.ndarray, values: np.ndarray | None, chunk: int, shards: int) -> pa.RecordBatch:
+    """A row (shard, chunk, keys, values) for each shard of sorted keys."""
+    shard = _shard(keys, shards)
+    order = np.argsort(shard, kind="stable")
+    shard = shard[order]
+    start = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
+    bounds = np.append(start, len(shard)).astype(np.int32) * 8
+    packed = lambda x: pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(x[order]))])
+    none = pa.array([b""] * len(start), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(shard[start]), pa.array(np.full(len(start), chunk, dtype=np.int64)), packed(keys), none if values is None else packed(values)], schema=_PACKED)
+
+
+_PACKED = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary())])
+_PACKED_DDL = "shard int, chunk long, keys binary, vals binary"
+
+
+def _count_keys(shards: int):
+    def run(batches):
+        keys, counts, size = [], [], 0
+        for b in batches:
+            for key, _ in _keys(b.column(0).to_pylist()):
+                key, n = np.unique(key, return_counts=True)
+                keys.append(key), counts.append(n)
+                size += len(key)
+                if size > KEYS:
+                    key, n = _summed(keys, counts)
+                    if len(key) > KEYS // 2:
+                        yield _rows(key, n, -1, shards)
+                        keys, counts, size = [], [], 0
+                    else:
+                        keys, counts, size = [key], [n], len(key)
+        if keys:
+            yield _rows(*_summed(keys, counts), -1, shards)
 
+    return run
 
-#: The event of the end, after the space that stands before a word.
-_END_KEY = 1 << _SHIFT | 32 << 8 | END
 
+def _count_words(batches):
+    counts = Counter()
+    flush = lambda: pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+    for b in batches:
+        for text in b.column(0):
+            counts.update(_words(text.as_py()))
+        if len(counts) > WORDS:
+            yield flush()
+            counts = Counter()
+    if counts:
+        yield flush()
+
+
+def _by_shard(take, done):
+    """Batches of rows sorted by shard to what take(state, row) and done(state) yield; state is a new dict for each shard."""
+
+    def run(batches):
+        at, state = None, {}
+        for b in batches:
+            for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                if row[0] != at:
+                    if at is not None:
+                        yield from done(state)
+                    at, state = row[0], {"shard": row[0]}
+                yield from take(state, row[1], *(np.frombuffer(x.as_buffer(), np.int64) for x in row[2:]))
+        if at is not None:
+            yield from done(state)
 
-def _words(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []
+    return run
+
+
+def _merge():
+    """Partial counts of each shard to one row."""
+
+    def take(state, _, keys, counts):
+        state.setdefault("keys", []).append(keys), state.setdefault("counts", []).append(counts)
+        state["size"] = state.get("size", 0) + len(keys)
+        if state["size"] > 2 * state.get("least", KEYS // 2):
+            keys, counts = _summed(state["keys"], state["counts"])
+            state.update(keys=[keys], counts=[counts], size=len(keys), least=max(KEYS // 2, len(keys)))
+        return ()
 
+    def done(state):
+        keys, counts = _summed(state["keys"], state["counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([state["shard"]], pa.int32()), pa.array([-1], pa.int64()), pa.array([keys.tobytes()]), pa.array([counts.tobytes()])], schema=_PACKED)
 
-_COUNTS = pa.schema([("word", pa.binary()), ("event", pa.int64()), ("n", pa.int64())])
+    return _by_shard(take, done)
 
 
-def _count(batches):
-    """Batches (text, group) of training documents to partial counts, with the group in the event's upper bits.
+def _levels(keys: np.ndarray, counts: np.ndarray, order: int, least: int) -> dict:
+    """{order: (keys, counts)} of the orders from order down to least, with update exclusion below the first."""
+    out = {order: (keys, counts)}
+    for j in range(order - 1, least - 1, -1):
+        out[j] = np.unique(out[j + 1][0] & (1 << 8 * (j + 1)) - 1, return_counts=True)
+    return out
 
-    The null word with a negative event -1 - group counts documents.
-    """
 
-    def flush(group, counts, docs):
-        words = [*counts]
-        n = np.fromiter(counts.values(), np.int64, len(words))
-        keys, sums = [], []
-        for key, owner in _events(words):
-            key, sum_ = _summed([key], [n[owner]])
-            keys.append(key), sums.append(sum_)
-        keys, sums = _summed([*keys, np.array([_END_KEY])], [*sums, np.array([docs])])
-        none_e, none_w = pa.nulls(len(words), pa.int64()), pa.nulls(len(keys) + 1, pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), none_e, pa.array(n)], schema=_COUNTS)
-        keys = pa.array(np.append(keys | group << _GROUP, -1 - group))
-        yield pa.RecordBatch.from_arrays([none_w, keys, pa.array(np.append(sums, docs))], schema=_COUNTS)
+def _numbers(levels: dict) -> dict:
+    """{(order, r): how many keys of that order have count r}, r from 1 to 4."""
+    return {(j, r): int((n == r).sum()) for j, (_, n) in levels.items() for r in (1, 2, 3, 4)}
 
-    counts, docs = {}, Counter()
+
+def _summary(batches):
+    """Shards to (key, n): the keys of order LOW with their counts, and -4 * order - r for the numbers of counts r."""
     for b in batches:
-        for text, group in zip(b.column(0), b.column(1).to_pylist()):
-            counts.setdefault(group, Counter()).update(_words(text.as_py()))
-            docs[group] += 1
-        if sum(map(len, counts.values())) > FLUSH:
-            for group, got in counts.items():
-                yield from flush(group, got, docs[group])
-            counts, docs = {}, Counter()
-    for group, got in counts.items():
-        yield from flush(group, got, docs[group])
-
-
-def statistics(docs: DataFrame, text_col="text", group_col: str | None = None) -> DataFrame:
-    """Counts of the training documents: word, event, n; staged."""
-    group = F.lit(0)
-    if group_col:
-        value = F.col(group_col)
-        most = docs.groupBy(value.alias("g")).count().orderBy(F.desc("count"), F.col("g").asc_nulls_last()).limit(MAX_GROUPS - 1).collect()
-        group = F.lit(len(most))
-        for i, r in enumerate(most):
-            group = F.when(value.eqNullSafe(F.lit(r.g)), i).otherwise(group)
-    parts = docs.select(F.col(text_col).cast("binary"), group.cast("int")).mapInArrow(_count, "word binary, event long, n long")
-    return common.stage(parts.groupBy("word", "event").agg(F.sum("n").alias("n")), "ppm")
-
-
-_ASKED = pa.schema([("chunk", pa.int64()), ("word", pa.binary()), ("event", pa.int64())])
-
-
-def _ask(table):
-    """What a chunk needs: its distinct words and the distinct events of their longest contexts."""
-    chunk = table["chunk"][0].as_py()
-    words = set()
-    for text in table["text"]:
-        words.update(_words(text.as_py()))
-    words = [*words]
-    keys = [np.unique(key) for key, _ in _events(words)]
-    keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-    n, m = len(words), len(keys)
-    return pa.table([pa.array([chunk] * (n + m), pa.int64()), pa.array(words + [None] * m, pa.binary()), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(keys)])], schema=_ASKED)
-
-
-def _distribution(nodes: dict, order: int, context: int) -> tuple[dict, float]:
-    """log10 probability of the symbols seen in a context or below it, and of each other symbol."""
-    out, escape = {}, 1.0
-    for j in range(order, -1, -1):
-        node = nodes.get((j, context & (1 << 8 * j) - 1))
-        fresh = [(s, n) for s, n in node.items() if s not in out] if node else ()
-        if not fresh:
+        for keys, counts in zip(b.column(2), b.column(3)):
+            levels = _levels(*(np.frombuffer(x.as_buffer(), np.int64) for x in (keys, counts)), ORDER, LOW)
+            low, n = levels.pop(LOW)
+            numbers = _numbers(levels)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-4 * j - r for j, r in numbers], low])), pa.array(np.concatenate([[*numbers.values()], n]))], names=["key", "n"])
+
+
+def discounts(numbers: dict) -> dict:
+    """D of symbols seen once, twice and more often for each order."""
+    out = {}
+    for j in {j for j, _ in numbers}:
+        n = [numbers[j, r] for r in (1, 2, 3, 4)]
+        y = n[0] / max(1, n[0] + 2 * n[1])
+        out[j] = np.array([min(max(r - (r + 1) * y * n[r] / max(1, n[r - 1]), 0.05), r - 0.02) for r in (1, 2, 3)])
+    return out
+
+
+def _probabilities(asked: np.ndarray, p: np.ndarray, levels: dict, discount: dict) -> np.ndarray:
+    """Probabilities of the asked keys, from those in the context below the first of the levels, climbing to the last."""
+    for j in sorted(levels):
+        keys, n = levels[j]
+        if not len(keys):
             continue
-        once = sum(n == 1 for _, n in fresh) + 1
-        total = sum(n for _, n in fresh) + once
-        for s, n in fresh:
-            out[s] = math.log10(escape * n / total)
-        escape *= once / total
-    return out, math.log10(escape / max(1, 256 - len(out)))
-
-
-def _tries(low: list[tuple[int, int]], counts=()) -> dict:
-    """Nodes {(order, context): {symbol: n}} by group; low: (event of one context byte, n), counts: longest events.
-
-    An event counts for every suffix of its context; contexts under two bytes are counted in low alone.
-    """
-    tries: dict = {}
-    for event, n in low:
-        nodes = tries.setdefault(event >> _GROUP, {})
-        for at in ((1, event >> 8 & 255), (0, 0)):
-            node = nodes.setdefault(at, {})
-            node[event & 255] = node.get(event & 255, 0) + n
-    for event, n in counts:
-        nodes, symbol, context = tries.setdefault(event >> _GROUP, {}), event & 255, event >> 8
-        for j in range(2, (event >> _SHIFT & 15) + 1):
-            node = nodes.setdefault((j, context & (1 << 8 * j) - 1), {})
-            node[symbol] = node.get(symbol, 0) + n
-    return tries
-
-
-def _score_events(groups: list[int], low: list[tuple[int, int]]):
-    """A shard's counts and the events asked for to log10 probabilities by group."""
-
-    def run(counts, asked):
-        tries = _tries(low, zip(counts["event"].to_pylist(), counts["n"].to_pylist()))
-        events, logp, at, dist = sorted(asked["event"].to_pylist()), [], None, []
-        for event in events:
-            if event >> 8 != at:
-                at = event >> 8
-                dist = [_distribution(tries.get(g, {}), event >> _SHIFT, at & (1 << 8 * ORDER) - 1) for g in groups]
-            logp.append([known.get(event & 255, other) for known, other in dist])
-        packed = [row.tobytes() for row in np.array(logp, dtype="<f8").reshape(len(events), len(groups))]
-        return pa.table({"event": pa.array(events, pa.int64()), "logp": pa.array(packed, pa.binary())})
+        context = keys >> 8
+        start = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        total = np.add.reduceat(n, start)
+        d = discount[j][np.minimum(n, 3) - 1]
+        left = np.add.reduceat(d, start) / total
+        want = asked & (1 << 8 * (j + 1)) - 1
+        node = np.minimum(np.searchsorted(context[start], want >> 8), len(start) - 1)
+        leaf = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        own = np.where(keys[leaf] == want, (n - d)[leaf] / total[node], 0.0)
+        p = np.where(context[start][node] == want >> 8, own + left[node] * p, p)
+    return p
+
+
+def _answer(low: dict, discount: dict):
+    """Shards and, behind each, the keys that chunks ask for to their log10 probabilities."""
+
+    def take(state, chunk, keys, counts):
+        if chunk < 0:
+            state["levels"] = _levels(keys, counts, ORDER, LOW + 1)
+            return
+        p = _probabilities(keys, np.full(len(keys), 1 / 256), low, discount)
+        p = np.log10(_probabilities(keys, p, state.get("levels", {}), discount))
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([keys.tobytes()]), pa.array([p.tobytes()])], names=["chunk", "keys", "logp"])
+
+    return _by_shard(take, lambda state: ())
+
+
+class Model:
+    """words: (word, n); trie: one row a shard; docs: training documents; both tables staged."""
+
+    def __init__(self, words: DataFrame, trie: DataFrame, docs: int, shards: int):
+        self.words, self.trie, self.docs, self.shards = words, trie, docs, shards
+
+
+def train(docs: DataFrame, text_col="text") -> Model:
+    text = docs.select(F.col(text_col).cast("binary").alias("text"))
+    size = text.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    shards = min(SHARDS[1], max(SHARDS[0], 1 << ((size.bytes or 0) // SHARD_BYTES).bit_length()))
+    words = text.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    parts = text.mapInArrow(_count_keys(shards), _PACKED_DDL).repartition("shard").sortWithinPartitions("shard")
+    return Model(common.stage(words, "words"), common.stage(parts.mapInArrow(_merge(), _PACKED_DDL), "trie"), size.n, shards)
+
+
+_ASKED = pa.schema([*_PACKED, ("word", pa.binary())])
+
+
+def _ask(shards: int):
+    """What a chunk needs: its distinct words and keys."""
+
+    def run(table):
+        chunk, texts = table["chunk"][0].as_py(), table["text"].to_pylist()
+        words = set()
+        for text in texts:
+            words.update(_words(text))
+        keys = np.zeros(0, dtype=np.int64)
+        held: list[np.ndarray] = []
+        for key, _ in _keys(texts):
+            held.append(np.unique(key))
+            if sum(map(len, held)) > KEYS:
+                keys, held = np.unique(np.concatenate([keys, *held])), []
+        packed = _rows(np.unique(np.concatenate([keys, *held])), None, chunk, shards)
+        packed = pa.table([*packed.columns, pa.nulls(packed.num_rows, pa.binary())], schema=_ASKED)
+        n = len(words)
+        alone = pa.table([pa.nulls(n, pa.int32()), pa.array([chunk] * n, pa.int64()), *(pa.nulls(n, pa.binary()) for _ in range(2)), pa.array(words, pa.binary())], schema=_ASKED)
+        return pa.concat_tables([packed, alone])
 
     return run
 
 
-def _score_chunk(total: int, distinct: int, end: int, share: list[float], end_logp: list[float], out: pa.Schema):
-    first = np.log10(share) + np.array(end_logp)
-
+def _score_chunk(total: int, distinct: int, end: int, out: pa.Schema):
     def run(docs, answers):
         if not docs.num_rows:
             return out.empty_table()
         is_word = answers["word"].is_valid()
-        known = answers.filter(is_word)
-        words = known["word"].to_pylist()
-        count = known["n"].to_numpy()
+        known, packed = answers.filter(is_word), answers.filter(pa.compute.invert(is_word))
+        words, count = known["word"].to_pylist(), known["n"].to_numpy()
         base = np.log10((count + 1.0) / (total + distinct + 1.0))
-        model = np.zeros((len(words), len(share)))
-        if words:
-            events = answers.filter(pa.compute.invert(is_word))
-            key, logp = events["event"].to_numpy(), np.frombuffer(b"".join(events["logp"].to_pylist()), "<f8").reshape(-1, len(share))
-            order = np.argsort(key)
-            key = key[order]
-            for asked, owner in _events(words):
-                at = order[np.searchsorted(key, asked)]
-                for g in range(len(share)):
-                    model[owner[0] : owner[-1] + 1, g] = np.bincount(owner - owner[0], weights=logp[at, g])
+        key, logp = (np.frombuffer(b"".join(packed[c].to_pylist()), kind) for c, kind in (("keys", np.int64), ("logp", np.float64)))
+        order = np.argsort(key)
+        key, logp = key[order], logp[order]
+        texts = docs["text"].to_pylist()
+        score = np.zeros(len(texts))
+        for asked, owner in _keys(texts):
+            score += np.bincount(owner, weights=logp[np.searchsorted(key, asked)], minlength=len(texts))
         index = {w: i for i, w in enumerate(words)}
-        tokens, seen, base_sum, score = [], [], [], []
-        for text in docs["text"]:
-            at = np.array([index[w] for w in _words(text.as_py())], dtype=np.int64)
+        tokens, seen, base_sum = [], [], []
+        for text in texts:
+            at = np.array([index[w] for w in _words(text)], dtype=np.int64)
             tokens.append(len(at) + 1)
             seen.append(int((count[at] > 0).sum()) + (end > 0))
             base_sum.append(float(base[at].sum()) + math.log10((end + 1) / (total + distinct + 1)))
-            by_group = first + model[at].sum(axis=0)
-            most = by_group.max()
-            score.append(float(most + np.log10((10.0 ** (by_group - most)).sum())))
-        n = docs.num_rows
-        return pa.table([docs["doc_id"], docs["held_out"], pa.array(tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array([total] * n, pa.int64()), pa.array(base_sum), pa.array(score)], schema=out)
+        return pa.table([docs["doc_id"], docs["held_out"], pa.array(tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array([total] * len(texts), pa.int64()), pa.array(base_sum), pa.array(score)], schema=out)
 
     return run
 
 
-def score(docs: DataFrame, counts: DataFrame, held_out: Column, id_col="doc_id", text_col="text", chunk_bytes: int = common.CHUNK_BYTES) -> DataFrame:
+def score(docs: DataFrame, model: Model, held_out: Column, id_col="doc_id", text_col="text", chunk_bytes: int = common.CHUNK_BYTES) -> DataFrame:
     """Scores of all rows of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    is_word, is_event = F.col("word").isNotNull(), F.col("event").isNotNull()
-    is_docs, order = F.col("event") < 0, F.shiftright("event", _SHIFT).bitwiseAND(15)
-    sums = counts.where(is_word).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    by_group = {-1 - r.event: r.n for r in counts.where(is_docs).collect()} or {0: 0}  # MAX_GROUPS rows at most
-    groups, end = sorted(by_group), sum(by_group.values())
-    total, distinct = (sums.n or 0) + end, sums.v + (end > 0)
-    one = F.shiftleft(F.shiftright("event", _GROUP), _GROUP).bitwiseOR(F.col("event").bitwiseAND(0xFFFF))
-    low = [(r.event, r.n) for r in counts.where(~is_docs).groupBy(one.alias("event")).agg(F.sum("n").alias("n")).collect()]
-    tries = _tries(low)
-    at_start = [_distribution(tries.get(g, {}), 1, 32) for g in groups]
-    end_logp = [known.get(END, other) for known, other in at_start]
-    share = [(by_group[g] + 1) / (end + len(groups)) for g in groups]
+    sums = model.words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    total, distinct = (sums.n or 0) + model.docs, sums.v + (model.docs > 0)
+    told = model.trie.mapInArrow(_summary, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    key, n = told["key"].to_numpy(), told["n"].to_numpy()
+    numbers = {(j, r): 0 for j in range(LOW + 1, ORDER + 1) for r in (1, 2, 3, 4)}
+    for k, v in zip(key[key < 0].tolist(), n[key < 0].tolist()):
+        j, r = divmod(-k - 1, 4)
+        numbers[j, r + 1] = v
+    some = np.flatnonzero(key >= 0)
+    some = some[np.argsort(key[some])]
+    low = _levels(key[some], n[some], LOW, 0)
+    discount = discounts(numbers | _numbers(low))
 
     text = F.col(text_col).cast("binary")
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
     dealt = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), text.alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.crc32(text)), F.lit(chunks)).alias("chunk"))
-    asked = common.stage(dealt.groupBy("chunk").applyInArrow(_ask, "chunk long, word binary, event long"), "asked")
-
-    shard = F.shiftright("event", 8).bitwiseAND(0xFFFF).alias("shard")
-    nodes_by_shard = counts.where(~is_docs & (order >= 2)).select("event", "n", shard)
-    asked_by_shard = asked.where(is_event).select("event").distinct().select("event", shard)
-    logp = nodes_by_shard.groupBy("shard").cogroup(asked_by_shard.groupBy("shard")).applyInArrow(_score_events(groups, low), "event long, logp binary")
-    zero, none = F.lit(0).cast("long"), F.lit(None)
-    for_words = asked.where(is_word).select("chunk", "word").join(counts.where(is_word).select("word", "n").hint("shuffle_hash"), "word", "left")
-    for_words = for_words.select("chunk", "word", none.cast("long").alias("event"), F.coalesce("n", zero).alias("n"), none.cast("binary").alias("logp"))
-    for_events = asked.where(is_event).select("chunk", "event").join(logp, "event")
-    for_events = for_events.select("chunk", none.cast("binary").alias("word"), "event", zero.alias("n"), "logp")
-    answers = for_words.unionByName(for_events)
+    asked = common.stage(dealt.groupBy("chunk").applyInArrow(_ask(model.shards), f"{_PACKED_DDL}, word binary"), "asked")
+    is_word = F.col("word").isNotNull()
+
+    shards = model.trie.unionByName(asked.where(~is_word).drop("word")).repartition("shard").sortWithinPartitions("shard", "chunk")
+    shared = docs.sparkSession.sparkContext.broadcast((low, discount))
+
+    def answers_of(batches):
+        yield from _answer(*shared.value)(batches)
+
+    for_keys = shards.mapInArrow(answers_of, "chunk long, keys binary, logp binary")
+    for_words = asked.where(is_word).select("chunk", "word").join(model.words.hint("shuffle_hash"), "word", "left").select("chunk", "word", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    answers = for_words.unionByName(for_keys, allowMissingColumns=True)
 
     kind = dealt.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = pa.schema([(f.name, f.type) for f in common.arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)])
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_chunk(total, distinct, end, share, end_logp, out), schema)
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_chunk(total, distinct, model.docs, out), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.read_table(spark, sf_dir, "documents")
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = common.fold(F.col("doc_id"), 7) == 2
-    return score(docs, statistics(docs.where(~held_out), group_col="lang"), held_out)
+    return score(docs, train(docs.where(~held_out)), held_out)
