@@ -40,7 +40,7 @@ LOW = 2
 END = 10  # white space never occurs in a word, so a line feed can stand for the end
 #: Distinct words, and keys, that a counting task holds before it passes them on.
 WORDS = 400_000
-KEYS = 4 << 20
+KEYS = 2 << 20
 #: Bytes whose keys are built at once.
 SLICE = 1 << 20
 #: Least and most shards, and training bytes for each between these.
@@ -58,16 +58,15 @@ def _keys(texts: list[bytes | None]):
     parts, index, size = [], [], 0
 
     def slice_():
-        data = np.frombuffer(b"".join(parts), np.uint8)
+        data = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
         n = np.array([len(p) for p in parts])
-        start = np.cumsum(n) - n
         symbol = np.ones(len(data), dtype=bool)
-        symbol[(start[:, None] + np.arange(ORDER)).ravel()] = False
-        at = np.flatnonzero(symbol)
-        key = np.zeros(len(at), dtype=np.int64)
-        for j in range(ORDER + 1):
-            key |= data[at - j].astype(np.int64) << 8 * j
-        return key, np.repeat(index, n - ORDER)
+        symbol[((np.cumsum(n) - n)[:, None] + np.arange(ORDER)).ravel()] = False
+        key, size = data, 1  # the bytes that end at a place: size of them, joined with as many before, which may overlap
+        while size <= ORDER:
+            more = min(size, ORDER + 1 - size)
+            key, size = key[more:] | key[:-more] << 8 * more, size + more
+        return key[symbol[ORDER:]], np.repeat(index, n - ORDER)
 
     for i, text in enumerate(texts):
         body = b" ".join(_words(text)) + bytes([END])
@@ -93,6 +92,12 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key[start], np.add.reduceat(count[order], start) if len(key) else count
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys; sorting beats the hashing of np.unique here."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
     """A power of two of shards, by the bytes LOW + 1 to 1 of the context."""
     context = keys >> 8 & (1 << 8 * (LOW + 1)) - 1
@@ -281,10 +286,10 @@ def _ask(shards: int):
         keys = np.zeros(0, dtype=np.int64)
         held: list[np.ndarray] = []
         for key, _ in _keys(texts):
-            held.append(np.unique(key))
+            held.append(_distinct(key))
             if sum(map(len, held)) > KEYS:
-                keys, held = np.unique(np.concatenate([keys, *held])), []
-        packed = _rows(np.unique(np.concatenate([keys, *held])), None, chunk, shards)
+                keys, held = _distinct(np.concatenate([keys, *held])), []
+        packed = _rows(_distinct(np.concatenate([keys, *held])), None, chunk, shards)
         packed = pa.table([*packed.columns, pa.nulls(packed.num_rows, pa.binary())], schema=_ASKED)
         n = len(words)
         alone = pa.table([pa.nulls(n, pa.int32()), pa.array([chunk] * n, pa.int64()), *(pa.nulls(n, pa.binary()) for _ in range(2)), pa.array(words, pa.binary())], schema=_ASKED)
@@ -307,7 +312,11 @@ def _score_chunk(total: int, distinct: int, end: int, out: pa.Schema):
         texts = docs["text"].to_pylist()
         score = np.zeros(len(texts))
         for asked, owner in _keys(texts):
-            score += np.bincount(owner, weights=logp[np.searchsorted(key, asked)], minlength=len(texts))
+            order = np.argsort(asked)
+            asked = asked[order]
+            new = np.concatenate([[True], asked[1:] != asked[:-1]])
+            found = logp[np.searchsorted(key, asked[new])]  # in order, and each key once
+            score += np.bincount(owner[order], weights=found[np.cumsum(new) - 1], minlength=len(texts))
         index = {w: i for i, w in enumerate(words)}
         tokens, seen, base_sum = [], [], []
         for text in texts:
