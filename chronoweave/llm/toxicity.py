@@ -30,7 +30,6 @@ from . import common
 
 TRAIN_DOCS = 20_000
 STEMS = (3, 8)
-MAX_TERMS = 1024
 #: Likelihood-ratio statistic that a term needs beyond twice the log of the number of candidates.
 MARGIN = 8.0
 #: Least ratio of a term's frequencies in toxic and clean documents.
@@ -197,8 +196,13 @@ def _frequencies(docs: DataFrame, only: set[str] | None) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", per_label: int = TRAIN_DOCS):
-    """(terms, weights when exact, weights when misspelled, coefficients) from the labelled rows of docs."""
+    """(terms, weights when exact, weights when misspelled, coefficients) from the labelled rows of docs.
+
+    Labels of documents that docs doesn't hold have no part in it. All terms that pass the test are kept; their number is
+    bounded by the sample, which has about per_label documents of each label.
+    """
     labels = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(F.col(label_col).cast("int")) > 0).cast("int").alias("_toxic"))
+    labels = labels.join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi")  # labels of other documents tell nothing
     known = {r["_toxic"]: r["count"] for r in labels.groupBy("_toxic").count().collect()}
     if len(known) < 2:
         return [], [], [], np.zeros(0)
@@ -222,11 +226,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
         if (a + 0.5) / (t + 1) >= RATIO * (b + 0.5) / (c + 1) and _llr(a, b, t, c) >= need:
             good.append((_llr(a, b, t, c), len(stem), stem))
     terms: list[str] = []
+    chosen: set[str] = set()
     taken: set[str] = set()  # terms and all that they start with
     for _, _, stem in sorted(good, reverse=True):
         bare = stem.removesuffix("$")
-        if len(terms) < MAX_TERMS and bare not in taken and not any(bare[:k] in terms for k in range(STEMS[0], len(bare) + 1)):
+        if bare not in taken and not any(bare[:k] in chosen for k in range(STEMS[0], len(bare) + 1)):
             terms.append(stem)
+            chosen.add(stem)
             taken.update(bare[:k] for k in range(STEMS[0], len(bare) + 1))
     exact = [odds(toxic[s], clean.get(s, 0)) for s in terms]
 
@@ -251,8 +257,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     return terms, exact, fuzzy, _logistic(x, y, weight / weight.mean())
 
 
-def score(docs: DataFrame, model, text_col="text") -> DataFrame:
-    """docs with toxic_score behind its own columns."""
+def score(docs: DataFrame, model, text_col="text", name: str = "toxic_score") -> DataFrame:
+    """docs with the score behind its own columns, under the given name or, if docs has it, with underscores before it."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -266,12 +272,13 @@ def score(docs: DataFrame, model, text_col="text") -> DataFrame:
             yield pd.Series(1 / (1 + np.exp(-np.clip(beta[0] + x @ beta[1:], -30, 30))))
 
     run = F.pandas_udf(scores, "double")
-    return docs.withColumn("toxic_score", run(F.col(text_col)))
+    return docs.withColumn(common.free_name(docs.columns, name), run(F.col(text_col)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = common.fold(F.col("doc_id"), 4) == 2
-    model = train(docs.where(~held_out), common.read_table(spark, sf_dir, "labels"))
+    labels = common.read_table(spark, sf_dir, "labels")
+    model = train(docs.where(~held_out), labels.where(common.fold(F.col("doc_id"), 4) != 2))
     got = score(docs, model)
     return got.select("doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= THRESHOLD).cast("int").alias("predicted"))
