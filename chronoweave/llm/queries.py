@@ -20,4 +20,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op5_ann_one_bit": ann.ORACLE,
+    "op8_warc": warc.ORACLE,
 }
