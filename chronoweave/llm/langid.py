@@ -12,7 +12,6 @@ Extra columns are kept; the score of a text depends on nothing but the text and
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +31,6 @@ UNKNOWN = "und"
 #: Characters that are scored at a time.
 SLAB = 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
 _FACTORS = np.array([2654435761, 2246822519, 3266489917], dtype=np.uint32)
 
 
@@ -86,7 +84,7 @@ def predict(langs: list[str], prior: np.ndarray, logp: np.ndarray, texts) -> tup
             np.add.at(total, index, np.add.reduceat(logp[row], starts, axis=0))
     lang, score = [], []
     for text, row in zip(texts, total):
-        if text is None or not langs or not _LETTER.search(text):
+        if text is None or not langs or not any(map(str.isalpha, text)):
             lang.append(UNKNOWN), score.append(0.0)
             continue
         best = int(row.argmax())
