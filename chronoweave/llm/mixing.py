@@ -94,7 +94,7 @@ def copies(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: fl
     units = units.join(per.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     exact = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(F.lit(min(share, cap)))
     whole = F.floor(exact + F.lit(EPS))
-    tie = F.xxhash64(F.lit(seed), "doc_id")
+    tie = F.xxhash64(F.lit(seed), "doc_id", "size")
     units = units.select(
         "doc_id", "source", "size", "copies_of", "sid", "source_size", "target", whole.cast("long").alias("whole"), F.greatest(exact - whole, F.lit(0.0)).alias("frac"),
         (F.col("size") * F.col("copies_of")).alias("unit_size"), tie.alias("tie"),
