@@ -6,8 +6,9 @@ over its budget spills its largest subtree to a temporary file, and that subtree
 trie runs before the shuffle, so a text that fills a third of the corpus is sent once for each input task.
 
 Defined cases: a null text equals the empty text. Null ids lose against any id. Of rows that repeat both the owner's
-id and its text, one stays. Two texts are equal only when their bytes are; if two different texts ever shared length
-and SHA-256, the operator raises. An empty table gives no rows; other columns are carried unchanged.
+id and its text, one stays. Two texts are equal only when their bytes are; assign() hands the owners' decision to the rows
+by SHA-256, and those of texts with more than 1 / HOT of all rows (HOT - 1 at most) by broadcast, so that no join key
+is hot. An empty table gives no rows; other columns are carried unchanged.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from . import common
 
 BUDGET = 96 << 20
 OUT_BYTES = 8 << 20
+HOT = 1000
 
 
 class _Node:
@@ -157,11 +159,9 @@ def _owners(schema: pa.Schema, largest: bool, combine: bool, budget: int):
         first = new if wins else old
         return (first[0], old[1] + new[1], first[2], first[3])
 
-    def rows(trie, check):
+    def rows(trie):
         out, size = [], 0
         for key, (ident, copies, sha, row) in trie.items():
-            if check is not None and check.setdefault((len(key), sha), key) != key:
-                raise ValueError(f"two texts of {len(key)} bytes share the hash {sha}")
             out.append((len(key), sha, key, ident, copies, row))
             size += len(key) + 200
             if size > OUT_BYTES:
@@ -182,25 +182,15 @@ def _owners(schema: pa.Schema, largest: bool, combine: bool, budget: int):
                 trie.insert(key.as_py(), (ident, copies, sha, r))
                 if trie.size > budget:
                     if combine:
-                        yield from rows(trie, None)
+                        yield from rows(trie)
                         trie = RadixTrie(better, budget)
                     else:
                         trie.spill()
-        yield from rows(trie, None if combine else _Seen())
+        yield from rows(trie)
 
     return run
 
 
-class _Seen(dict):
-    """Remembers a key's digest by (length, hash), so that a shared hash of different texts is noticed."""
-
-    def setdefault(self, at, key):
-        import hashlib
-
-        mark = hashlib.blake2b(key, digest_size=16).digest()
-        return key if super().setdefault(at, mark) == mark else None
-
-
 def owners(docs: DataFrame, keep: str = "smallest", id_col="doc_id", text_col="text", carry: Column | None = None, budget: int = BUDGET) -> DataFrame:
     """One row for each distinct text: n_bytes, sha, key (the bytes), id (of the owner), copies, and row if carried."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
@@ -214,10 +204,17 @@ def owners(docs: DataFrame, keep: str = "smallest", id_col="doc_id", text_col="t
 
 def assign(docs: DataFrame, keep: str = "smallest", id_col="doc_id", text_col="text") -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    classes = owners(docs, keep, id_col, text_col).select(F.col("sha").alias("_sha"), F.col("id").alias("keep_id"), F.col("copies").alias("group_size"))
+    classes = owners(docs, keep, id_col, text_col).select(F.col("sha").alias("_sha"), F.col("id").alias("_id"), F.col("copies").alias("_n"))
+    classes = common.stage(classes, "owners")
+    total = classes.agg(F.sum("_n")).first()[0] or 0
+    hot = classes.where(F.col("_n") * HOT > total).toDF("_hot", "_hot_id", "_hot_n")
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     each = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("text_sha256"))
-    each = each.join(classes, each["text_sha256"] == classes["_sha"]).drop("_sha")
+    each = each.join(F.broadcast(hot), each["text_sha256"] == F.col("_hot"), "left")
+    key = F.when(F.col("_hot").isNull(), F.col("text_sha256")).otherwise(F.xxhash64("doc_id").cast("string"))  # spread, and no hash
+    each = each.withColumn("_key", key).join(classes, F.col("_key") == F.col("_sha"), "left")
+    found = lambda hot, other: F.when(F.col("_hot").isNotNull(), F.col(hot)).otherwise(F.col(other))
+    each = each.select("doc_id", found("_hot_id", "_id").alias("keep_id"), found("_hot_n", "_n").alias("group_size"), "text_sha256")
     first = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("keep_id")) == 1
     return each.repartition("doc_id", "text_sha256").select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & first).alias("kept"), "text_sha256"
