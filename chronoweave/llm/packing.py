@@ -20,6 +20,7 @@ import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,10 @@ def byte_ranks(path: str) -> dict[bytes, int] | None:
         return None
 
 
+#: Encoders by path, for as long as a worker lives.
+_ENCODERS: dict = {}
+
+
 def encoder(path: str):
     """text -> ids like tokenizers' encode(text, add_special_tokens=False) with the file at path.
 
@@ -58,7 +63,7 @@ def encoder(path: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    cache = vars(tiktoken).setdefault("_encoder_by_path", {})  # for as long as the worker lives
+    cache = _ENCODERS
     if path not in cache:
         own = Tokenizer.from_file(path)
         special = [t.content for t in own.get_added_tokens_decoder().values()]
@@ -221,6 +226,37 @@ def plan_small(spaces: dict[int, int], hist: dict[int, int], capacity: int) -> t
     return first, places, fresh - at
 
 
+def _place(spark: SparkSession, places: list[tuple], key: Column, at: Column) -> Column:
+    """struct<low, base, per, space> of the place (key, low, high, base, per[, space]) that holds position at of a key.
+
+    Places don't overlap, so the last that begins at the position or before it is the one; null if it ends before.
+    """
+    table = np.array([(*p, 0)[:6] for p in places] or np.zeros((0, 6)), dtype=np.int64).reshape(-1, 6)
+    table = table[np.lexsort((table[:, 1], table[:, 0]))]
+    shared = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("low long, base long, per long, space long")
+    def run(keys: pd.Series, at: pd.Series) -> pd.DataFrame:
+        table = shared.value
+        found = pd.DataFrame({c: pd.array([None] * len(keys), dtype="Int64") for c in ("low", "base", "per", "space")})
+        if not len(table):
+            return found
+        # keys and positions as one ordered number: the rank of the key, then the position
+        names, first = np.unique(table[:, 0], return_index=True)
+        span = max(int(table[:, 2].max()), int(at.max()) if len(at) else 0) + 1
+        of = np.searchsorted(names, keys.to_numpy())
+        known = names[np.minimum(of, len(names) - 1)] == keys.to_numpy()
+        row = np.searchsorted(np.searchsorted(names, table[:, 0]) * span + table[:, 1], of * span + at.to_numpy(), "right") - 1
+        row = np.maximum(row, 0)
+        inside = known & (table[row, 0] == keys.to_numpy()) & (table[row, 1] <= at.to_numpy()) & (at.to_numpy() < table[row, 2])
+        for name, column in (("low", 1), ("base", 3), ("per", 4), ("space", 5)):
+            found[name] = pd.array(table[row, column], dtype="Int64")
+            found.loc[~inside, name] = pd.NA
+        return found
+
+    return run(key, at)
+
+
 def _small_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, columns))
 
@@ -238,12 +274,10 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, gro
     keep = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     by_length = _small_table(spark, [*first.items()], "length long, _first long")
-    by_group = _small_table(spark, places, "_group long, _low long, _high long, _base long, _per long")
     at = F.col("_first") + F.col("idx")
-    large = placed.join(by_length, "length").withColumn("_group", F.floor(at / q).cast("long")).withColumn("_at", at % q)
-    large = large.join(by_group, "_group").where((F.col("_at") >= F.col("_low")) & (F.col("_at") < F.col("_high")))
-    bin_ = (F.col("_base") + F.floor((F.col("_at") - F.col("_low")) / F.col("_per"))).cast("long")
-    large = large.withColumn("bin", bin_)
+    large = placed.join(by_length, "length").withColumn("_group", F.floor(at / q).cast("long")).withColumn("_at", (at % q).cast("long"))
+    large = large.withColumn("_p", _place(spark, places, F.col("_group"), F.col("_at")))
+    large = large.withColumn("bin", (F.col("_p.base") + F.floor((F.col("_at") - F.col("_p.low")) / F.col("_p.per"))).cast("long"))
     in_bin = Window.partitionBy("bin").orderBy("_group", "_at")
     large = common.stage(large.select(*keep, "bin", (F.sum("length").over(in_bin) - F.col("length")).alias("offset")), "large_pieces")
 
@@ -254,10 +288,9 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, gro
     bins = rank_within(bins, "space", [F.col("bin")], max(spaces.values(), default=0)).join(by_space, "space")
     bins = bins.select("bin", (F.col("_first") + F.col("idx")).alias("_rank"))
     open_bins = sum(n for k, n in spaces.items() if k)
-    fit = _small_table(spark, places, "length long, _low long, _high long, _base long, _per long, _space long")
-    small = placed.join(fit, "length").where((F.col("idx") >= F.col("_low")) & (F.col("idx") < F.col("_high")))
-    nth = F.col("idx") - F.col("_low")
-    small = small.select(*keep, (F.col("_base") + F.floor(nth / F.col("_per"))).cast("long").alias("_rank"), (F.lit(capacity) - F.col("_space") + nth % F.col("_per") * F.col("length")).alias("offset"))
+    small = placed.where((F.col("length") <= small_most) & (F.col("length") < capacity)).withColumn("_p", _place(spark, places, F.col("length"), F.col("idx")))
+    nth = F.col("idx") - F.col("_p.low")
+    small = small.select(*keep, (F.col("_p.base") + F.floor(nth / F.col("_p.per"))).cast("long").alias("_rank"), (F.lit(capacity) - F.col("_p.space") + nth % F.col("_p.per") * F.col("length")).alias("offset"))
     small = small.join(bins, "_rank", "left").withColumn("bin", F.coalesce("bin", F.col("_rank") - open_bins + n_large))
 
     shared = large.unionByName(small.drop("_rank"))
