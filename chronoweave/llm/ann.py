@@ -3,8 +3,9 @@
 Every vector is scaled to length 1, rotated by a seeded random orthogonal matrix and kept as the signs of its
 coordinates, packed into bits, with one correction scalar: its inner product with the unit vector of its signs. The
 inner product with a rotated query is estimated from the bits and divided by that scalar; the scalar also bounds the
-error at BOUND standard deviations. In each block the candidates whose upper bound reaches the k-th best lower bound
-are scored exactly, in double precision on the original vectors, so that only the bound's tail can lose a neighbour.
+error at BOUND standard deviations. In each block the FIRST candidates by estimate are scored exactly, in double precision
+on the original vectors; then all whose upper bound reaches the k-th best of these, so that only the bound's tail can
+lose a neighbour.
 
 Queries and indexed rows meet in blocks of fixed sizes; a block pair returns k rows for each query. Nothing is fitted
 on the data: the rotation depends on the dimension and the seed alone.
@@ -28,6 +29,8 @@ from . import common
 DATA_BLOCK = 8192
 QUERY_BLOCK = 4096
 BOUND = 4.0
+#: Candidates of a block that are scored before the bounds are looked at.
+FIRST = 64
 SEED = 20
 
 
@@ -79,15 +82,17 @@ def _search(k: int, bound: float, seed: int, out: pa.Schema):
         signs = np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1
         align = data["align"].to_numpy()
         error = (bound * np.sqrt(np.maximum(0, 1 - align**2)) / align / np.sqrt(max(1, dim - 1)) + 1e-5).astype(np.float32)
+        exact = lambda i, rows: (x[rows] * q[i]).sum(axis=1) / (x_norm[rows] * q_norm[i])
         found = [[], [], []]
         for low in range(0, len(q), 64):
             about = zq[low : low + 64] @ signs.T / align.astype(np.float32)
             for i, row in enumerate(about, low):
                 other = np.flatnonzero(x_id != q_id[i])
-                lower = row[other] - error[other]
-                least = np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) > k else -np.inf
-                near = other[row[other] + error[other] >= least]
-                score = (x[near] * q[i]).sum(axis=1) / (x_norm[near] * q_norm[i])
+                if len(other) > FIRST:  # the k-th best of the most promising is a floor that the others' bounds must reach
+                    first = other[np.argpartition(row[other], -FIRST)[-FIRST:]]
+                    floor = np.partition(exact(i, first), -k)[-k] if k <= FIRST else -np.inf
+                    other = other[row[other] + error[other] >= floor - 1e-9]
+                near, score = other, exact(i, other)
                 best = np.lexsort((x_id[near], -score))[:k]
                 found[0].extend([q_id[i]] * len(best)), found[1].extend(x_id[near[best]]), found[2].extend(score[best])
         return pa.table([pa.array(c, f.type) for c, f in zip(found, out)], schema=out)
