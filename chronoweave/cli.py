@@ -21,6 +21,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-q", "--query", nargs=2, metavar=("SOURCE", "TARGET"), help="relation between two events")
     p.add_argument("-c", "--check", action="store_true", help="report contradictions")
     p.add_argument("-e", "--evaluate", metavar="FILE", help="evaluate a benchmark file, or 'generated'")
+    p.add_argument("--save", metavar="FOLDER", help="also write the evaluation's metrics and report there")
     p.add_argument("--export-dot", metavar="FILE", help="write the graph as DOT")
     p.add_argument("--interactive", action="store_true", help="read statements and commands from standard input")
     p.add_argument("-v", "--verbose", action="store_true", help="also print events and relations")
@@ -67,6 +68,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         detail = session.evaluate(None if options.evaluate == "generated" else options.evaluate)
         for r in evaluation.report(detail).collect():
             print(r.line)
+        if options.save:
+            evaluation.save(detail, options.save)
         return 0
     if options.input:
         rows = graphs_io.read_text(spark, options.input)

@@ -6,9 +6,10 @@ split leaves between them. Families are tried by priority and a hit that overlap
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Number words, month names, weekdays, units with their length in microseconds.
@@ -36,7 +37,7 @@ PATTERNS = {
 #: Fields of an expression and their types.
 FIELDS = {
     "start": "int", "stop": "int", "raw": "string", "type": "string", "year": "int", "month": "int", "day": "int", "hour": "int", "minute": "int", "second": "int",
-    "value": "int", "unit": "string", "direction": "string", "named": "string", "modifier": "string", "weekday": "string", "offset_days": "int",
+    "value": "bigint", "unit": "string", "direction": "string", "named": "string", "modifier": "string", "weekday": "string", "offset_days": "int",
 }
 _KIND = "array<struct<" + ",".join(f"{k}:{t}" for k, t in FIELDS.items()) + ">>"
 
@@ -46,20 +47,28 @@ def _map(values: dict) -> Column:
 
 
 def matches(text: Column, pattern: str, groups: int) -> Column:
-    """array<struct<start, stop, raw, g1..>> of a pattern's hits; a group that took no part is empty."""
-    hits = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)).alias(f"g{k}") for k in range(groups + 1)]
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits[0])).alias("gap")
+    """array<struct<start, stop, raw, g1..>> of a pattern's hits; a group that took no part is empty.
+
+    A text without a hit is passed once, one with hits three times; groups are read off the hits alone, which the
+    patterns, bounded by word edges, match in the same way as the text.
+    """
     names = [f"g{k}" for k in range(groups + 1)]
     kind = "array<struct<start:int,stop:int," + ",".join(f"{n}:string" for n in names) + ">>"
     none = F.array().cast(kind)
 
     def add(acc, x):
         start = acc["at"] + F.length(x["gap"])
-        stop = start + F.length(x["g0"])
-        one = F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), *[x[n].alias(n) for n in names])
+        stop = start + F.length(x["hit"])
+        parts = [x["hit"].alias("g0"), *[F.regexp_extract(x["hit"], pattern, k).alias(f"g{k}") for k in range(1, groups + 1)]]
+        one = F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), *parts)
         return F.struct(stop.cast("int").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(F.arrays_zip(gaps, *hits), F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
+    def placed(hits):  # bound to a name, so that the hits are looked for once
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+        return F.aggregate(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
+
+    found = F.transform(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), placed)[0]
+    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.when(text.isNotNull(), none))
 
 
 def _expression(m: Column, type_: str, **given) -> Column:
@@ -68,8 +77,8 @@ def _expression(m: Column, type_: str, **given) -> Column:
 
 
 def _number(g: Column) -> Column:
-    low = F.lower(g)
-    return F.coalesce(_map(NUMBERS)[low], g.try_cast("int"), F.lit(1))
+    """The number of digits or a word; null if it doesn't fit a long."""
+    return F.coalesce(_map(NUMBERS)[F.lower(g)], g.try_cast("long"))
 
 
 def _unit(g: Column) -> Column:
@@ -77,7 +86,7 @@ def _unit(g: Column) -> Column:
 
 
 def _whole(g: Column) -> Column:
-    return F.nullif(g, F.lit("")).cast("int")
+    return F.nullif(g, F.lit("")).try_cast("int")
 
 
 def family(text: Column, name: str) -> Column:
@@ -128,13 +137,18 @@ def anchor_us(anchor: datetime | Column | None) -> Column:
     return F.lit(int((a - datetime(1970, 1, 1)).total_seconds()) * 1_000_000)
 
 
+#: First and last moment that a timestamp can hold with a year of four digits.
+_FIRST_US, _LAST_US = (int((datetime(*d) - datetime(1970, 1, 1)).total_seconds()) * 1_000_000 for d in ((1, 1, 1), (9999, 12, 31)))
+
+
 def _ts(us: Column) -> Column:
-    return F.timestamp_micros(us).cast("timestamp_ntz")
+    """Null beyond the years 1 to 9999."""
+    return F.when(us.between(_FIRST_US, _LAST_US), F.timestamp_micros(us).cast("timestamp_ntz"))
 
 
 def unit_us(value: Column, unit: Column) -> Column:
-    """Length of value units; a month has 30 days and a year 365."""
-    return value.cast("long") * F.coalesce(_map(UNITS)[_unit(unit)], F.lit(UNITS["second"]))
+    """Length of value units; a month has 30 days and a year 365. Null if it doesn't fit a long."""
+    return F.try_multiply(value.cast("long"), F.coalesce(_map(UNITS)[_unit(unit)], F.lit(UNITS["second"])).cast("long"))
 
 
 def resolved_us(e: Column, anchor: datetime | Column | None = None) -> Column:
@@ -159,7 +173,7 @@ def resolved_ts(e: Column, anchor: datetime | Column | None = None) -> Column:
     day = F.floor(ref / DAY_US) * DAY_US
     clock = (e["hour"].cast("long") * 3600 + e["minute"] * 60 + e["second"]) * 1_000_000
     date = F.try_make_timestamp_ntz(F.coalesce(e["year"], F.year(_ts(ref))), e["month"], e["day"], F.lit(0), F.lit(0), F.lit(0))
-    return F.when(e["type"] == "ABSOLUTE_DATE", date).when(e["type"] == "TIME", _ts(day + clock)).when(e["type"] == "RELATIVE_DATE", _ts(ref + resolved_us(e, anchor)))
+    return F.when(e["type"] == "ABSOLUTE_DATE", date).when(e["type"] == "TIME", _ts(day + clock)).when(e["type"] == "RELATIVE_DATE", _ts(F.try_add(ref, resolved_us(e, anchor))))
 
 
 def normalize(expressions: Column, anchor: datetime | Column | None = None) -> Column:
@@ -169,14 +183,38 @@ def normalize(expressions: Column, anchor: datetime | Column | None = None) -> C
 
 
 def parse_duration_us(text: Column) -> Column:
-    """Microseconds of '90m', '2 hours', '1.5 d', '30 sec' or plain seconds; null for anything else."""
+    """Microseconds of '90m', '2 hours', '1.5 d', '30 sec' or plain seconds; null for anything else or too long."""
     low = F.lower(F.trim(text))
     number = F.regexp_extract(low, r"^(-?[0-9]+(?:\.[0-9]+)?)\s*(m|min|minutes|h|hr|hours|d|days|s|sec|seconds)?$", 1)
     unit = F.regexp_extract(low, r"^(-?[0-9]+(?:\.[0-9]+)?)\s*(m|min|minutes|h|hr|hours|d|days|s|sec|seconds)?$", 2)
     size = F.when(unit.startswith("m"), UNITS["minute"]).when(unit.startswith("h"), UNITS["hour"]).when(unit.startswith("d"), UNITS["day"]).otherwise(UNITS["second"])
-    return F.when(number != "", F.round(number.try_cast("double") * size).cast("long"))
+    return F.when(number != "", F.round(number.try_cast("double") * size).try_cast("long"))
 
 
 def parse_iso(text: Column) -> Column:
     """TIMESTAMP_NTZ of an ISO date or date-time; null if it isn't one."""
     return text.try_cast("timestamp_ntz")
+
+
+#: Type of each family's expressions.
+TYPES = {"iso": "ABSOLUTE_DATE", "day_month": "ABSOLUTE_DATE", "month_day": "ABSOLUTE_DATE", "time": "TIME", "offset": "RELATIVE_DATE", "named": "RELATIVE_DATE", "weekday": "RELATIVE_DATE", "duration": "DURATION"}
+
+
+class ExtractTemporal:
+    """Table function: the expressions of a text, one row each; for SQL, where extract() is for columns."""
+
+    def __init__(self):
+        self.patterns = [(TYPES[name], re.compile(pattern, re.ASCII)) for name, pattern in PATTERNS.items()]
+
+    def eval(self, text: str):
+        kept: list[tuple[int, int, str, str]] = []
+        for type_, pattern in self.patterns:
+            for m in pattern.finditer(text or ""):
+                if all(m.end() <= start or stop <= m.start() for start, stop, _, _ in kept):
+                    kept.append((m.start(), m.end(), m.group(), type_))
+        yield from sorted(kept)
+
+
+def register(spark: SparkSession) -> None:
+    """SQL table function extract_temporal(text): start, stop, raw, type."""
+    spark.udtf.register("extract_temporal", F.udtf(ExtractTemporal, returnType="start int, stop int, raw string, type string"))

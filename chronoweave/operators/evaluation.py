@@ -84,3 +84,10 @@ def report(detail: DataFrame) -> DataFrame:
     body = by_category(detail).select(F.lit(100).alias("line_no"), "category", line.alias("line"))
     end = scores.select(F.lit(200).alias("line_no"), F.lit("").alias("category"), F.lit("=" * 50).alias("line"))
     return top.unionByName(body).unionByName(end).orderBy("line_no", "category").select("line_no", "category", "line")
+
+
+def save(detail: DataFrame, path: str) -> None:
+    """Write the metrics as JSON to path/results (one line with nested categories) and the report's lines to path/report."""
+    categories = by_category(detail).agg(F.array_sort(F.collect_list(F.struct("category", "total", "correct", "accuracy"))).alias("categories"))
+    overall(detail).crossJoin(macro(confusion(detail))).crossJoin(categories).coalesce(1).write.mode("overwrite").json(f"{path}/results")
+    report(detail).coalesce(1).sortWithinPartitions("line_no", "category").select("line").write.mode("overwrite").text(f"{path}/report")

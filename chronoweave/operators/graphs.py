@@ -11,13 +11,15 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chronoweave.functions import allen
 from chronoweave.plans.staging import stage
 
 EDGE = ["doc_id", "src", "tgt", "rel", "is_inferred", "confidence", "provenance", "ord"]
 KEY = ["doc_id", "src", "tgt", "rel"]
-MAX_ROUNDS = 50
+#: Inferred edges are numbered behind explicit ones: round times this, plus their rank in the round.
+ROUND = 1 << 40
 
 
 def microseconds(ts: Column) -> Column:
@@ -67,17 +69,24 @@ def flags(events: DataFrame) -> DataFrame:
     return events.select("doc_id", "event_id", F.coalesce(instant, F.lit(False)).alias("is_instantaneous"), F.coalesce(bounds, F.lit(False)).alias("has_bounds"))
 
 
-def bound_edges(events: DataFrame, keys: list[str] = ["doc_id"]) -> DataFrame:
-    """Edges that the times of two events of a document imply; unordered pairs are looked at once, by ord."""
-    cols = ["event_id", "ord", "start_time", "end_time", "description"]
-    a = events.select(*keys, *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = events.select(*keys, *[F.col(c).alias(f"b_{c}") for c in cols])
+def bound_edges(events: DataFrame) -> DataFrame:
+    """Edges that the times of two events of a document imply; unordered pairs are looked at once, by ord.
+
+    Where events has since and until, a row is the state of an event in these epochs; only states of a common one are paired.
+    """
+    span = [c for c in ("since", "until") if c in events.columns]
+    cols = ["event_id", "ord", "start_time", "end_time", "description", *span]
+    a = events.select("doc_id", *[F.col(c).alias(f"a_{c}") for c in cols])
+    b = events.select("doc_id", *[F.col(c).alias(f"b_{c}") for c in cols])
     found = allen.partial_relation(F.col("a_start_time"), F.col("a_end_time"), F.col("b_start_time"), F.col("b_end_time"))
-    pairs = a.join(b, keys).where(F.col("a_ord") < F.col("b_ord")).withColumn("found", found).where(F.col("found.rel").isNotNull())
+    pairs = a.join(b, "doc_id").where(F.col("a_ord") < F.col("b_ord"))
+    if span:
+        pairs = pairs.where("(b_until IS NULL OR a_since < b_until) AND (a_until IS NULL OR b_since < a_until)")
+    pairs = pairs.withColumn("found", found).where(F.col("found.rel").isNotNull())
     flipped = F.col("found.flipped")
     src, tgt = F.when(flipped, F.col("b_event_id")).otherwise(F.col("a_event_id")), F.when(flipped, F.col("a_event_id")).otherwise(F.col("b_event_id"))
     said = F.concat_ws(" ", F.lit("Bounds:"), "a_description", allen.label(F.col("found.rel")), "b_description")
-    return pairs.select(*keys, *edge(F.col("found.rel"), src, tgt, said, F.col("a_ord") * 100000 + F.col("b_ord")))
+    return pairs.select("doc_id", *edge(F.col("found.rel"), src, tgt, said, F.shiftleft(F.col("a_ord").cast("long"), 31) + F.col("b_ord")))
 
 
 def inverse_edges(edges: DataFrame) -> DataFrame:
@@ -93,35 +102,50 @@ def composed_edges(left: DataFrame, right: DataFrame, dim: DataFrame) -> DataFra
     b = right.select("doc_id", F.col("src").alias("v"), F.col("tgt").alias("w"), F.col("rel").alias("r2"), F.col("confidence").alias("c2"), F.col("ord").alias("o2"))
     hops = a.join(b, ["doc_id", "v"]).where("u <> w").join(F.broadcast(dim), ["r1", "r2"])
     said = F.format_string("Transitivity: (%s %s %s) and (%s %s %s)", "u", allen.label(F.col("r1")), "v", "v", allen.label(F.col("r2")), "w")
-    return first_edges(hops.select("doc_id", *edge(F.col("r3"), F.col("u"), F.col("w"), said, F.col("o1") * 1000 + F.col("o2"), confidence=F.least("c1", "c2"))))
+    return first_edges(hops.select("doc_id", *edge(F.col("r3"), F.col("u"), F.col("w"), said, F.struct(F.greatest("o1", "o2").alias("most"), "o1", "o2"), confidence=F.least("c1", "c2"))))
+
 
+def ranked(edges: DataFrame, round_: int, by: list) -> DataFrame:
+    """edges with ord in the order of by within their document, behind those of all rounds before."""
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(*by, "src", "tgt", "rel"))
+    return edges.withColumn("ord", F.lit(round_ * ROUND) + nth).select(*EDGE)
 
-def closure(edges: DataFrame, dim: DataFrame, events: DataFrame | None = None, inverses: bool = True, transitive: bool = True, intervals: bool = True, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+
+def closure(edges: DataFrame, dim: DataFrame, events: DataFrame | None = None, inverses: bool = True, transitive: bool = True, intervals: bool = True, max_rounds: int | None = None) -> DataFrame:
     """All edges that follow from edges and the events' times, with the first provenance found.
 
-    Semi-naive: each round turns and composes only the edges that the round before it added.
+    Semi-naive: each round turns and composes only the edges that the round before it added, and only these are written.
+    Inferred edges are numbered by round, then by the numbers of the edges that they come from; inversion goes first. With
+    max_rounds, a closure that isn't complete after so many raises.
     """
     start = edges.select(*EDGE)
+    implied = start.where("is_inferred")
     if events is not None and intervals:
-        start = start.unionByName(bound_edges(complete_bounds(events)).select(*EDGE))
-    known = new = stage(first_edges(start), "edges")
-    for _ in range(max_rounds):
+        implied = implied.unionByName(bound_edges(complete_bounds(events)).select(*EDGE))
+    start = first_edges(start.where("NOT is_inferred").unionByName(ranked(implied, 1, ["ord"])))
+    new, old, n = stage(start, "edges"), None, 1
+    while True:
+        known = new if old is None else old.unionByName(new)
+        n += 1
         found = []
         if inverses:
-            found.append(inverse_edges(new))
+            found.append(inverse_edges(new).withColumn("ord", F.struct(F.lit(0).alias("kind"), F.col("ord").alias("most"), F.col("ord").alias("o1"), F.lit(0).cast("long").alias("o2"))))
         if transitive:
-            found += [composed_edges(new, known, dim), composed_edges(known, new, dim)]
+            sides = [(new, known)] if old is None else [(new, known), (old, new)]
+            for left, right in sides:
+                made = composed_edges(left, right, dim)
+                found.append(made.withColumn("ord", F.struct(F.lit(1).alias("kind"), F.col("ord.most").alias("most"), F.col("ord.o1").alias("o1"), F.col("ord.o2").alias("o2"))))
         if not found:
-            break
+            return known
         more = found[0]
         for f in found[1:]:
             more = more.unionByName(f)
         fresh = first_edges(more.join(known.select(*KEY), KEY, "left_anti"))
-        new = stage(fresh.withColumn("ord", F.col("ord") % 1000000007 + 1000000007), "edges")
+        old, new = known, stage(ranked(fresh, n, ["ord"]), "edges")
         if new.isEmpty():
-            break
-        known = stage(known.unionByName(new), "edges")
-    return known
+            return known
+        if max_rounds is not None and n > max_rounds:
+            raise ValueError(f"the closure isn't complete after {max_rounds} rounds")
 
 
 def primary(edges: DataFrame) -> DataFrame:
@@ -203,17 +227,16 @@ def strict(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("rel").isin(allen.ID["before"], allen.ID["meets"]))
 
 
-def cycle_nodes(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """Events on a cycle of strict order: doc_id, node. Reachability doubles in each round."""
+def cycle_nodes(edges: DataFrame) -> DataFrame:
+    """Events on a cycle of strict order: doc_id, node. Reachability doubles in each round, until nothing more is reached."""
     reach = stage(strict(edges).select("doc_id", "src", "tgt").distinct(), "reach")
     n = reach.count()
-    for _ in range(max_rounds):
+    while True:
         further = reach.join(reach.select("doc_id", F.col("src").alias("tgt"), F.col("tgt").alias("far")), ["doc_id", "tgt"]).select("doc_id", "src", F.col("far").alias("tgt"))
         reach = stage(reach.unionByName(further).distinct(), "reach")
         n, before = reach.count(), n
         if n == before:
-            break
-    return reach.where("src = tgt").select("doc_id", F.col("src").alias("node"))
+            return reach.where("src = tgt").select("doc_id", F.col("src").alias("node"))
 
 
 def cycle_paths(edges: DataFrame) -> DataFrame:

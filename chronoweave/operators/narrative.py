@@ -7,10 +7,12 @@ events one after another (topological order, increasing subsequences, merging) r
 
 from __future__ import annotations
 
-import graphlib
 import itertools
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,25 +81,31 @@ def repair(edges: DataFrame, nodes: DataFrame | None = None, max_passes: int = P
 
 
 def thread_orders(nodes: list[tuple], edges: list[tuple]) -> dict[str, list[str]]:
-    """Order of each thread's events by its own edges; a thread with a cycle is ordered by id."""
+    """Order of each thread's events by its own edges; a thread with a cycle is ordered by id.
+
+    Events leave in the order in which their last predecessor left; the first ones go by id, and those that one event frees
+    by the place of their edge.
+    """
     thread = dict(nodes)
-    sorters = {t: graphlib.TopologicalSorter() for t in dict.fromkeys(thread.values())}
-    for node in sorted(thread):
-        sorters[thread[node]].add(node)
+    waits, frees = dict.fromkeys(sorted(thread), 0), {n: [] for n in thread}
     for i, j, rel in edges:
-        if i in thread and j in thread and thread[i] == thread[j]:
-            name = allen.RELATIONS[rel]
-            if name in allen.PRECEDES:
-                sorters[thread[i]].add(j, i)
-            elif name in allen.FOLLOWS:
-                sorters[thread[i]].add(i, j)
-    out = {}
-    for t, sorter in sorters.items():
-        try:
-            out[t] = [*sorter.static_order()]
-        except graphlib.CycleError:
-            out[t] = sorted(n for n in thread if thread[n] == t)
-    return out
+        if thread.get(i, i) != thread.get(j, j) or i not in thread or j not in thread:
+            continue
+        way = (i, j) if allen.RELATIONS[rel] in allen.PRECEDES else (j, i) if allen.RELATIONS[rel] in allen.FOLLOWS else None
+        if way:
+            frees[way[0]].append(way[1])
+            waits[way[1]] += 1
+    out: dict[str, list[str]] = {t: [] for t in dict.fromkeys(thread.values())}
+    queue = deque(n for n, k in waits.items() if not k)
+    while queue:
+        node = queue.popleft()
+        out[thread[node]].append(node)
+        for other in frees[node]:
+            waits[other] -= 1
+            if not waits[other]:
+                queue.append(other)
+    stuck = {thread[n] for n, k in waits.items() if k}
+    return {t: [n for n in waits if thread[n] == t] if t in stuck else order for t, order in out.items()}
 
 
 def increasing(values: list[int], tie_break: str = "earliest") -> set[int]:
@@ -105,26 +113,25 @@ def increasing(values: list[int], tie_break: str = "earliest") -> set[int]:
 
     Among several the one of the earliest candidates; with smallest_tail the one that patience sorting finds.
     """
+    tails: list[int] = []  # smallest last value of a subsequence of each length
+    ends: list[int] = []  # and its index
+    rank, before = [], []
+    for i, v in enumerate(values):
+        k = bisect_left(tails, v)
+        rank.append(k)
+        before.append(ends[k - 1] if k else None)
+        tails[k : k + 1], ends[k : k + 1] = [v], [i]
     if tie_break == "smallest_tail":
-        piles: list[int] = []
-        before = {}
-        for i, v in enumerate(values):
-            k = sum(values[p] < v for p in piles)
-            before[i] = piles[k - 1] if k else None
-            piles[k : k + 1] = [i]
-        at, kept = (piles[-1] if piles else None), set()
+        at, kept = (ends[-1] if ends else None), set()
         while at is not None:
             kept.add(at)
             at = before[at]
         return kept
-    rank: list[int] = []
-    for i, v in enumerate(values):
-        rank.append(1 + max((rank[j] for j in range(i) if values[j] < v), default=0))
-    kept, need, limit = set(), max(rank, default=0), None
-    while need:
-        at = next(i for i in range(len(values) if limit is None else limit) if rank[i] == need and (limit is None or values[i] < values[limit]))
-        kept.add(at)
-        need, limit = need - 1, at
+    kept, limit, top = set(), len(values), None
+    for need in range(len(tails) - 1, -1, -1):
+        limit = next(i for i in range(limit) if rank[i] == need and (top is None or values[i] < top))
+        kept.add(limit)
+        top = values[limit]
     return kept
 
 
@@ -140,6 +147,18 @@ def expand(candidate) -> list:
     return [[*candidate]]
 
 
+def expand_groups(groups: DataFrame) -> DataFrame:
+    """story_id, ord, a, b: all pairs of the members of groups (story_id, ord, members), in the order of expand."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for table in parts:
+            rows = [(s, o, *pair) for s, o, members in zip(table["story_id"], table["ord"], table["members"]) for pair in expand({"members": members}) if len(pair) == 2]
+            yield pd.DataFrame(rows, columns=["story_id", "ord", "a", "b"])
+
+    kind = groups.schema["story_id"].dataType.simpleString()
+    return groups.select("story_id", "ord", "members").mapInPandas(run, f"story_id {kind}, ord long, a string, b string")
+
+
 def verify(nodes: list[tuple], orders: dict[str, list[str]], candidates: list, tie_break: str = "earliest") -> tuple[list, list]:
     """(kept pairs, log of (pair, kept, reason)): known ends in two threads, each pair once, and for every two threads the
     largest set of pairs whose order is the same in both."""
@@ -273,24 +292,53 @@ def contingency(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     return both.groupBy("story_id", "gold_label", "predicted_label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def assignment(gain: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (row, column) of a one-to-one assignment with the largest total gain; the shorter side is used up.
+
+    Shortest augmenting paths over reduced costs, a row at a time: rows * rows * columns steps. Of equal totals the one
+    that these paths reach, which depends on the order of rows and columns alone.
+    """
+    if gain.shape[0] > gain.shape[1]:
+        return sorted((r, c) for c, r in assignment(gain.T))
+    cost = -gain.astype(float)
+    rows, columns = cost.shape
+    of_row, of_column = np.zeros(rows), np.zeros(columns)
+    taken = np.full(columns, -1)
+    for row in range(rows):
+        least, via, closed = np.full(columns, np.inf), np.full(columns, -1), np.zeros(columns, dtype=bool)
+        at, column, reached = row, -1, 0.0
+        while True:
+            ahead = reached + cost[at] - of_row[at] - of_column
+            nearer = ~closed & (ahead < least)
+            least[nearer], via[nearer] = ahead[nearer], column
+            column = int(np.where(closed, np.inf, least).argmin())
+            reached = least[column]
+            closed[column] = True
+            if taken[column] < 0:
+                break
+            at = taken[column]
+        of_row[row] += reached
+        for c in np.flatnonzero(closed):
+            if taken[c] >= 0:
+                of_row[taken[c]] += reached - least[c]
+            of_column[c] -= reached - least[c]
+        while column >= 0:
+            taken[column] = taken[via[column]] if via[column] >= 0 else row
+            column = int(via[column])
+    return sorted((int(r), c) for c, r in enumerate(taken) if r >= 0)
+
+
 def best_mapping(counts: DataFrame) -> DataFrame:
-    """story_id, predicted_label, gold_label of the one-to-one mapping with the most common events.
+    """story_id, predicted_label, gold_label of a one-to-one mapping with the most common events.
 
-    The first best permutation in sorted order; a side with very many labels is cut to those that overlap most.
+    Mappings with equally many give the same accuracy; which of them comes out depends on the labels' order alone.
     """
 
     def assign(table: pd.DataFrame) -> pd.DataFrame:
-        n = {(g, p): int(k) for g, p, k in zip(table["gold_label"], table["predicted_label"], table["n"])}
-        sides = [sorted({key[s] for key in n}) for s in (0, 1)]
-        short = 0 if len(sides[0]) <= len(sides[1]) else 1
-        few, many = sides[short], sides[1 - short]
-        limit = max(len(few) + 4, 10)
-        if len(many) > limit:
-            many = sorted(many, key=lambda x: -sum(k for key, k in n.items() if key[1 - short] == x))[:limit]
-        key = (lambda a, b: (a, b)) if short == 0 else (lambda a, b: (b, a))
-        best = max(itertools.permutations(many, len(few)), key=lambda perm: sum(n.get(key(a, b), 0) for a, b in zip(few, perm)))
-        pairs = [key(a, b) for a, b in zip(few, best)]
-        return pd.DataFrame({"story_id": table["story_id"].iloc[0], "predicted_label": [p for _, p in pairs], "gold_label": [g for g, _ in pairs]})
+        gold, predicted = (sorted(set(table[c])) for c in ("gold_label", "predicted_label"))
+        gain = table.pivot_table("n", "gold_label", "predicted_label", "sum", 0).reindex(index=gold, columns=predicted).to_numpy()
+        pairs = assignment(gain)
+        return pd.DataFrame({"story_id": table["story_id"].iloc[0], "predicted_label": [predicted[c] for _, c in pairs], "gold_label": [gold[r] for r, _ in pairs]})
 
     kind = counts.schema["story_id"].dataType.simpleString()
     return counts.groupBy("story_id").applyInPandas(assign, f"story_id {kind}, predicted_label string, gold_label string")

@@ -117,15 +117,23 @@ def event_ids(parsed: DataFrame) -> DataFrame:
     return firsts.select("doc_id", "key", F.concat(F.lit("E"), ord_.cast("string")).alias("event_id"), ord_.cast("long").alias("ord"), F.col("f.description").alias("description"))
 
 
-def events(parsed: DataFrame, ids: DataFrame, epochs: DataFrame | None = None) -> DataFrame:
-    """Events of the graph with their last stated bounds; with epochs (doc_id, epoch), as of each of them."""
-    keys = ["doc_id"] if epochs is None else ["doc_id", "epoch"]
-    said = parsed.where("statement_type <> 'UNPARSED'").select("doc_id", F.col("epoch").alias("_epoch"), "pos", "bound_type", "bound_ts", "bound_us", F.explode(F.array_compact(F.array("source", "target"))).alias("_name"))
-    if epochs is not None:
-        said = said.join(epochs, "doc_id").where("_epoch <= epoch")
+def versions(parsed: DataFrame, ids: DataFrame) -> DataFrame:
+    """The states of every event: its bounds as last stated, from the epoch since to before the epoch until (null: for good).
+
+    A state lasts until a statement names the event again, so there is a row for each epoch that names it.
+    """
+    said = parsed.where("statement_type <> 'UNPARSED'").select("doc_id", "epoch", "pos", "bound_type", "bound_ts", "bound_us", F.explode(F.array_compact(F.array("source", "target"))).alias("_name"))
     last = lambda kind, value: F.max_by(F.when(F.col("bound_type") == kind, F.col(value)), F.when(F.col("bound_type") == kind, F.col("pos")))
-    got = said.groupBy(*keys, F.lower("_name").alias("key")).agg(last("start", "bound_ts").alias("start_time"), last("end", "bound_ts").alias("end_time"), last("duration", "bound_us").alias("duration_us"))
-    return got.join(ids, ["doc_id", "key"]).select(*keys, "event_id", "ord", "description", "start_time", "end_time", "duration_us")
+    at = said.groupBy("doc_id", F.lower("_name").alias("key"), F.col("epoch").alias("since")).agg(last("start", "bound_ts").alias("_s"), last("end", "bound_ts").alias("_e"), last("duration", "bound_us").alias("_d"))
+    w = Window.partitionBy("doc_id", "key").orderBy("since")
+    carried = {new: F.last(old, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for new, old in (("start_time", "_s"), ("end_time", "_e"), ("duration_us", "_d"))}
+    got = at.withColumns(carried | {"until": F.lead("since").over(w)})
+    return got.join(ids, ["doc_id", "key"]).select("doc_id", "event_id", "ord", "description", "start_time", "end_time", "duration_us", "since", "until")
+
+
+def events(parsed: DataFrame, ids: DataFrame) -> DataFrame:
+    """Events of the graph with their last stated bounds."""
+    return versions(parsed, ids).where("until IS NULL").drop("since", "until")
 
 
 def edges(parsed: DataFrame, ids: DataFrame) -> DataFrame:
@@ -140,7 +148,8 @@ def graph(statements: DataFrame, anchor: datetime | None = None, dim: DataFrame
     """(parsed, events, closed edges) of all documents at once.
 
     by_epoch: what times imply is read off after every statement, and nothing is taken back later, as when statements
-    are added one at a time. Since inference only adds, one closure over all those edges gives the same graph.
+    are added one at a time: states of two events are compared if they held in the same epoch. Since inference only adds,
+    one closure over all those edges gives the same graph.
     """
     spark = statements.sparkSession
     parsed = parse(statements, anchor)
@@ -148,8 +157,6 @@ def graph(statements: DataFrame, anchor: datetime | None = None, dim: DataFrame
     final = events(parsed, ids)
     start = edges(parsed, ids)
     if by_epoch:
-        epochs = parsed.select("doc_id", "epoch").distinct()
-        seen = graphs.bound_edges(graphs.complete_bounds(events(parsed, ids, epochs)), ["doc_id", "epoch"])
-        start = start.unionByName(seen.select(*graphs.EDGE))
+        start = start.unionByName(graphs.bound_edges(graphs.complete_bounds(graphs.stage(versions(parsed, ids), "versions"))).select(*graphs.EDGE))
         return parsed, graphs.complete_bounds(final), graphs.closure(start, dim or allen.core_dim(spark))
     return parsed, graphs.complete_bounds(final), graphs.closure(start, dim or allen.core_dim(spark), final)

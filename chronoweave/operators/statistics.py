@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -50,20 +51,23 @@ def signed_rank(pairs: DataFrame, group: str, a: str = "a", b: str = "b") -> Dat
     return got.withColumn("p_value", p_value("statistic", "n", "_m", "_ties")).select(group, "n", "statistic", "p_value", "mean_diff")
 
 
-def bootstrap(values: DataFrame, group: str, value: str, resamples: int = 10_000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
-    """Percentile interval of the mean of each group by resampling: point_estimate, low, high, n_resamples.
+def bootstrap(values: DataFrame, group: str, value: str, resamples: int = 10_000, confidence: float = 0.95, seed: int = 0, statistic: Callable[[Column], Column] = F.avg) -> DataFrame:
+    """Percentile interval of a statistic of each group by resampling: point_estimate, low, high, n_resamples.
 
-    A resample draws as many values as the group has; draws are hashes of seed, group, resample and place, so they are
-    the same on any cluster. Values must fit a row each group, as stories' scores do.
+    statistic makes an aggregate of the value column (F.avg, F.median, F.stddev, ...). A resample draws as many values as
+    the group has; draws are hashes of seed, group, resample and place, so they are the same on any cluster. Drawn places
+    are joined with the numbered values, so no group is gathered.
     """
-    one = values.groupBy(group).agg(F.array_sort(F.collect_list(value)).alias("v"), F.avg(value).alias("point_estimate"))
-    draws = one.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    pick = lambda i: F.element_at("v", (F.pmod(F.xxhash64(F.lit(seed), group, "r", i), F.size("v")) + 1).cast("int"))
-    total = F.aggregate(F.sequence(F.lit(1), F.size("v")), F.lit(0.0), lambda acc, i: acc + pick(i))
-    means = draws.select(group, "point_estimate", "r", (total / F.size("v")).alias("m"))
+    rows = values.where(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).alias("_v"))
+    placed = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_g").orderBy("_v")).cast("long"))
+    sizes = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), statistic(F.col("_v")).alias("point_estimate"))
+    draws = sizes.select("_g", "_n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_r")).select("_g", "_n", "_r", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_i"))
+    at = F.pmod(F.xxhash64(F.lit(seed), "_g", "_r", "_i"), F.col("_n")) + 1
+    drawn = draws.select("_g", "_r", at.alias("_at")).join(placed, ["_g", "_at"]).groupBy("_g", "_r").agg(statistic(F.col("_v")).alias("_m"))
     alpha = 1 - confidence
     bound = lambda k: max(0, min(k, resamples - 1)) + 1
     low, high = bound(int(alpha / 2 * resamples)), bound(int((1 - alpha / 2) * resamples) - 1)
-    nth = F.row_number().over(Window.partitionBy(group).orderBy("m", "r"))
-    at = lambda k: F.max(F.when(F.col("nth") == k, F.col("m")))
-    return means.withColumn("nth", nth).groupBy(group).agg(F.first("point_estimate").alias("point_estimate"), at(low).alias("low"), at(high).alias("high"), F.count(F.lit(1)).alias("n_resamples"))
+    nth = F.row_number().over(Window.partitionBy("_g").orderBy("_m", "_r"))
+    at = lambda k: F.max(F.when(F.col("_nth") == k, F.col("_m")))
+    found = drawn.withColumn("_nth", nth).groupBy("_g").agg(at(low).alias("low"), at(high).alias("high"), F.count(F.lit(1)).alias("n_resamples"))
+    return sizes.join(found, "_g").select(F.col("_g").alias(group), "point_estimate", "low", "high", "n_resamples")

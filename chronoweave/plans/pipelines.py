@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.functions import allen
 from chronoweave.operators import narrative, stories
 from chronoweave.sources import models
+from chronoweave.sources import stories as source
 from chronoweave.sources.stories import REPLIES
 
 from .staging import stage
@@ -81,6 +83,49 @@ def direct(replies: DataFrame) -> dict[str, DataFrame]:
     return {"events": events, "order": order, "pairs": pairs, "edges": none}
 
 
+def log_counts(repair_log: DataFrame) -> DataFrame:
+    """story_id, repairs, conflicts: edges that were changed, and those that contradict but were left."""
+    return repair_log.groupBy("story_id").agg(F.count("to_rel").alias("repairs"), F.count_if(F.col("to_rel").isNull()).alias("conflicts"))
+
+
+def predict(gold: dict[str, DataFrame], model: models.Model, prompts: dict[str, str] | None = None, critique: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Extract, finish and score all stories of gold (tables of stories): (predictions to store, summary).
+
+    A prediction is one nested row a story, as read_predictions reads it. The summary has the scores, those of the raw
+    edges and candidates, awt_f1_delta between the two, repairs and conflicts.
+    """
+    read = extract(stories.passage(gold["events"]), model, prompts or models.PROMPTS, critique)
+    done = finish(read["nodes"], read["edges"], read["candidates"])
+    finished, order = done["stories"], order_of(done["stories"])
+    pool = gold.get("pool", gold["pairs"].limit(0))
+    raw = narrative.known_edges(read["edges"], read["nodes"])
+    against = lambda edges, pairs: narrative.score_record(gold["events"], read["nodes"], gold["edges"], edges, order, gold["pairs"], pairs, pool)
+    after = stage(against(done["edges"], pairs_of(finished)), "scores")
+    before = stage(against(raw, read["candidates"]), "scores")
+    both = after.join(before.select("story_id", F.col("awt_f1").alias("awt_f1_unrepaired"), F.col("relation_score").alias("relation_score_unrepaired")), "story_id")
+    summary = both.withColumn("awt_f1_delta", F.col("awt_f1") - F.col("awt_f1_unrepaired")).join(log_counts(done["repair_log"]), "story_id", "left").fillna(0, ["repairs", "conflicts"])
+    nested = lambda df, name, *cols: df.groupBy("story_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    labelled = lambda df: df.withColumn("allen_relation", allen.label(F.col("rel"), allen.RELATIONS))
+    scores = after.select("story_id", F.struct("relation_score", F.col("thread_accuracy").alias("thread_attribution_accuracy"), "awt_core", "convergence_f1", F.col("precision_vs_pool").alias("convergence_precision_vs_pool"), F.col("recall_salient").alias("convergence_recall_salient")).alias("awt_f1_scores"))
+    rows = finished.select("story_id", "thread_orders", "global_order", F.col("convergence").alias("convergence_points"))
+    for part in (nested(read["nodes"], "events", "id", "thread_id"), nested(labelled(done["edges"]), "edges", "ord", "node_i", "node_j", "allen_relation"), nested(labelled(raw), "raw_edges", "ord", "node_i", "node_j", "allen_relation"), scores):
+        rows = rows.join(part, "story_id", "left")
+    return rows, summary
+
+
+def rescore_stored(gold: dict[str, DataFrame], predictions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(predictions with new awt_f1_scores, dir and both scores) of stored predictions of the stories of gold.
+
+    Use sources.stories.replace to put the first in the place of what was read.
+    """
+    held = stage(predictions.where("awt_f1_scores IS NOT NULL"), "stored")
+    scored = rescore(gold, source.tables(held.drop("candidate_convergence_pairs") if "candidate_convergence_pairs" in held.columns else held))
+    new = scored.select(F.col("story_id").alias("_dir"), F.struct("relation_score", F.col("thread_accuracy").alias("thread_attribution_accuracy"), "awt_core", "convergence_f1", F.col("precision_vs_pool").alias("convergence_precision_vs_pool"), F.col("recall_salient").alias("convergence_recall_salient")).alias("_new"))
+    both = stage(held.join(new, F.col("dir") == F.col("_dir"), "left"), "rescored")
+    deltas = both.select("dir", F.col("awt_f1_scores.relation_score").alias("before"), F.col("_new.relation_score").alias("after"))
+    return both.withColumn("awt_f1_scores", F.coalesce("_new", "awt_f1_scores")).drop("_new", "_dir"), deltas
+
+
 def pooled_report(gold_pairs: DataFrame, predicted_pairs: DataFrame) -> DataFrame:
     """condition, story_id (null for all pooled), precision, recall, f1 of predicted pairs (condition, story_id, a, b)."""
     keyed = lambda df: df.select(F.concat_ws("\x1f", "condition", "story_id").alias("story_id"), "a", "b")

@@ -32,7 +32,7 @@ def sql_label(rel: str, names: str = N) -> str:
 USER_TYPE = "iv AS (SELECT user_id AS doc_id, event_type AS event_id, date_trunc('day', min(ts)) AS s, date_trunc('day', max(ts)) AS e FROM events GROUP BY 1, 2)"
 USER_PAIRS = f"{USER_TYPE}, p AS (SELECT a.doc_id, a.event_id AS a, b.event_id AS b, a.s AS s1, a.e AS e1, b.s AS s2, b.e AS e2 FROM iv a JOIN iv b ON a.doc_id = b.doc_id AND a.event_id < b.event_id)"
 ORDER_SHIP = "iv AS (SELECT o_custkey AS doc_id, o_orderkey AS k, min(l_shipdate) AS s, max(l_shipdate) AS e FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)"
-FIRST = "ev AS (SELECT * FROM (SELECT user_id AS doc_id, event_id::VARCHAR AS event_id, ts, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord FROM events) WHERE ord <= {k})"
+FIRST = "ev AS (SELECT user_id * 100000 + nth // {k} AS doc_id, event_id, ts, event_type, value, nth % {k} + 1 AS ord FROM (SELECT user_id, event_id::VARCHAR AS event_id, ts, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS nth FROM events))"
 CHAIN = FIRST + ", chain AS (SELECT a.doc_id, a.event_id AS src, b.event_id AS tgt, {rel} AS rel, a.ord FROM ev a JOIN ev b ON a.doc_id = b.doc_id AND b.ord = a.ord + 1)"
 SEEDED = (
     CHAIN.format(k=5, rel=1)
@@ -171,8 +171,8 @@ def _(spark, d):
 
 
 def _partial(spark, d):
-    """First six events of a user; by position some have no end, some no start."""
-    ev = views.first_events(spark, d, 6)
+    """Documents of six events; by position some have no end, some no start."""
+    ev = views.split_events(spark, d, 6)
     us = graphs.microseconds(F.col("ts"))
     end = graphs.from_microseconds(us + F.floor("value").cast("long") * 60000000)
     return ev.select("doc_id", "event_id", "ord", "description", F.when(F.col("ord") % 3 != 1, F.col("ts")).alias("start_time"), F.when(F.col("ord") % 3 != 2, end).alias("end_time"))
@@ -234,14 +234,23 @@ SELECT doc_id, e1 AS src, e2 AS tgt, 'equal' AS relation FROM w UNION ALL SELECT
 UNION ALL SELECT doc_id, a, b, 'before' FROM w, (VALUES (1)) v(_) CROSS JOIN LATERAL (SELECT unnest([e1, e2]) AS a) CROSS JOIN LATERAL (SELECT unnest([e3, e4]) AS b)
 UNION ALL SELECT doc_id, b, a, 'after' FROM w, (VALUES (1)) v(_) CROSS JOIN LATERAL (SELECT unnest([e1, e2]) AS a) CROSS JOIN LATERAL (SELECT unnest([e3, e4]) AS b)""")
 def _(spark, d):
-    """e1 equal e2, e2 before e3, e3 equal e4 for users with four events."""
+    """e1 equal e2, e2 before e3, e3 equal e4 for documents of four events."""
     e = views.chain_edges(spark, d, 4)
     whole = e.groupBy("doc_id").count().where("count = 3").select("doc_id")
     e = e.join(whole, "doc_id", "left_semi").withColumn("rel", F.when(F.col("ord") == 2, allen.ID["before"]).otherwise(allen.ID["equal"]))
     return _out(graphs.closure(e, allen.core_dim(spark)))
 
 
-@query("closure_full")
+def _closure_sql(rounds: int) -> str:
+    """Rounds of inversion and composition over the edges typed, until nothing more can come in graphs of six nodes."""
+    parts = ["k0 AS MATERIALIZED (SELECT DISTINCT doc_id, src, tgt, rel FROM typed)", "one AS MATERIALIZED (SELECT r1, r2, log2(mask)::INT AS r3 FROM compose WHERE bit_count(mask::BIGINT) = 1)"]
+    for i in range(rounds):
+        parts.append(f"""k{i + 1} AS MATERIALIZED (SELECT * FROM k{i} UNION SELECT doc_id, tgt, src, CASE WHEN rel = 0 THEN 0 ELSE xor(rel - 1, 1) + 1 END FROM k{i}
+  UNION SELECT a.doc_id, a.src, b.tgt, c.r3 FROM k{i} a JOIN k{i} b ON a.doc_id = b.doc_id AND a.tgt = b.src JOIN one c ON c.r1 = a.rel AND c.r2 = b.rel WHERE a.src <> b.tgt)""")
+    return ", ".join(parts)
+
+
+@query("closure_full", f"WITH {_TYPED}, {COMPOSE}, {_closure_sql(7)} SELECT doc_id, src, tgt, {sql_label('rel')} AS relation FROM k7")
 def _(spark, d):
     return _out(graphs.closure(_typed(spark, d), allen.full_dim(spark)))
 
@@ -279,7 +288,7 @@ def _(spark, d):
 
 
 def _asked(spark, d):
-    ev = views.first_events(spark, d, 5)
+    ev = views.split_events(spark, d, 5)
     a = ev.where("ord = 1").select("doc_id", F.col("event_id").alias("src"))
     return a.join(ev.where("ord > 1").select("doc_id", F.col("event_id").alias("tgt")), "doc_id")
 
@@ -313,7 +322,7 @@ def _(spark, d):
 
 @query("event_lookup", f"WITH {FIRST.format(k=5)}, n AS (SELECT DISTINCT doc_id, unnest([event_type, upper(event_type), event_id, 'nobody']) AS item FROM ev) SELECT n.doc_id, n.item, coalesce(min(a.event_id), max_by(b.event_id, b.ord), n.item) AS event_id FROM n LEFT JOIN ev a ON a.doc_id = n.doc_id AND a.event_id = n.item LEFT JOIN ev b ON b.doc_id = n.doc_id AND b.event_type = lower(n.item) GROUP BY 1, 2")
 def _(spark, d):
-    ev = views.first_events(spark, d, 5)
+    ev = views.split_events(spark, d, 5)
     names = ev.select("doc_id", F.explode(F.array("description", F.upper("description"), "event_id", F.lit("nobody"))).alias("item")).distinct()
     return graphs.resolve(names, ev)
 
@@ -359,7 +368,7 @@ def _(spark, d):
 def _(spark, d):
     """Chains turned around, so that edges claim before where the times say after."""
     back = F.floor("value").cast("long") * 36000000000
-    ev = views.first_events(spark, d, 6).select("doc_id", "event_id", F.col("ts").alias("start_time"), graphs.from_microseconds(graphs.microseconds(F.col("ts")) - back).alias("end_time"))
+    ev = views.split_events(spark, d, 6).select("doc_id", "event_id", F.col("ts").alias("start_time"), graphs.from_microseconds(graphs.microseconds(F.col("ts")) - back).alias("end_time"))
     e = views.chain_edges(spark, d, 6).withColumns({"src": F.col("tgt"), "tgt": F.col("src")})
     return _ids(graphs.mismatches(e, ev))
 
@@ -372,7 +381,7 @@ def _(spark, d):
 SELECT conflict_type, count(*) AS n, count(DISTINCT doc_id) AS n_documents FROM x GROUP BY 1""")
 def _(spark, d):
     e = views.seeded_edges(spark, d)
-    ev = views.first_events(spark, d, 5).select("doc_id", "event_id", F.col("ts").alias("start_time"), F.lit(None).cast("timestamp_ntz").alias("end_time"))
+    ev = views.split_events(spark, d, 5).select("doc_id", "event_id", F.col("ts").alias("start_time"), F.lit(None).cast("timestamp_ntz").alias("end_time"))
     return graphs.conflicts(e, ev).groupBy("conflict_type").agg(_n(), F.countDistinct("doc_id").alias("n_documents"))
 
 

@@ -14,7 +14,7 @@ from chronoweave.streaming import incremental
 
 from . import pipelines, views
 from .q_graph import CHAIN, FIRST
-from .q_narrative import _EV, _GOLD, _events, _links, _nested, _pairs, _threads_predicted
+from .q_narrative import _EV, _GOLD, _PAIRS, _PLACED, RECORD, _events, _links, _nested, _pairs, _record_sql, _rounded, _threads_predicted, _within, record
 from .staging import shared_dir
 
 QUERIES: dict = {}
@@ -32,7 +32,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def _timed(spark, d, k=5):
-    ev = views.first_events(spark, d, k)
+    ev = views.split_events(spark, d, k)
     return ev.select("doc_id", "event_id", "ord", "description", F.col("ts").alias("start_time"), F.lit(None).cast("timestamp_ntz").alias("end_time"), F.lit(None).cast("bigint").alias("duration_us"))
 
 
@@ -101,28 +101,37 @@ def _(spark, d):
     return done.select("story_id", F.size(F.array_distinct("global_order")).cast("long").alias("n_events"), F.size("thread_orders").cast("long").alias("n_threads"))
 
 
-@query("pooled_report")
+@query("pooled_report", f"""WITH {_PAIRS}, pc AS (SELECT 'made' AS condition, * FROM pp UNION ALL SELECT 'gold', * FROM gp), gc AS (SELECT c AS condition, gp.* FROM gp, (SELECT unnest(['made', 'gold']) AS c)),
+  ky AS (SELECT condition, story_id FROM pc UNION SELECT condition, story_id FROM gc), n AS (SELECT condition, story_id::VARCHAR AS story_id, (SELECT count(*) FROM gc WHERE gc.condition = ky.condition AND gc.story_id = ky.story_id) AS g, (SELECT count(*) FROM pc WHERE pc.condition = ky.condition AND pc.story_id = ky.story_id) AS p,
+    (SELECT count(*) FROM gc JOIN pc USING (condition, story_id, a, b) WHERE gc.condition = ky.condition AND gc.story_id = ky.story_id) AS h FROM ky),
+  t AS (SELECT * FROM n UNION ALL SELECT condition, NULL, sum(g)::BIGINT, sum(p)::BIGINT, sum(h)::BIGINT FROM n GROUP BY 1),
+  v AS (SELECT *, CASE WHEN g = 0 OR p = 0 THEN 0.0 ELSE h / p END AS pr, CASE WHEN g = 0 OR p = 0 THEN 0.0 ELSE h / g END AS rc FROM t)
+  SELECT condition, story_id, round(pr, 9) AS precision, round(rc, 9) AS recall, round(CASE WHEN pr + rc = 0 THEN 0 ELSE 2 * pr * rc / (pr + rc) END, 9)::DOUBLE AS f1, g AS n_gold, p AS n_predicted FROM v""")
 def _(spark, d):
     _, gold, made = _pairs(spark, d)
     predicted = made.withColumn("condition", F.lit("made")).unionByName(gold.withColumn("condition", F.lit("gold")))
-    return pipelines.pooled_report(gold, predicted)
+    return _rounded(pipelines.pooled_report(gold, predicted), "precision", "recall", "f1")
 
 
-@query("rescore_stories")
+@query("rescore_stories", RECORD + _record_sql("SELECT story_id, 1.0 AS relation_score FROM st", "SELECT * FROM true_pool WHERE false"))
 def _(spark, d):
+    """Gold relations under predicted threads and pairs, without a pool."""
     ev, pairs, made = _pairs(spark, d)
     gold = stories.gold_edges(_links(ev), ev)
     order = narrative.finish(_nested(spark, d)).select("story_id", F.posexplode("global_order").alias("position", "id"))
-    return pipelines.rescore({"events": ev, "edges": gold, "pairs": pairs}, {"events": _threads_predicted(ev), "edges": gold, "pairs": made, "order": order})
+    return record(pipelines.rescore({"events": ev, "edges": gold, "pairs": pairs}, {"events": _threads_predicted(ev), "edges": gold, "pairs": made, "order": order}))
 
 
-@query("linear_variant", f"WITH {_GOLD}, n AS (SELECT story_id, count(*) AS n_events FROM ev GROUP BY 1), g AS (SELECT story_id, count(*) AS n_edges FROM gold GROUP BY 1) SELECT story_id, n_events, n_edges FROM n JOIN g USING (story_id)")
+@query("linear_variant", f"""WITH {_GOLD}, {_PLACED}, li AS (SELECT story_id, id, row_number() OVER (PARTITION BY story_id ORDER BY thread_id, place) AS nth FROM tp)
+  SELECT g.story_id, 's' || a.nth AS node_i, 's' || b.nth AS node_j FROM gold g JOIN li a ON a.story_id = g.story_id AND a.id = g.node_i JOIN li b ON b.story_id = g.story_id AND b.id = g.node_j""")
 def _(spark, d):
+    """Edges under linear ids; without anchors the threads follow one another."""
     ev, pairs, _ = _pairs(spark, d)
     gold = stories.gold_edges(_links(ev), ev).select("story_id", "node_i", "node_j", "rel", "ord")
-    new = pipelines.linearize(ev.select("story_id", "id", "thread_id"), gold, pairs.withColumn("ord", F.lit(1).cast("bigint")))
-    n = new["events"].groupBy("story_id").agg(F.countDistinct("id").alias("n_events"))
-    return n.join(new["edges"].groupBy("story_id").agg(F.count(F.lit(1)).alias("n_edges")), "story_id")
+    inner = _within(ev).select("story_id", "node_i", "node_j", "rel", (F.col("ord") + 1000).alias("ord"))
+    both = gold.unionByName(inner)
+    new = pipelines.linearize(ev.select("story_id", "id", "thread_id"), both, pairs.limit(0).withColumn("ord", F.lit(1).cast("bigint")))
+    return new["edges"].where("ord < 1000").select("story_id", "node_i", "node_j")
 
 
 @query("bench_report", """SELECT * FROM (VALUES ('Total Examples:          150'), ('Overall Accuracy:        100.0%'), ('Explicit Accuracy:       100.0%'), ('Inference Accuracy:      100.0%'), ('Consistency Rate:        100.0%'),

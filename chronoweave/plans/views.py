@@ -42,16 +42,21 @@ def span_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").cast("string").alias("event_id"), F.col("event_id").alias("ord"), F.col("event_type").alias("description"), F.col("ts").alias("start_time"), F.lit(None).cast("timestamp_ntz").alias("end_time"), (minutes * 60000000).alias("duration_us"))
 
 
-def first_events(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """The first k events of each user by time: doc_id, event_id, ord (1..k)."""
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    got = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").cast("string").alias("event_id"), "ts", F.col("event_type").alias("description"), "value", rank.cast("long").alias("ord"))
-    return got.where(F.col("ord") <= k)
+#: Documents of one user are numbered from user_id times this.
+PARTS = 100_000
+
+
+def split_events(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """Every event, each user's in documents of k in a row by time (the last may be shorter): doc_id, event_id, ord (1..k)."""
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    got = table(spark, sf_dir, "events").select("user_id", F.col("event_id").cast("string").alias("event_id"), "ts", F.col("event_type").alias("description"), "value", nth.cast("long").alias("_nth"))
+    doc = (F.col("user_id") * PARTS + F.floor(F.col("_nth") / k)).cast("long")
+    return got.select(doc.alias("doc_id"), "event_id", "ts", "description", "value", (F.col("_nth") % k + 1).alias("ord"))
 
 
 def chain_edges(spark: SparkSession, sf_dir: str, k: int, rel: str = "before") -> DataFrame:
-    """Explicit edges between consecutive first events of each user."""
-    ev = first_events(spark, sf_dir, k).select("doc_id", "event_id", "ord")
+    """Explicit edges between consecutive events of each document of k events."""
+    ev = split_events(spark, sf_dir, k).select("doc_id", "event_id", "ord")
     nxt = F.lead("event_id").over(Window.partitionBy("doc_id").orderBy("ord"))
     e = ev.withColumn("tgt", nxt).where("tgt IS NOT NULL")
     return as_edges(e.select("doc_id", F.col("event_id").alias("src"), "tgt", F.lit(allen.ID[rel]).alias("rel"), "ord"))
@@ -63,12 +68,12 @@ def as_edges(rows: DataFrame) -> DataFrame:
 
 
 def seeded_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains of five events with contradictions seeded by the user's number.
+    """Chains of five events with contradictions seeded by the document's number.
 
     modulo 5: 0 a cycle back to the first, 1 a second edge that turns the first around, 2 a self loop, 3 after beside
-    before on the same pair, 4 equal beside before and meets; none for users of 7.
+    before on the same pair, 4 equal beside before and meets; none for every seventh document.
     """
-    ev = first_events(spark, sf_dir, 5)
+    ev = split_events(spark, sf_dir, 5)
     at = lambda n: F.max(F.when(F.col("ord") == n, F.col("event_id")))
     wide = ev.groupBy("doc_id").agg(*[at(n).alias(f"e{n}") for n in range(1, 6)])
     chain = chain_edges(spark, sf_dir, 5)

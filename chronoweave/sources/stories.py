@@ -87,10 +87,25 @@ def write_variants(stories: DataFrame, path: str) -> None:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Overwrite path with rows that may come from path itself: written beside it first, then read and moved in."""
-    from chronoweave.plans.staging import stage
-
-    stage(df, "replace").write.mode("overwrite").json(path)
+    """Put rows, which may come from path itself, in the place of the folder path.
+
+    They are written beside it in full first; then the old folder is moved aside, the new one moved in, and the old one
+    deleted. A crash leaves the old or the new folder whole, under path or under the name with .old or .new behind it.
+    """
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    at = lambda end="": jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end)
+    df.write.mode("overwrite").json(path.rstrip("/") + ".new")
+    files = at().getFileSystem(conf)
+    if files.exists(at()):
+        files.delete(at(".old"), True)
+        _moved(files, at(), at(".old"))
+    _moved(files, at(".new"), at())
+    files.delete(at(".old"), True)
+
+
+def _moved(files, source, target) -> None:
+    if not files.rename(source, target):
+        raise OSError(f"{source} could not be moved to {target}")
 
 
 def best_view(stories: DataFrame, predictions: DataFrame, wanted: str, fall_back: list[str]) -> DataFrame:

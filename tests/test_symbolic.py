@@ -52,6 +52,98 @@ def test_durations_as_text(spark):
     assert [r.u for r in df.select(spans.parse_duration_us(F.col("t")).alias("u")).collect()] == [5400 * 10**6, 7200 * 10**6, 129600 * 10**6, 30 * 10**6, 45 * 10**6, None, None]
 
 
+def test_large_numbers_are_null_not_errors(spark):
+    texts = ["it lasted for 999999 years", "300000 years ago", "9999999999 days ago", "99999999999999999999 days later", "in 0000-00-00", "at 99:99", "9999 years later", "two weeks ago"]
+    got = {t: [(e.raw, e.value, e.resolved_ts is None, e.resolved_us) for e in extracted(spark, t)] for t in texts}
+    assert got[texts[0]] == [("for 999999 years", 999999, True, None)]
+    assert got[texts[1]] == [("300000 years ago", 300000, True, None)] and got[texts[2]] == [("9999999999 days ago", 9999999999, True, None)]
+    assert got[texts[3]] == [("99999999999999999999 days later", None, True, None)] and got[texts[6]][0][2]
+    assert got[texts[7]][0][3] == -14 * spans.DAY_US and got[texts[4]][0][2] and got[texts[5]] == []
+    df = spark.createDataFrame([("99999999999999999999 h",), ("9" * 400 + "d",), ("1e5",)], "t string")
+    assert [r.u for r in df.select(spans.parse_duration_us(F.col("t")).alias("u")).collect()] == [None] * 3
+    assert parsed(spark, "The meeting lasted 99999999999999999999 years. It started 999999999 years ago.")
+
+
+def test_table_function(spark):
+    spans.register(spark)
+    texts = ["at 10:30 and adjourned at 2:15 pm, for two hours, 5 minutes before", "on 12th March 2026 or 2026-03-12", "", None, "May 5 may 5th, dismay 5"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    df.createOrReplaceTempView("texts")
+    got = {(r.i, r.start, r.stop, r.raw, r.type) for r in spark.sql("SELECT i, x.* FROM texts, LATERAL extract_temporal(t) x").collect()}
+    want = df.select("i", F.explode(spans.extract(F.col("t"))).alias("e")).select("i", "e.start", "e.stop", "e.raw", "e.type").collect()
+    assert got == set(map(tuple, want)) and len(got) >= 8
+
+
+def chain(spark, n, rel="before"):
+    rows = [("d", f"E{i}", f"E{i + 1}", allen.ID[rel], False, 1.0, "explicit", i) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id string, src string, tgt string, rel int, is_inferred boolean, confidence double, provenance string, ord bigint")
+
+
+def test_long_chains(spark):
+    """Closure, paths, cycles and answers over a chain of 70 events, far beyond the registered queries' documents."""
+    n, dim = 70, allen.core_dim(spark)
+    e = chain(spark, n)
+    closed = graphs.closure(e, dim)
+    assert closed.where(F.col("rel") == allen.ID["before"]).count() == n * (n + 1) // 2 and closed.count() == n * (n + 1)
+    ask = spark.createDataFrame([("d", "E0", f"E{n}"), ("d", f"E{n}", "E0")], "doc_id string, src string, tgt string")
+    got = {r.src: r.rel for r in graphs.answer(ask, e).collect()}
+    assert got == {"E0": allen.ID["before"], f"E{n}": None}
+    assert graphs.cycle_nodes(e).isEmpty()
+    loop = e.unionByName(e.limit(1).withColumns({"src": F.lit(f"E{n}"), "tgt": F.lit("E0"), "ord": F.lit(n).cast("bigint")}))
+    assert graphs.cycle_nodes(loop).count() == n + 1 and len(graphs.cycle_paths(loop).first().event_ids) == n + 2
+    with pytest.raises(ValueError):
+        graphs.closure(e, dim, max_rounds=3)
+
+
+def test_first_derived_comes_first(spark):
+    """Rounds number their edges one after another, each round by the edges that it came from."""
+    closed = graphs.closure(chain(spark, 11), allen.core_dim(spark)).collect()
+    of_round = {}
+    for r in closed:
+        hops = abs(int(r.src[1:]) - int(r.tgt[1:]))
+        of_round.setdefault(r.ord // graphs.ROUND, []).append((r.ord, hops, r.rel))
+    assert sorted(of_round) == [0, 2, 3, 4, 5, 6][: len(of_round)] and {h for _, h, _ in of_round[2]} == {1, 2}
+    assert [h for _, h, _ in sorted(of_round[2])][:11] == [1] * 11 and len({r.ord for r in closed}) == len(closed)
+    two = chain(spark, 2).unionByName(chain(spark, 1, "meets").withColumn("ord", F.lit(9).cast("bigint")))
+    assert {(r.src, r.tgt): allen.SYMBOLIC[r.rel] for r in graphs.primary(graphs.closure(two, allen.core_dim(spark))).collect()}["E1", "E0"] == "after"
+
+
+def test_events_by_epoch(spark):
+    """States of events are compared when they hold in one epoch, as if the graph were read after every statement."""
+    said = ["A started at 09:00. It lasted for 60 minutes.", "B started at 11:00. It lasted for 60 minutes.", "A started at 14:00.", "C is before B.", "B started at 16:00."]
+    rows = spark.createDataFrame([("d", i, t) for i, t in enumerate(said)], "doc_id string, epoch int, text string")
+    p, _, closed = statements.graph(rows)
+    names = {r.event_id: r.description for r in statements.event_ids(p).collect()}
+    got = {(names[r.src], allen.SYMBOLIC[r.rel], names[r.tgt]) for r in closed.collect()}
+    want = set()
+    for k in range(1, len(said) + 1):
+        want |= {(names[r.src], allen.SYMBOLIC[r.rel], names[r.tgt]) for r in statements.graph(rows.where(F.col("epoch") < k), by_epoch=False)[2].collect()}
+    assert want <= got and {("A", "before", "B"), ("B", "before", "A"), ("C", "before", "B")} <= got
+
+
+def test_statement_stream(spark, tmp_path):
+    """Statements that arrive as files are parsed batch by batch."""
+    for i, text in enumerate(("A before B.", "B before C. It lasted for 2 hours.")):
+        spark.createDataFrame([("d", i, text)], "doc_id string, epoch int, text string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    out = []
+    lines = spark.readStream.schema("doc_id string, epoch int, text string").json(str(tmp_path / "in"))
+    incremental.statement_stream(lines, lambda batch: out.extend((r.statement_type, r.raw) for r in batch.collect()))
+    assert sorted(out) == [("EVENT_BOUND", "It lasted for 2 hours"), ("RELATION", "A before B"), ("RELATION", "B before C")]
+
+
+def test_prompts_and_first_object(spark):
+    assert all("{passage}" in p for p in models.PROMPTS.values()) and "{so_far}" in models.PROMPTS["edge"]
+    df = spark.createDataFrame([('x {"a": {"b": 1}} y',), ("none",), (None,)], "t string")
+    assert [r[0] for r in df.select(models.first_object(F.col("t"))).collect()] == ['{"a": {"b": 1}}', None, None]
+
+
+def test_results_sink(spark, tmp_path, capsys):
+    assert cli.main(["-e", "generated", "--save", str(tmp_path / "r")], spark) == 0
+    row = spark.read.json(str(tmp_path / "r" / "results")).first()
+    assert (row.total, row.accuracy, row.f1_macro, len(row.categories)) == (150, 1.0, 1.0, 8)
+    assert "".join(f"{x.value}\n" for x in spark.read.text(str(tmp_path / "r" / "report")).collect()) == capsys.readouterr().out
+
+
 def parsed(spark, *texts):
     return statements.parse(graphs_io.inline(spark, list(texts))).orderBy("pos").collect()
 
