@@ -5,8 +5,12 @@ language over at most TRAIN_DOCS labelled documents a language, chosen by the ha
 corpus is represented and a rerun picks the same. The matrix of log probabilities (2 * BUCKETS rows, one column a
 language, MAX_LANGS columns at most) is broadcast; batches are scored by gathering its rows in numpy.
 
-Defined cases: a null text and one without a letter are `und` with score 0, as is every text when nothing was learned.
-Ties go to the language that sorts first. Only the MAX_LANGS languages with the most training documents are learned.
+Besides the posterior probability, which is near 1 for any text of some length, a text gets the fit of its language: how
+much likelier its n-grams are there, in nats for each, than if all buckets were as likely. It is below 0 for texts that
+are in none of the learned languages, whatever their length.
+
+Defined cases: a null text and one without a letter are `und` with score and fit 0, as is every text when nothing was
+learned. Ties go to the language that sorts first. Only the MAX_LANGS languages with the most training documents are learned.
 Extra columns are kept; the score of a text depends on nothing but the text and the model.
 """
 
@@ -75,21 +79,23 @@ class Model:
     logp: np.ndarray  # (buckets, languages)
 
 
-def predict(langs: list[str], prior: np.ndarray, logp: np.ndarray, texts) -> tuple[list[str], list[float]]:
-    """Language and its posterior probability of each text."""
+def predict(langs: list[str], prior: np.ndarray, logp: np.ndarray, texts) -> tuple[list[str], list[float], list[float]]:
+    """Language of each text, its posterior probability and its fit."""
     texts = [t if isinstance(t, str) else None for t in texts]
-    total = np.tile(prior, (len(texts), 1))
+    total, grams = np.zeros((len(texts), len(langs))), np.zeros(len(texts))
     for index, starts, rows in _slabs(texts) if langs else ():
+        np.add.at(grams, index, len(SIZES) * np.diff([*starts, rows.shape[1]]))
         for row in rows:
             np.add.at(total, index, np.add.reduceat(logp[row], starts, axis=0))
-    lang, score = [], []
-    for text, row in zip(texts, total):
+    lang, score, fit = [], [], []
+    for text, row, n in zip(texts, total, grams):
         if text is None or not langs or not any(map(str.isalpha, text)):
-            lang.append(UNKNOWN), score.append(0.0)
+            lang.append(UNKNOWN), score.append(0.0), fit.append(0.0)
             continue
-        best = int(row.argmax())
-        lang.append(langs[best]), score.append(float(1 / np.exp(row - row[best]).sum()))
-    return lang, score
+        joint = row + prior
+        best = int(joint.argmax())
+        lang.append(langs[best]), score.append(float(1 / np.exp(joint - joint[best]).sum())), fit.append(float(row[best] / n + np.log(BUCKETS)))
+    return lang, score, fit
 
 
 def train(docs: DataFrame, text_col="text", lang_col="lang", id_col="doc_id", per_lang: int = TRAIN_DOCS) -> Model:
@@ -128,21 +134,21 @@ def train(docs: DataFrame, text_col="text", lang_col="lang", id_col="doc_id", pe
 
 
 def predicted(spark: SparkSession, model: Model, text: Column) -> Column:
-    """struct<lang, score> of a text column."""
+    """struct<lang, score, fit> of a text column."""
     shared = spark.sparkContext.broadcast((model.langs, model.prior, model.logp))
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, fit double")
     def run(texts: pd.Series) -> pd.DataFrame:
-        lang, score = predict(*shared.value, texts)
-        return pd.DataFrame({"lang": lang, "score": score})
+        return pd.DataFrame(dict(zip(("lang", "score", "fit"), predict(*shared.value, texts))))
 
     return run(text)
 
 
 def identify(docs: DataFrame, model: Model, text_col="text") -> DataFrame:
-    """docs with lang_pred and lang_score behind its own columns."""
+    """docs with lang_pred, lang_score and lang_fit behind its own columns; a name that docs has gets underscores before it."""
     got = common.free_name(docs.columns, "_lang")
-    return docs.withColumn(got, predicted(docs.sparkSession, model, F.col(text_col))).select(*docs.columns, F.col(f"{got}.lang").alias("lang_pred"), F.col(f"{got}.score").alias("lang_score"))
+    names = [F.col(f"{got}.{field}").alias(common.free_name(docs.columns, name)) for field, name in (("lang", "lang_pred"), ("score", "lang_score"), ("fit", "lang_fit"))]
+    return docs.withColumn(got, predicted(docs.sparkSession, model, F.col(text_col))).select(*docs.columns, *names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -420,7 +420,8 @@ def test_langid_accuracy_and_edges(spark, edge, empty):
     assert (held.lang == held.lang_pred).mean() > 0.97 and got.score.between(0, 1).all()
     model = langid.train(edge)
     rows = langid.identify(edge, model)
-    assert rows.columns == [*edge.columns, "lang_pred", "lang_score"]
+    assert rows.columns == [*edge.columns, "lang_pred", "lang_score", "lang_fit"]
+    assert langid.identify(rows, model).columns == [*rows.columns, "_lang_pred", "_lang_score", "_lang_fit"]
     by_id = {r.doc_id: r for r in rows.collect()}
     assert rows.count() == len(ROWS) and all(by_id[i].lang_pred == "und" and by_id[i].lang_score == 0 for i in (3, 4, 7))
     assert by_id[9].lang_pred in model.langs
@@ -434,6 +435,38 @@ def test_langid_letters(spark):
     assert {r.id: r.lang_pred for r in langid.identify(docs, model).collect()} == {1: "en", 2: "und", 3: "und", 4: "en", 5: "und", 6: "en"}
 
 
+def brute_naive_bayes(train, texts):
+    """(language, posterior, fit) with plain dicts over the n-grams' buckets."""
+    grams = lambda t: [tuple(x) for x in langid.buckets(np.frombuffer((t.lower() + "\0\0").encode("utf-32-le"), np.uint32)).T.tolist()]
+    counts, docs = defaultdict(Counter), Counter()
+    for text, lang in train:
+        docs[lang] += 1
+        for pair in grams(text):
+            counts[lang].update(pair)
+    size = {(lang, row): sum(n for b, n in c.items() if b // langid.BUCKETS == row) + langid.ALPHA * langid.BUCKETS for lang, c in counts.items() for row in (0, 1)}
+    out = []
+    for text in texts:
+        if not text or not any(c.isalpha() for c in text):
+            out.append((langid.UNKNOWN, 0.0, 0.0))
+            continue
+        like = {lang: sum(math.log((counts[lang][b] + langid.ALPHA) / size[lang, b // langid.BUCKETS]) for pair in grams(text) for b in pair) for lang in docs}
+        joint = {lang: like[lang] + math.log(docs[lang] / sum(docs.values())) for lang in docs}
+        best = max(sorted(joint), key=joint.get)
+        out.append((best, 1 / sum(math.exp(x - joint[best]) for x in joint.values()), like[best] / (2 * len(grams(text))) + math.log(langid.BUCKETS)))
+    return out
+
+
+def test_langid_against_plain_naive_bayes(spark):
+    train = [("the cat sat on the mat", "en"), ("a dog and the cat", "en"), ("le chat est sur la table", "fr"), ("der Hund und die Katze", "de"), ("die Maus", "de")]
+    texts = ["the dog", "le chien est la", "und die", "xyzzy", "", None, "12 3", "ß", "ΩΨ ΞΔΘ"]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(train)], "doc_id bigint, text string, lang string")
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.lang_pred, r.lang_score, r.lang_fit) for r in langid.identify(asked, langid.train(docs)).collect()}
+    for i, (lang, score, fit) in enumerate(brute_naive_bayes(train, texts)):
+        assert got[i][0] == lang and got[i][1:] == pytest.approx((score, fit), abs=1e-4)
+    assert got[0][2] > 0 and got[8][2] < 0
+
+
 def test_langid_slabs_agree(monkeypatch):
     rng = np.random.default_rng(0)
     logp = rng.standard_normal((2 * langid.BUCKETS, 3)).astype(np.float32)

@@ -21,7 +21,7 @@ def test_stages_and_registration():
 
 
 def test_stage_by_stage(spark):
-    extra = [(10_001, None, "en", "src1", None), (10_002, "12345 !!", "en", "src1", 8), (10_003, "", None, None, 0)]
+    extra = [(10_001, None, "en", "src1", None), (10_002, "12345 !!", "en", "src1", 8), (10_003, "", None, None, 0), (10_004, "Съешь же ещё этих мягких французских булок " * 9, None, "src1", 300)]
     docs = common.read_table(spark, SF, "documents")
     docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
     stages = dict(corpus_pipeline.STAGES)
@@ -29,7 +29,7 @@ def test_stage_by_stage(spark):
 
     kept = common.stage(stages["language_id"](spark, docs, SF), "t")
     before, after = docs.collect(), kept.collect()
-    assert kept.columns == columns and {r.doc_id for r in before} - {r.doc_id for r in after} == {10_001, 10_002, 10_003}
+    assert kept.columns == columns and {r.doc_id for r in before} - {r.doc_id for r in after} == {10_001, 10_002, 10_003, 10_004}
 
     unique = common.stage(stages["exact_dedup"](spark, kept, SF), "t")
     first = {}
@@ -60,5 +60,21 @@ def test_stage_by_stage(spark):
     check_packing(packed, [r.length for r in packed], 2048)
 
 
+def test_stages_on_odd_tables(spark, empty):
+    """Empty tables, repeated rows, null ids and columns that clash with the operators' names go through every stage."""
+    columns = "doc_id bigint, text string, lang string, source string, n_chars bigint, lang_pred string, _lang string, size string, copies string, key string"
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "en", "a"), (1, text, "en", "a"), (2, text + " eleven", "en", "a"), (None, "a quite different text than all others here", "en", None), (None, None, None, None), (4, "der Hund und die Katze", "de", "b")]
+    odd = spark.createDataFrame([(*r, len(r[1] or ""), "x", "y", "s", "c", "k") for r in rows], columns)
+    for docs, left in ((odd, 3), (odd.limit(0), 0)):
+        names = docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = common.stage(stage(spark, docs, SF), "odd")
+            assert docs.columns == names, name
+            if name == "ngram_jaccard_join":
+                assert docs.count() == left
+        assert (corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0) == (left > 0)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
