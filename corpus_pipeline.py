@@ -16,9 +16,12 @@ LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a recognised language: no text, no letter, or no language with half the probability."""
-    got = langid.identify(docs, langid.train(docs))
-    return got.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).select(*docs.columns)
+    """Drop documents without a recognised language: no text, no letter, no language with half the probability, or one
+    whose n-grams explain the text no better than chance would."""
+    got = common.free_name(docs.columns, "_lang")
+    rows = docs.withColumn(got, langid.predicted(spark, langid.train(docs), F.col("text")))
+    good = (F.col(f"{got}.lang") != langid.UNKNOWN) & (F.col(f"{got}.score") >= LEAST_SCORE) & (F.col(f"{got}.fit") > 0)
+    return rows.where(good).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
