@@ -1,7 +1,8 @@
 """Temporal expressions in text: extraction with positions, and normalisation against an anchor.
 
-All of it is column expressions. A pattern's hits come from regexp_extract_all; their positions are the lengths of what
-split leaves between them. Families are tried by priority and a hit that overlaps an accepted one is dropped.
+All of it is Spark's own expressions, written as SQL lambdas. A pattern's hits come from regexp_extract_all; their positions
+are the lengths of what split leaves between them. Families are tried by priority and a hit that overlaps an accepted one
+is dropped.
 """
 
 from __future__ import annotations
@@ -42,92 +43,103 @@ FIELDS = {
 _KIND = "array<struct<" + ",".join(f"{k}:{t}" for k, t in FIELDS.items()) + ">>"
 
 
-def _map(values: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+#: Type of each family's expressions.
+TYPES = {"iso": "ABSOLUTE_DATE", "day_month": "ABSOLUTE_DATE", "month_day": "ABSOLUTE_DATE", "time": "TIME", "offset": "RELATIVE_DATE", "named": "RELATIVE_DATE", "weekday": "RELATIVE_DATE", "duration": "DURATION"}
+#: First and last moment that a timestamp can hold with a year of four digits.
+_FIRST_US, _LAST_US = (int((datetime(*d) - datetime(1970, 1, 1)).total_seconds()) * 1_000_000 for d in ((1, 1, 1), (9999, 12, 31)))
 
 
-def matches(text: Column, pattern: str, groups: int) -> Column:
-    """array<struct<start, stop, raw, g1..>> of a pattern's hits; a group that took no part is empty.
+# ------------------------------------------------------------------ SQL text
 
-    A text without a hit is passed once, one with hits three times; groups are read off the hits alone, which the
-    patterns, bounded by word edges, match in the same way as the text.
-    """
-    names = [f"g{k}" for k in range(groups + 1)]
-    kind = "array<struct<start:int,stop:int," + ",".join(f"{n}:string" for n in names) + ">>"
-    none = F.array().cast(kind)
 
-    def add(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.length(x["hit"])
-        parts = [x["hit"].alias("g0"), *[F.regexp_extract(x["hit"], pattern, k).alias(f"g{k}") for k in range(1, groups + 1)]]
-        one = F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), *parts)
-        return F.struct(stop.cast("int").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+def _map(values: dict) -> str:
+    return "map(" + ", ".join(f"'{k}', {v}L" for k, v in values.items()) + ")"
 
-    def placed(hits):  # bound to a name, so that the hits are looked for once
-        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
-        return F.aggregate(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
 
-    found = F.transform(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), placed)[0]
-    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.when(text.isNotNull(), none))
+def _struct(values: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', CAST({values.get(k, 'NULL')} AS {t})" for k, t in FIELDS.items()) + ")"
 
 
-def _expression(m: Column, type_: str, **given) -> Column:
-    values = {"start": m["start"], "stop": m["stop"], "raw": m["g0"], "type": F.lit(type_), **given}
-    return F.struct(*[(values[k] if k in values else F.lit(None)).cast(t).alias(k) for k, t in FIELDS.items()])
+def _family_sql(name: str, t: str) -> str:
+    """Expressions of one family in the string t, as SQL.
 
+    A text without a hit is passed once, one with hits three times; groups are read off the hits alone, which the
+    patterns, bounded by word edges, match in the same way as the text.
+    """
+    p = f"r'{PATTERNS[name]}'"
+    group = lambda k: f"regexp_extract(x.hit, {p}, {k})"
+    low = lambda k: f"lower({group(k)})"
+    whole = lambda k: f"try_cast(nullif({group(k)}, '') AS INT)"
+    # digits or a word; null if it doesn't fit a long
+    amount = {"value": f"coalesce({_map(NUMBERS)}[{low(1)}], try_cast({group(1)} AS BIGINT))", "unit": f"trim(TRAILING 's' FROM {low(2)})"}
+    month = lambda k: f"{_map(MONTHS)}[{low(k)}]"
+    day = low(1)
+    fields = {
+        "iso": lambda: {"year": whole(1), "month": whole(2), "day": whole(3)},
+        "day_month": lambda: {"day": whole(1), "month": month(2), "year": whole(3)},
+        "month_day": lambda: {"month": month(1), "day": whole(2), "year": whole(3)},
+        "time": lambda: {"hour": f"CASE WHEN {low(4)} = 'pm' AND {whole(1)} < 12 THEN {whole(1)} + 12 WHEN {low(4)} = 'am' AND {whole(1)} = 12 THEN 0 ELSE {whole(1)} END", "minute": whole(2), "second": f"coalesce({whole(3)}, 0)"},
+        "offset": lambda: amount | {"direction": f"CASE WHEN {low(3)} IN ('ago', 'earlier', 'before') THEN 'past' ELSE 'future' END"},
+        "named": lambda: {
+            "named": day, "offset_days": f"CASE {day} WHEN 'yesterday' THEN -1 WHEN 'tomorrow' THEN 1 ELSE 0 END", "value": f"CASE {day} WHEN 'today' THEN 0 ELSE 1 END",
+            "unit": "'day'", "direction": f"CASE {day} WHEN 'yesterday' THEN 'past' WHEN 'tomorrow' THEN 'future' ELSE 'current' END",
+        },
+        "weekday": lambda: {"modifier": low(1), "weekday": low(2)},
+        "duration": lambda: amount,
+    }[name]()
+    one = _struct({"start": "acc.at + length(x.gap)", "stop": "acc.at + length(x.gap) + length(x.hit)", "raw": "x.hit", "type": f"'{TYPES[name]}'"} | fields)
+    hits = f"zip_with(slice(split({t}, {p}, -1), 1, size(h)), h, (gap, hit) -> named_struct('gap', gap, 'hit', hit))"
+    placed = f"aggregate({hits}, named_struct('at', 0, 'out', CAST(array() AS {_KIND})), (acc, x) -> named_struct('at', acc.at + length(x.gap) + length(x.hit), 'out', concat(acc.out, array({one}))), acc -> acc.out)"
+    return f"CASE WHEN regexp_like({t}, {p}) THEN transform(array(regexp_extract_all({t}, {p}, 0)), h -> {placed})[0] WHEN {t} IS NOT NULL THEN CAST(array() AS {_KIND}) END"
+
+
+def _extract_sql(t: str) -> str:
+    """The families' hits by priority, without those that overlap an accepted one, by position."""
+    every = "concat(" + ", ".join(_family_sql(name, t) for name in PATTERNS) + ")"
+    return f"array_sort(aggregate({every}, CAST(array() AS {_KIND}), (kept, x) -> CASE WHEN exists(kept, y -> greatest(x.start, y.start) < least(x.stop, y.stop)) THEN kept ELSE concat(kept, array(x)) END))"
+
+
+def _ts_sql(us: str) -> str:
+    """Null beyond the years 1 to 9999."""
+    return f"CASE WHEN {us} BETWEEN {_FIRST_US} AND {_LAST_US} THEN CAST(timestamp_micros({us}) AS TIMESTAMP_NTZ) END"
 
-def _number(g: Column) -> Column:
-    """The number of digits or a word; null if it doesn't fit a long."""
-    return F.coalesce(_map(NUMBERS)[F.lower(g)], g.try_cast("long"))
+
+def _us_sql(e: str, ref: str) -> str:
+    """Signed length of an expression in microseconds; null for dates and times."""
+    size = f"try_multiply({e}.value, coalesce({_map(UNITS)}[{e}.unit], {UNITS['second']}L))"
+    today = f"pmod(floor({ref} / {DAY_US}) + 3, 7)"  # Monday is 0
+    target = "(array_position(array(" + ", ".join(f"'{d}'" for d in WEEKDAYS) + f"), {e}.weekday) - 1)"
+    ahead, back = f"coalesce(nullif(pmod({target} - {today}, 7), 0), 7)", f"coalesce(nullif(pmod({today} - {target}, 7), 0), 7)"
+    days = f"CASE {e}.modifier WHEN 'next' THEN {ahead} WHEN 'last' THEN -{back} ELSE {target} - {today} END"
+    return (
+        f"CASE WHEN {e}.type = 'DURATION' THEN {size} WHEN {e}.named IS NOT NULL THEN {e}.offset_days * {DAY_US}L WHEN {e}.weekday IS NOT NULL THEN CAST({days} AS BIGINT) * {DAY_US}L "
+        f"WHEN {e}.type = 'RELATIVE_DATE' THEN CASE WHEN {e}.direction = 'past' THEN -{size} ELSE {size} END END"
+    )
+
+
+def _when_sql(e: str, ref: str) -> str:
+    """Moment of an expression; null for durations and impossible dates. A date without a year takes the anchor's."""
+    date = f"try_make_timestamp_ntz(coalesce({e}.year, year({_ts_sql(ref)})), {e}.month, {e}.day, 0, 0, 0)"
+    clock = f"(CAST(floor({ref} / {DAY_US}) AS BIGINT) * {DAY_US}L + ({e}.hour * 3600L + {e}.minute * 60 + {e}.second) * 1000000L)"
+    return f"CASE {e}.type WHEN 'ABSOLUTE_DATE' THEN {date} WHEN 'TIME' THEN {_ts_sql(clock)} WHEN 'RELATIVE_DATE' THEN {_ts_sql(f'try_add({ref}, {_us_sql(e, ref)})')} END"
 
 
-def _unit(g: Column) -> Column:
-    return F.rtrim(F.lower(g), F.lit("s"))
+def _apply(sql: str, value: Column) -> Column:
+    """A SQL lambda applied to a column. It is parsed as a whole, where thousands of calls would build the same tree."""
+    return F.call_function("transform", F.array(value), F.expr(sql))[0]
 
 
-def _whole(g: Column) -> Column:
-    return F.nullif(g, F.lit("")).try_cast("int")
+# ------------------------------------------------------------------ columns
 
 
 def family(text: Column, name: str) -> Column:
     """All hits of one family as expressions, without regard to the others."""
-    low = F.lower
-    if name == "iso":
-        return F.transform(matches(text, PATTERNS[name], 3), lambda m: _expression(m, "ABSOLUTE_DATE", year=_whole(m["g1"]), month=_whole(m["g2"]), day=_whole(m["g3"])))
-    if name == "day_month":
-        return F.transform(matches(text, PATTERNS[name], 3), lambda m: _expression(m, "ABSOLUTE_DATE", day=_whole(m["g1"]), month=_map(MONTHS)[low(m["g2"])], year=_whole(m["g3"])))
-    if name == "month_day":
-        return F.transform(matches(text, PATTERNS[name], 3), lambda m: _expression(m, "ABSOLUTE_DATE", month=_map(MONTHS)[low(m["g1"])], day=_whole(m["g2"]), year=_whole(m["g3"])))
-    if name == "time":
-
-        def time(m):
-            hour, half = _whole(m["g1"]), low(m["g4"])
-            hour = F.when((half == "pm") & (hour < 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
-            return _expression(m, "TIME", hour=hour, minute=_whole(m["g2"]), second=F.coalesce(_whole(m["g3"]), F.lit(0)))
-
-        return F.transform(matches(text, PATTERNS[name], 4), time)
-    if name == "offset":
-        way = lambda g: F.when(low(g).isin("ago", "earlier", "before"), "past").otherwise("future")
-        return F.transform(matches(text, PATTERNS[name], 3), lambda m: _expression(m, "RELATIVE_DATE", value=_number(m["g1"]), unit=_unit(m["g2"]), direction=way(m["g3"])))
-    if name == "named":
-
-        def named(m):
-            day = low(m["g1"])
-            off = F.when(day == "yesterday", -1).when(day == "tomorrow", 1).otherwise(0)
-            return _expression(m, "RELATIVE_DATE", named=day, offset_days=off, value=F.abs(off), unit=F.lit("day"), direction=F.when(off < 0, "past").when(off > 0, "future").otherwise("current"))
-
-        return F.transform(matches(text, PATTERNS[name], 1), named)
-    if name == "weekday":
-        return F.transform(matches(text, PATTERNS[name], 2), lambda m: _expression(m, "RELATIVE_DATE", modifier=low(m["g1"]), weekday=low(m["g2"])))
-    return F.transform(matches(text, PATTERNS["duration"], 2), lambda m: _expression(m, "DURATION", value=_number(m["g1"]), unit=_unit(m["g2"])))
+    return _apply(f"v -> {_family_sql(name, 'v')}", text)
 
 
 def extract(text: Column) -> Column:
     """The expressions of a text by position; of overlapping hits the family of higher priority wins, then the earlier."""
-    every = F.concat(*[family(text, name) for name in PATTERNS])
-    free = lambda kept, x: ~F.exists(kept, lambda y: F.greatest(x["start"], y["start"]) < F.least(x["stop"], y["stop"]))
-    kept = F.aggregate(every, F.array().cast(_KIND), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    return F.array_sort(kept)
+    return _apply(f"v -> {_extract_sql('v')}", text)
 
 
 def anchor_us(anchor: datetime | Column | None) -> Column:
@@ -137,49 +149,17 @@ def anchor_us(anchor: datetime | Column | None) -> Column:
     return F.lit(int((a - datetime(1970, 1, 1)).total_seconds()) * 1_000_000)
 
 
-#: First and last moment that a timestamp can hold with a year of four digits.
-_FIRST_US, _LAST_US = (int((datetime(*d) - datetime(1970, 1, 1)).total_seconds()) * 1_000_000 for d in ((1, 1, 1), (9999, 12, 31)))
-
-
-def _ts(us: Column) -> Column:
-    """Null beyond the years 1 to 9999."""
-    return F.when(us.between(_FIRST_US, _LAST_US), F.timestamp_micros(us).cast("timestamp_ntz"))
-
-
-def unit_us(value: Column, unit: Column) -> Column:
-    """Length of value units; a month has 30 days and a year 365. Null if it doesn't fit a long."""
-    return F.try_multiply(value.cast("long"), F.coalesce(_map(UNITS)[_unit(unit)], F.lit(UNITS["second"])).cast("long"))
-
-
-def resolved_us(e: Column, anchor: datetime | Column | None = None) -> Column:
-    """Signed length of an expression in microseconds; null for dates and times."""
-    ref = anchor_us(anchor)
-    size = unit_us(e["value"], e["unit"])
-    today = F.pmod(F.floor(ref / DAY_US) + 3, F.lit(7))  # Monday is 0
-    target = F.array_position(F.array(*[F.lit(d) for d in WEEKDAYS]), e["weekday"]) - 1
-    ahead, back = F.pmod(target - today, F.lit(7)), F.pmod(today - target, F.lit(7))
-    days = F.when(e["modifier"] == "next", F.when(ahead == 0, 7).otherwise(ahead)).when(e["modifier"] == "last", -F.when(back == 0, 7).otherwise(back)).otherwise(target - today)
-    return (
-        F.when(e["type"] == "DURATION", size)
-        .when(e["named"].isNotNull(), e["offset_days"].cast("long") * DAY_US)
-        .when(e["weekday"].isNotNull(), days.cast("long") * DAY_US)
-        .when(e["type"] == "RELATIVE_DATE", F.when(e["direction"] == "past", -size).otherwise(size))
-    )
-
-
-def resolved_ts(e: Column, anchor: datetime | Column | None = None) -> Column:
-    """Moment of an expression; null for durations and impossible dates. A date without a year takes the anchor's."""
-    ref = anchor_us(anchor)
-    day = F.floor(ref / DAY_US) * DAY_US
-    clock = (e["hour"].cast("long") * 3600 + e["minute"] * 60 + e["second"]) * 1_000_000
-    date = F.try_make_timestamp_ntz(F.coalesce(e["year"], F.year(_ts(ref))), e["month"], e["day"], F.lit(0), F.lit(0), F.lit(0))
-    return F.when(e["type"] == "ABSOLUTE_DATE", date).when(e["type"] == "TIME", _ts(day + clock)).when(e["type"] == "RELATIVE_DATE", _ts(F.try_add(ref, resolved_us(e, anchor))))
-
-
 def normalize(expressions: Column, anchor: datetime | Column | None = None) -> Column:
     """The expressions with resolved_ts and resolved_us."""
-    fields = lambda e: [e[k].alias(k) for k in FIELDS]
-    return F.transform(expressions, lambda e: F.struct(*fields(e), resolved_ts(e, anchor).alias("resolved_ts"), resolved_us(e, anchor).alias("resolved_us")))
+    fields = ", ".join(f"'{k}', e.{k}" for k in FIELDS)
+    one = f"named_struct({fields}, 'resolved_ts', {_when_sql('e', 'v.ref')}, 'resolved_us', {_us_sql('e', 'v.ref')})"
+    return _apply(f"v -> transform(v.x, e -> {one})", F.struct(expressions.alias("x"), anchor_us(anchor).cast("long").alias("ref")))
+
+
+def first_resolved(text: Column, field: str, anchor: datetime | Column | None = None) -> Column:
+    """The first moment (field ts) or length in microseconds (us) that an expression of the text has."""
+    found = (_us_sql if field == "us" else _when_sql)("e", "v.ref")
+    return _apply(f"v -> get(filter(transform({_extract_sql('v.t')}, e -> {found}), r -> r IS NOT NULL), 0)", F.struct(text.alias("t"), anchor_us(anchor).cast("long").alias("ref")))
 
 
 def parse_duration_us(text: Column) -> Column:
@@ -196,10 +176,6 @@ def parse_iso(text: Column) -> Column:
     return text.try_cast("timestamp_ntz")
 
 
-#: Type of each family's expressions.
-TYPES = {"iso": "ABSOLUTE_DATE", "day_month": "ABSOLUTE_DATE", "month_day": "ABSOLUTE_DATE", "time": "TIME", "offset": "RELATIVE_DATE", "named": "RELATIVE_DATE", "weekday": "RELATIVE_DATE", "duration": "DURATION"}
-
-
 class ExtractTemporal:
     """Table function: the expressions of a text, one row each; for SQL, where extract() is for columns."""
 

@@ -52,12 +52,6 @@ def clean_entity(text: Column) -> Column:
     return F.coalesce(F.nullif(trimmed(F.regexp_replace(text, VERBS, "")), F.lit("")), text)
 
 
-def _first(rest: Column, field: str, anchor) -> Column:
-    """The first expression's resolved field that isn't null."""
-    found = F.transform(spans.extract(rest), lambda e: spans.resolved_us(e, anchor) if field == "us" else spans.resolved_ts(e, anchor))
-    return F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
-
-
 def parse(statements: DataFrame, anchor: datetime | None = None) -> DataFrame:
     """One row a sentence: doc_id, epoch, pos, raw, statement_type, source, target, rel, bound_type, bound_ts, bound_us,
     mentions. source and target are descriptions; pos numbers the sentences of a document."""
@@ -68,9 +62,9 @@ def parse(statements: DataFrame, anchor: datetime | None = None) -> DataFrame:
     for name, pattern in BOUNDS.items():
         hit = F.regexp_like(s, F.lit(pattern))
         rows = rows.withColumn(f"_{name}", F.when(hit, trimmed(F.regexp_extract(s, pattern, 1)))).withColumn(f"_{name}_rest", F.when(hit, trimmed(F.regexp_extract(s, pattern, 2))))
-    rows = rows.withColumn("_us", F.nullif(_first(F.col("_duration_rest"), "us", anchor), F.lit(0)))
-    rows = rows.withColumn("_s", F.when(F.col("_us").isNull(), _first(F.col("_start_rest"), "ts", anchor)))
-    rows = rows.withColumn("_e", F.when(F.col("_us").isNull() & F.col("_s").isNull(), _first(F.col("_end_rest"), "ts", anchor)))
+    rows = rows.withColumn("_us", F.nullif(spans.first_resolved(F.col("_duration_rest"), "us", anchor), F.lit(0)))
+    rows = rows.withColumn("_s", F.when(F.col("_us").isNull(), spans.first_resolved(F.col("_start_rest"), "ts", anchor)))
+    rows = rows.withColumn("_e", F.when(F.col("_us").isNull() & F.col("_s").isNull(), spans.first_resolved(F.col("_end_rest"), "ts", anchor)))
     bound = F.when(F.col("_us").isNotNull(), "duration").when(F.col("_s").isNotNull(), "start").when(F.col("_e").isNotNull(), "end")
     rows = rows.withColumn("bound_type", bound)
     found = F.lit(None).cast("struct<rel:int,a:string,b:string>")
