@@ -13,10 +13,12 @@ is how they are computed; below the empty context all 256 bytes are equal. D dep
 was seen once, twice or more, and is estimated from the numbers of counts 1 to 4 in the whole trie.
 
 The trie is never gathered. Keys are 8-byte integers (ORDER context bytes and the symbol) in shards by the hash of the
-three last context bytes, so that a shard holds whole subtries; a row holds a shard's sorted keys as one binary. Shards are
+three last context bytes, so that a shard holds whole subtries; words, which the base counts, are in shards of their own by
+their hash. A row holds a shard's sorted keys or words and their counts as two compressed binaries. Shards are
 merged and asked in streams, and what a shard holds is bounded by distinct contexts. Only contexts of up to two bytes are
 sent to every task: 2^24 keys and counts (256 MiB) at the most, a few MB for text. Documents are dealt into chunks of about
-CHUNK_BYTES; a chunk asks for the distinct words and keys that it holds and scores its documents from the answers.
+CHUNK_BYTES; a chunk asks for the distinct words and keys that it holds, in a fixed order, and scores its documents from
+the answers.
 
 Defined cases: a null or word-less text has the end as its only token. Without training documents every count is 0 and
 symbols are uniform over 256. Rows are scored one by one, so repeated rows and null ids keep their own results.
@@ -25,10 +27,14 @@ symbols are uniform over 256. Rows are scored one by one, so repeated rows and n
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
+from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,12 +45,14 @@ ORDER = 6
 LOW = 2
 END = 10  # white space never occurs in a word, so a line feed can stand for the end
 #: Distinct words, and keys, that a counting task holds before it passes them on.
-WORDS = 400_000
-KEYS = 2 << 20
+WORDS = 200_000
+KEYS = 3 << 19
 #: Bytes whose keys are built at once.
 SLICE = 1 << 20
+#: Bytes of text in a chunk: what a task holds of words, keys and answers is several times as much.
+CHUNK_BYTES = 8 << 20
 #: Least and most shards, and training bytes for each between these.
-SHARDS = (1 << 12, 1 << 16)
+SHARDS = (1 << 10, 1 << 16)
 SHARD_BYTES = 1 << 30
 
 
@@ -52,7 +60,7 @@ def _words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-def _keys(texts: list[bytes | None]):
+def _keys(texts: Iterable[bytes | None]):
     """(keys, index of the text) of the symbols of texts, in slices of about SLICE bytes."""
     pad = bytes([END]) * ORDER
     parts, index, size = [], [], 0
@@ -104,88 +112,131 @@ def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((context.astype(np.uint32) * np.uint32(2654435761)).astype(np.uint64) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
 
 
-def _rows(keys: np.ndarray, values: np.ndarray | None, chunk: int, shards: int) -> pa.RecordBatch:
-    """A row (shard, chunk, keys, values) for each shard of sorted keys."""
-    shard = _shard(keys, shards)
+def _pack(x: np.ndarray) -> bytes:
+    """Integers as planes of equal bytes, which compress well where they are sorted or small."""
+    return zstandard.compress(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
+
+
+def _pack_words(words: list[bytes]) -> bytes:
+    return zstandard.compress(b"\n".join(words), 1)
+
+
+def _unpack_words(data: bytes) -> list[bytes]:
+    return zstandard.decompress(data).split(b"\n")
+
+
+def _by_number(shard: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """A stable order by shard, and (shard, first, stop) of each in that order."""
     order = np.argsort(shard, kind="stable")
     shard = shard[order]
     start = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
-    bounds = np.append(start, len(shard)).astype(np.int32) * 8
-    packed = lambda x: pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(x[order]))])
-    none = pa.array([b""] * len(start), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(shard[start]), pa.array(np.full(len(start), chunk, dtype=np.int64)), packed(keys), none if values is None else packed(values)], schema=_PACKED)
+    return order, [*zip(shard[start].tolist(), start.tolist(), [*start[1:].tolist(), len(shard)])]
+
+
+def _word_shard(words: list[bytes], shards: int) -> np.ndarray:
+    """Shards of words, behind those of keys."""
+    return shards + (np.fromiter(map(zlib.crc32, words), np.int64, len(words)) & shards - 1)
+
+
+def _rows(keys: np.ndarray, counts: np.ndarray | None, words: list[bytes], n: np.ndarray | None, chunk: int, shards: int) -> pa.RecordBatch:
+    """A row (shard, chunk, keys, vals) for each shard of sorted keys and of sorted words."""
+    order, parts = _by_number(_shard(keys, shards))
+    keys, counts = keys[order], None if counts is None else counts[order]
+    rows = [(i, chunk, _pack(keys[low:high]), b"" if counts is None else _pack(counts[low:high])) for i, low, high in parts]
+    order, parts = _by_number(_word_shard(words, shards))
+    words, n = [words[i] for i in order], None if n is None else n[order]
+    rows += [(i, chunk, _pack_words(words[low:high]), b"" if n is None else _pack(n[low:high])) for i, low, high in parts]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PACKED)] if rows else [pa.nulls(0, f.type) for f in _PACKED], schema=_PACKED)
 
 
 _PACKED = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary())])
 _PACKED_DDL = "shard int, chunk long, keys binary, vals binary"
+_NO_KEYS = np.zeros(0, dtype=np.int64)
+
+
+def _word_rows(counts: Counter, shards: int) -> pa.RecordBatch:
+    words = sorted(counts)
+    return _rows(_NO_KEYS, None, words, np.array([counts[w] for w in words], dtype=np.int64), -1, shards)
 
 
-def _count_keys(shards: int):
+def _count(shards: int):
+    """Batches (text) of training documents to partial counts of keys and words."""
+
     def run(batches):
-        keys, counts, size = [], [], 0
+        keys, counts, size, words = [], [], 0, Counter()
+
+        def told(column):
+            for text in column:
+                text = text.as_py()
+                words.update(_words(text))
+                yield text
+
         for b in batches:
-            for key, _ in _keys(b.column(0).to_pylist()):
+            for key, _ in _keys(told(b.column(0))):
+                if len(words) > WORDS:
+                    yield _word_rows(words, shards)
+                    words.clear()
                 key, n = np.unique(key, return_counts=True)
                 keys.append(key), counts.append(n)
                 size += len(key)
                 if size > KEYS:
                     key, n = _summed(keys, counts)
+                    keys, counts, size = [key], [n], len(key)
                     if len(key) > KEYS // 2:
-                        yield _rows(key, n, -1, shards)
+                        yield _rows(key, n, [], None, -1, shards)
                         keys, counts, size = [], [], 0
-                    else:
-                        keys, counts, size = [key], [n], len(key)
         if keys:
-            yield _rows(*_summed(keys, counts), -1, shards)
+            yield _rows(*_summed(keys, counts), [], None, -1, shards)
+        if words:
+            yield _word_rows(words, shards)
 
     return run
 
 
-def _count_words(batches):
-    counts = Counter()
-    flush = lambda: pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-    for b in batches:
-        for text in b.column(0):
-            counts.update(_words(text.as_py()))
-        if len(counts) > WORDS:
-            yield flush()
-            counts = Counter()
-    if counts:
-        yield flush()
-
-
 def _by_shard(take, done):
-    """Batches of rows sorted by shard to what take(state, row) and done(state) yield; state is a new dict for each shard."""
+    """Batches of rows sorted by shard to what take(state, chunk, keys, vals) and done(state) yield; state is a new dict for
+    each shard."""
 
     def run(batches):
         at, state = None, {}
         for b in batches:
-            for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-                if row[0] != at:
+            for shard, chunk, keys, vals in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                if shard != at:
                     if at is not None:
                         yield from done(state)
-                    at, state = row[0], {"shard": row[0]}
-                yield from take(state, row[1], *(np.frombuffer(x.as_buffer(), np.int64) for x in row[2:]))
+                    at, state = shard, {"shard": shard}
+                yield from take(state, chunk, keys.as_py(), vals.as_py())
         if at is not None:
             yield from done(state)
 
     return run
 
 
-def _merge():
+def _merge(shards: int):
     """Partial counts of each shard to one row."""
 
     def take(state, _, keys, counts):
-        state.setdefault("keys", []).append(keys), state.setdefault("counts", []).append(counts)
-        state["size"] = state.get("size", 0) + len(keys)
-        if state["size"] > 2 * state.get("least", KEYS // 2):
+        if state["shard"] >= shards:
+            words = state.setdefault("words", Counter())
+            for word, n in zip(_unpack_words(keys), _unpack(counts).tolist()):
+                words[word] += n
+            return ()
+        state.setdefault("keys", []).append(_unpack(keys)), state.setdefault("counts", []).append(_unpack(counts))
+        state["size"] = state.get("size", 0) + len(state["keys"][-1])
+        if state["size"] > 2 * state.get("least", KEYS // 4):
             keys, counts = _summed(state["keys"], state["counts"])
-            state.update(keys=[keys], counts=[counts], size=len(keys), least=max(KEYS // 2, len(keys)))
+            state.update(keys=[keys], counts=[counts], size=len(keys), least=max(KEYS // 4, len(keys)))
         return ()
 
     def done(state):
-        keys, counts = _summed(state["keys"], state["counts"])
-        yield pa.RecordBatch.from_arrays([pa.array([state["shard"]], pa.int32()), pa.array([-1], pa.int64()), pa.array([keys.tobytes()]), pa.array([counts.tobytes()])], schema=_PACKED)
+        if state["shard"] >= shards:
+            yield _word_rows(state["words"], shards)
+        else:
+            yield _rows(*_summed(state["keys"], state["counts"]), [], None, -1, shards)
 
     return _by_shard(take, done)
 
@@ -203,14 +254,27 @@ def _numbers(levels: dict) -> dict:
     return {(j, r): int((n == r).sum()) for j, (_, n) in levels.items() for r in (1, 2, 3, 4)}
 
 
-def _summary(batches):
-    """Shards to (key, n): the keys of order LOW with their counts, and -4 * order - r for the numbers of counts r."""
-    for b in batches:
-        for keys, counts in zip(b.column(2), b.column(3)):
-            levels = _levels(*(np.frombuffer(x.as_buffer(), np.int64) for x in (keys, counts)), ORDER, LOW)
-            low, n = levels.pop(LOW)
-            numbers = _numbers(levels)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-4 * j - r for j, r in numbers], low])), pa.array(np.concatenate([[*numbers.values()], n]))], names=["key", "n"])
+#: Numbers of a summary besides counts of counts: words, distinct words.
+_TOTAL, _DISTINCT = -1, -2
+
+
+def _summary(shards: int):
+    """Shards to (key, n): the keys of order LOW with their counts, -4 * order - r for the numbers of counts r, and words."""
+
+    def run(batches):
+        for b in batches:
+            for shard, keys, counts in zip(b.column(0).to_pylist(), b.column(2), b.column(3)):
+                counts = _unpack(counts.as_py())
+                if shard >= shards:
+                    out = {_TOTAL: int(counts.sum()), _DISTINCT: len(counts)}
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (out.keys(), out.values())], names=["key", "n"])
+                    continue
+                levels = _levels(_unpack(keys.as_py()), counts, ORDER, LOW)
+                low, n = levels.pop(LOW)
+                numbers = _numbers(levels)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-4 * j - r for j, r in numbers], low])), pa.array(np.concatenate([[*numbers.values()], n]))], names=["key", "n"])
+
+    return run
 
 
 def discounts(numbers: dict) -> dict:
@@ -223,8 +287,9 @@ def discounts(numbers: dict) -> dict:
     return out
 
 
-def _probabilities(asked: np.ndarray, p: np.ndarray, levels: dict, discount: dict) -> np.ndarray:
-    """Probabilities of the asked keys, from those in the context below the first of the levels, climbing to the last."""
+def _prepared(levels: dict, discount: dict) -> list[tuple]:
+    """(order, keys, what each has of its context's own, contexts, what each leaves to the shorter one), by order."""
+    out = []
     for j in sorted(levels):
         keys, n = levels[j]
         if not len(keys):
@@ -233,94 +298,110 @@ def _probabilities(asked: np.ndarray, p: np.ndarray, levels: dict, discount: dic
         start = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
         total = np.add.reduceat(n, start)
         d = discount[j][np.minimum(n, 3) - 1]
-        left = np.add.reduceat(d, start) / total
+        own = (n - d) / np.repeat(total, np.diff(np.append(start, len(keys))))
+        out.append((j, keys, own, context[start], np.add.reduceat(d, start) / total))
+    return out
+
+
+def _probabilities(asked: np.ndarray, p: np.ndarray, prepared: list[tuple]) -> np.ndarray:
+    """Probabilities of the asked keys, from those in the context below the first of the levels, climbing to the last."""
+    for j, keys, own, contexts, left in prepared:
         want = asked & (1 << 8 * (j + 1)) - 1
-        node = np.minimum(np.searchsorted(context[start], want >> 8), len(start) - 1)
+        node = np.minimum(np.searchsorted(contexts, want >> 8), len(contexts) - 1)
         leaf = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        own = np.where(keys[leaf] == want, (n - d)[leaf] / total[node], 0.0)
-        p = np.where(context[start][node] == want >> 8, own + left[node] * p, p)
+        p = np.where(contexts[node] == want >> 8, np.where(keys[leaf] == want, own[leaf], 0.0) + left[node] * p, p)
     return p
 
 
-def _answer(low: dict, discount: dict):
-    """Shards and, behind each, the keys that chunks ask for to their log10 probabilities."""
+def _answer(low: dict, discount: dict, shards: int):
+    """Shards and, behind each, what chunks ask of it to rows (chunk, shard, vals): logarithms of probabilities, or counts."""
+    short = _prepared(low, discount)
+
+    def answered(state, keys):
+        if state["shard"] >= shards:
+            known = state.get("words", {})
+            return _pack(np.array([known.get(w, 0) for w in _unpack_words(keys)], dtype=np.int64))
+        asked = _unpack(keys)
+        p = _probabilities(asked, np.full(len(asked), 1 / 256), [*short, *state.get("long", [])])
+        return np.log10(p).astype(np.float32).tobytes()
 
     def take(state, chunk, keys, counts):
-        if chunk < 0:
-            state["levels"] = _levels(keys, counts, ORDER, LOW + 1)
-            return
-        p = _probabilities(keys, np.full(len(keys), 1 / 256), low, discount)
-        p = np.log10(_probabilities(keys, p, state.get("levels", {}), discount))
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([keys.tobytes()]), pa.array([p.tobytes()])], names=["chunk", "keys", "logp"])
+        if chunk >= 0:
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([state["shard"]], pa.int32()), pa.array([answered(state, keys)], pa.binary())], names=["chunk", "shard", "vals"])
+        elif state["shard"] >= shards:
+            state["words"] = dict(zip(_unpack_words(keys), _unpack(counts).tolist()))
+        else:
+            state["long"] = _prepared(_levels(_unpack(keys), _unpack(counts), ORDER, LOW + 1), discount)
 
     return _by_shard(take, lambda state: ())
 
 
 class Model:
-    """words: (word, n); trie: one row a shard; docs: training documents; both tables staged."""
+    """counts: one row a shard, staged; docs: training documents; shards: of keys, and as many of words."""
 
-    def __init__(self, words: DataFrame, trie: DataFrame, docs: int, shards: int):
-        self.words, self.trie, self.docs, self.shards = words, trie, docs, shards
+    def __init__(self, counts: DataFrame, docs: int, shards: int):
+        self.counts, self.docs, self.shards = counts, docs, shards
 
 
 def train(docs: DataFrame, text_col="text") -> Model:
     text = docs.select(F.col(text_col).cast("binary").alias("text"))
     size = text.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     shards = min(SHARDS[1], max(SHARDS[0], 1 << ((size.bytes or 0) // SHARD_BYTES).bit_length()))
-    words = text.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    parts = text.mapInArrow(_count_keys(shards), _PACKED_DDL).repartition("shard").sortWithinPartitions("shard")
-    return Model(common.stage(words, "words"), common.stage(parts.mapInArrow(_merge(), _PACKED_DDL), "trie"), size.n, shards)
+    parts = text.mapInArrow(_count(shards), _PACKED_DDL).repartition("shard").sortWithinPartitions("shard")
+    return Model(common.stage(parts.mapInArrow(_merge(shards), _PACKED_DDL), "trie"), size.n, shards)
 
 
-_ASKED = pa.schema([*_PACKED, ("word", pa.binary())])
+def _needed(texts: list[bytes | None]) -> tuple[np.ndarray, list[bytes]]:
+    """The distinct keys and words of texts, sorted."""
+    words: set[bytes] = set()
+    for text in texts:
+        words.update(_words(text))
+    keys, held = _NO_KEYS, []
+    for key, _ in _keys(texts):
+        held.append(_distinct(key))
+        if sum(map(len, held)) > KEYS:
+            keys, held = _distinct(np.concatenate([keys, *held])), []
+    return _distinct(np.concatenate([keys, *held])), sorted(words)
 
 
 def _ask(shards: int):
-    """What a chunk needs: its distinct words and keys."""
+    """What a chunk needs of each shard."""
 
     def run(table):
-        chunk, texts = table["chunk"][0].as_py(), table["text"].to_pylist()
-        words = set()
-        for text in texts:
-            words.update(_words(text))
-        keys = np.zeros(0, dtype=np.int64)
-        held: list[np.ndarray] = []
-        for key, _ in _keys(texts):
-            held.append(_distinct(key))
-            if sum(map(len, held)) > KEYS:
-                keys, held = _distinct(np.concatenate([keys, *held])), []
-        packed = _rows(_distinct(np.concatenate([keys, *held])), None, chunk, shards)
-        packed = pa.table([*packed.columns, pa.nulls(packed.num_rows, pa.binary())], schema=_ASKED)
-        n = len(words)
-        alone = pa.table([pa.nulls(n, pa.int32()), pa.array([chunk] * n, pa.int64()), *(pa.nulls(n, pa.binary()) for _ in range(2)), pa.array(words, pa.binary())], schema=_ASKED)
-        return pa.concat_tables([packed, alone])
+        keys, words = _needed(table["text"].to_pylist())
+        return pa.Table.from_batches([_rows(keys, None, words, None, table["chunk"][0].as_py(), shards)])
 
     return run
 
 
-def _score_chunk(total: int, distinct: int, end: int, out: pa.Schema):
+def _score_chunk(total: int, distinct: int, end: int, shards: int, out: pa.Schema):
     def run(docs, answers):
         if not docs.num_rows:
             return out.empty_table()
-        is_word = answers["word"].is_valid()
-        known, packed = answers.filter(is_word), answers.filter(pa.compute.invert(is_word))
-        words, count = known["word"].to_pylist(), known["n"].to_numpy()
-        base = np.log10((count + 1.0) / (total + distinct + 1.0))
-        key, logp = (np.frombuffer(b"".join(packed[c].to_pylist()), kind) for c, kind in (("keys", np.int64), ("logp", np.float64)))
-        order = np.argsort(key)
-        key, logp = key[order], logp[order]
         texts = docs["text"].to_pylist()
+        words_of = [_words(text) for text in texts]
+        words = sorted(set(chain.from_iterable(words_of)))
+        number = {w: i for i, w in enumerate(words)}
+        places = [np.fromiter(map(number.__getitem__, some), np.int32, len(some)) for some in words_of]
+        del words_of, number
+        slices = []
+        for key, owner in _keys(texts):
+            order = np.argsort(key)
+            key = key[order]
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            slices.append((key[new], (np.cumsum(new) - 1).astype(np.int32), owner[order].astype(np.int32)))
+        keys = _distinct(np.concatenate([key for key, _, _ in slices]))
+        got = sorted(zip(answers["shard"].to_pylist(), answers["vals"].to_pylist()))  # in the order in which it was asked
+        logp, count = np.empty(len(keys)), np.empty(len(words), dtype=np.int64)
+        logp[_by_number(_shard(keys, shards))[0]] = np.frombuffer(b"".join(x for i, x in got if i < shards), np.float32)
+        if words:
+            count[_by_number(_word_shard(words, shards))[0]] = np.concatenate([_unpack(x) for i, x in got if i >= shards])
+        base = np.log10((count + 1.0) / (total + distinct + 1.0))
         score = np.zeros(len(texts))
-        for asked, owner in _keys(texts):
-            order = np.argsort(asked)
-            asked = asked[order]
-            new = np.concatenate([[True], asked[1:] != asked[:-1]])
-            found = logp[np.searchsorted(key, asked[new])]  # in order, and each key once
-            score += np.bincount(owner[order], weights=found[np.cumsum(new) - 1], minlength=len(texts))
-        index = {w: i for i, w in enumerate(words)}
+        for asked, at, owner in slices:
+            score += np.bincount(owner, weights=logp[np.searchsorted(keys, asked)][at], minlength=len(texts))
         tokens, seen, base_sum = [], [], []
-        for text in texts:
-            at = np.array([index[w] for w in _words(text)], dtype=np.int64)
+        for at in places:
             tokens.append(len(at) + 1)
             seen.append(int((count[at] > 0).sum()) + (end > 0))
             base_sum.append(float(base[at].sum()) + math.log10((end + 1) / (total + distinct + 1)))
@@ -329,42 +410,34 @@ def _score_chunk(total: int, distinct: int, end: int, out: pa.Schema):
     return run
 
 
-def score(docs: DataFrame, model: Model, held_out: Column, id_col="doc_id", text_col="text", chunk_bytes: int = common.CHUNK_BYTES) -> DataFrame:
+def score(docs: DataFrame, model: Model, held_out: Column, id_col="doc_id", text_col="text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Scores of all rows of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    sums = model.words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    total, distinct = (sums.n or 0) + model.docs, sums.v + (model.docs > 0)
-    told = model.trie.mapInArrow(_summary, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    told = model.counts.mapInArrow(_summary(model.shards), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     key, n = told["key"].to_numpy(), told["n"].to_numpy()
-    numbers = {(j, r): 0 for j in range(LOW + 1, ORDER + 1) for r in (1, 2, 3, 4)}
-    for k, v in zip(key[key < 0].tolist(), n[key < 0].tolist()):
-        j, r = divmod(-k - 1, 4)
-        numbers[j, r + 1] = v
+    few = dict(zip(key[key < 0].tolist(), n[key < 0].tolist()))
+    numbers = {(j, r): few.get(-4 * j - r, 0) for j in range(LOW + 1, ORDER + 1) for r in (1, 2, 3, 4)}
     some = np.flatnonzero(key >= 0)
     some = some[np.argsort(key[some])]
     low = _levels(key[some], n[some], LOW, 0)
     discount = discounts(numbers | _numbers(low))
+    total, distinct = few.get(_TOTAL, 0) + model.docs, few.get(_DISTINCT, 0) + (model.docs > 0)
 
     text = F.col(text_col).cast("binary")
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
     dealt = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), text.alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.crc32(text)), F.lit(chunks)).alias("chunk"))
-    asked = common.stage(dealt.groupBy("chunk").applyInArrow(_ask(model.shards), f"{_PACKED_DDL}, word binary"), "asked")
-    is_word = F.col("word").isNotNull()
-
-    shards = model.trie.unionByName(asked.where(~is_word).drop("word")).repartition("shard").sortWithinPartitions("shard", "chunk")
-    shared = docs.sparkSession.sparkContext.broadcast((low, discount))
+    asked = dealt.groupBy("chunk").applyInArrow(_ask(model.shards), _PACKED_DDL)
+    shards = model.counts.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "chunk")
+    shared, number = docs.sparkSession.sparkContext.broadcast((low, discount)), model.shards
 
     def answers_of(batches):
-        yield from _answer(*shared.value)(batches)
-
-    for_keys = shards.mapInArrow(answers_of, "chunk long, keys binary, logp binary")
-    for_words = asked.where(is_word).select("chunk", "word").join(model.words.hint("shuffle_hash"), "word", "left").select("chunk", "word", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
-    answers = for_words.unionByName(for_keys, allowMissingColumns=True)
+        yield from _answer(*shared.value, number)(batches)
 
+    answers = shards.mapInArrow(answers_of, "chunk long, shard int, vals binary")
     kind = dealt.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = pa.schema([(f.name, f.type) for f in common.arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)])
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_chunk(total, distinct, model.docs, out), schema)
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_chunk(total, distinct, model.docs, model.shards, out), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,7 +182,7 @@ def test_lm_is_a_distribution():
     discount = lm_ppm.discounts(lm_ppm._numbers(levels))
     for context in (b"cadabr", b"xxxabr", b"zzzzzz", b"\n\n\n\n\n\n"):
         asked = (int.from_bytes(context, "big") << 8) + np.arange(256)
-        p = lm_ppm._probabilities(asked, np.full(256, 1 / 256), levels, discount)
+        p = lm_ppm._probabilities(asked, np.full(256, 1 / 256), lm_ppm._prepared(levels, discount))
         assert p.min() > 0 and p.sum() == pytest.approx(1)
 
 
