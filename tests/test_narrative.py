@@ -171,6 +171,35 @@ def test_bootstrap_interval_by_brute_force(spark):
     assert b.point_estimate == 4 and b.low == pytest.approx(means[int(0.1 * 27)]) and b.high == pytest.approx(means[int(0.9 * 27) - 1], abs=1.01)
 
 
+def test_bootstrap_sends_no_draws_around(spark):
+    """Six million draws of three small groups, one of them without a key, pass where nothing above 100 MB may be broadcast."""
+    df = spark.range(600).selectExpr("CASE WHEN id < 300 THEN 'a' WHEN id < 599 THEN 'b' END AS g", "cast(id AS double) AS v")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "100m")
+    try:
+        b = {r.g: r for r in statistics.bootstrap(df, "g", "v").collect()}
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert {g: r.n_resamples for g, r in b.items()} == {"a": 10_000, "b": 10_000, None: 10_000}
+    assert 139 < b["a"].low < 141 and b["a"].point_estimate == 149.5 and 158 < b["a"].high < 160 and b[None].low == b[None].high == 599
+
+
+def test_bootstrap_in_blocks(spark):
+    """Blocks share the draws of a resample: all are made, and they are as spread as those of a group in one piece."""
+    got = sum(statistics.shares([1, 2, 0], 23, 5, at, 3000) for at in range(5))
+    assert (got == 23).all()
+    last = statistics.shares([1, 2, 0], 23, 5, 4, 3000)
+    assert last.mean() == pytest.approx(3, abs=0.15) and last.var() == pytest.approx(23 * 3 / 23 * 20 / 23, abs=0.3)
+    df = spark.createDataFrame([("g", float(v)) for v in (0, 3, 9)], "g string, v double")
+    means = sorted(sum(p) / 3 for p in itertools.product((0, 3, 9), repeat=3))
+    b = statistics.bootstrap(df, "g", "v", 4000, confidence=0.8, block=1).first()
+    assert b.low == pytest.approx(means[int(0.1 * 27)]) and b.high == pytest.approx(means[int(0.9 * 27) - 1], abs=1.01)
+    rows = spark.range(50).selectExpr("'g' AS g", "cast(id AS double) AS v")
+    b = statistics.bootstrap(rows, "g", "v", 300, statistic=F.count, block=7).first()
+    assert (b.point_estimate, b.low, b.high, b.n_resamples) == (50, 50, 50, 300)
+    one, many = (statistics.bootstrap(rows, "g", "v", block=k).first() for k in (50, 7))
+    assert many.low == pytest.approx(one.low, abs=0.3) and many.high == pytest.approx(one.high, abs=0.3)
+
+
 STORY = {
     "story_id": "x1", "title": "t", "source": "u", "threads": [{"id": "A", "label": "Ann, a clerk"}, {"id": "B", "label": "Bob"}],
     "events": [{"id": f"s{i + 1}", "thread_id": "AB"[i % 2], "text": f"event {i + 1}"} for i in range(4)],
