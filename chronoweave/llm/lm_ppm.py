@@ -18,7 +18,7 @@ their hash. A row holds a shard's sorted keys or words and their counts as two c
 merged and asked in streams, and what a shard holds is bounded by distinct contexts. Only contexts of up to two bytes are
 sent to every task: 2^24 keys and counts (256 MiB) at the most, a few MB for text. Documents are dealt into chunks of about
 CHUNK_BYTES; a chunk asks for the distinct words and keys that it holds, in a fixed order, and scores its documents from
-the answers.
+the answers. A shard computes the probabilities of the trie's keys once, and for each chunk only those of other keys.
 
 Defined cases: a null or word-less text has the end as its only token. Without training documents every count is 0 and
 symbols are uniform over 256. Rows are scored one by one, so repeated rows and null ids keep their own results.
@@ -29,11 +29,11 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterable
-from itertools import chain
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,20 +44,66 @@ ORDER = 6
 #: Contexts up to this order are sent to every task; a shard is a set of contexts one byte longer.
 LOW = 2
 END = 10  # white space never occurs in a word, so a line feed can stand for the end
+#: A-Z in lower case, white space as spaces.
+FOLDED = bytes(32 if c in b" \t\n\r\x0b\x0c" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Distinct words, and keys, that a counting task holds before it passes them on.
 WORDS = 200_000
 KEYS = 3 << 19
-#: Bytes whose keys are built at once.
-SLICE = 1 << 20
+#: Bytes of texts whose words are counted at once, and whose keys are built at once (these fit a processor's cache).
+PIECE = 1 << 22
+SLICE = 1 << 18
 #: Bytes of text in a chunk: what a task holds of words, keys and answers is several times as much.
 CHUNK_BYTES = 8 << 20
+#: Keys, or words, of a shard that are answered at once.
+ASKED = 1 << 18
 #: Least and most shards, and training bytes for each between these.
 SHARDS = (1 << 10, 1 << 16)
 SHARD_BYTES = 1 << 30
 
 
-def _words(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []
+def _body(text: bytes | None) -> bytes:
+    """The words of a text with one space between two."""
+    body = (text or b"").translate(FOLDED).strip(b" ")
+    while b"  " in body:
+        body = body.replace(b"  ", b" ")
+    return body
+
+
+def _words(bodies: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all bodies, each with a space behind it, and how many each body has."""
+    return _split(b" ".join([*filter(None, bodies), b""])), np.array([body.count(b" ") + 1 if body else 0 for body in bodies], dtype=np.int64)
+
+
+def _split(data: bytes) -> pa.Array:
+    """Words of bytes that have a space behind each word."""
+    stops = np.concatenate([[0], np.flatnonzero(np.frombuffer(data, np.uint8) == 32) + 1])
+    return pa.Array.from_buffers(pa.large_binary(), len(stops) - 1, [None, pa.py_buffer(stops), pa.py_buffer(data)])
+
+
+def _joined(words: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The inverse of _split, and where each word starts and the last one stops."""
+    if not len(words):
+        return b"", np.zeros(1, dtype=np.int64)
+    stops = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    return words.buffers()[2][int(stops[0]) : int(stops[-1])].to_pybytes(), stops - stops[0]
+
+
+def _listed(data: bytes) -> list[bytes]:
+    """Words, without the spaces, of bytes that have a space behind each word."""
+    return data.split(b" ")[:-1]
+
+
+def _pieces(texts: Iterable[bytes | None]) -> Iterator[list[bytes]]:
+    """Bodies of texts in lists of about PIECE bytes, none cut."""
+    bodies, size = [], 0
+    for text in texts:
+        bodies.append(_body(text))
+        size += len(bodies[-1])
+        if size >= PIECE:
+            yield bodies
+            bodies, size = [], 0
+    if bodies:
+        yield bodies
 
 
 def _keys(texts: Iterable[bytes | None]):
@@ -66,18 +112,16 @@ def _keys(texts: Iterable[bytes | None]):
     parts, index, size = [], [], 0
 
     def slice_():
-        data = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
+        data = b"\0" * (7 - ORDER) + b"".join(parts)  # 8 bytes are read at each place, the last ORDER + 1 of them kept
         n = np.array([len(p) for p in parts])
-        symbol = np.ones(len(data), dtype=bool)
+        key = np.ndarray(len(data) - 7, ">i8", data, strides=(1,)).astype(np.int64)
+        key &= (1 << 8 * (ORDER + 1)) - 1
+        symbol = np.ones(len(data) - 7 + ORDER, dtype=bool)
         symbol[((np.cumsum(n) - n)[:, None] + np.arange(ORDER)).ravel()] = False
-        key, size = data, 1  # the bytes that end at a place: size of them, joined with as many before, which may overlap
-        while size <= ORDER:
-            more = min(size, ORDER + 1 - size)
-            key, size = key[more:] | key[:-more] << 8 * more, size + more
         return key[symbol[ORDER:]], np.repeat(index, n - ORDER)
 
     for i, text in enumerate(texts):
-        body = b" ".join(_words(text)) + bytes([END])
+        body = _body(text) + bytes([END])
         before = pad
         for low in range(0, len(body), SLICE):
             parts.append(before + body[low : low + SLICE])
@@ -106,10 +150,35 @@ def _distinct(keys: np.ndarray) -> np.ndarray:
     return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
 
 
+def _finder(keys: np.ndarray):
+    """A function from keys to their places in these distinct sorted ones, all of which it knows. A table holds one key for
+    each hash, a second one most of the others; the rest is searched for."""
+    tables, left = [], np.arange(len(keys), dtype=np.int32)
+    for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        factor, shift = np.uint64(factor), np.uint64(64 - (4 * len(left) + 1).bit_length())
+        slot, at = np.zeros(1 << 64 - int(shift), dtype=np.int32), (keys[left].view(np.uint64) * factor >> shift).view(np.int64)
+        slot[at] = left
+        tables.append((factor, shift, slot))
+        left = left[slot[at] != left]
+
+    return lambda asked: _find(keys, tables, asked)
+
+
+def _find(keys: np.ndarray, tables: list[tuple], asked: np.ndarray) -> np.ndarray:
+    if not tables:
+        return np.searchsorted(keys, asked)
+    factor, shift, slot = tables[0]
+    at = slot.take((asked.view(np.uint64) * factor >> shift).view(np.int64), mode="clip")  # far faster than with checks
+    other = np.flatnonzero(keys.take(at, mode="clip") != asked)
+    if len(other):
+        at[other] = _find(keys, tables[1:], asked[other])
+    return at
+
+
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
     """A power of two of shards, by the bytes LOW + 1 to 1 of the context."""
     context = keys >> 8 & (1 << 8 * (LOW + 1)) - 1
-    return ((context.astype(np.uint32) * np.uint32(2654435761)).astype(np.uint64) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+    return ((context.astype(np.uint32) * np.uint32(2654435761)).astype(np.uint64) * np.uint64(shards) >> np.uint64(32)).astype(np.uint16)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -121,46 +190,40 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
 
 
-def _pack_words(words: list[bytes]) -> bytes:
-    return zstandard.compress(b"\n".join(words), 1)
-
-
-def _unpack_words(data: bytes) -> list[bytes]:
-    return zstandard.decompress(data).split(b"\n")
-
-
 def _by_number(shard: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """A stable order by shard, and (shard, first, stop) of each in that order."""
+    """A stable order by shard (16 bits, which NumPy sorts by radix), and (shard, first, stop) of each in that order."""
     order = np.argsort(shard, kind="stable")
     shard = shard[order]
     start = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
     return order, [*zip(shard[start].tolist(), start.tolist(), [*start[1:].tolist(), len(shard)])]
 
 
-def _word_shard(words: list[bytes], shards: int) -> np.ndarray:
-    """Shards of words, behind those of keys."""
-    return shards + (np.fromiter(map(zlib.crc32, words), np.int64, len(words)) & shards - 1)
+def _by_word(words: pa.Array, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of distinct words by shard, then by bytes, and (shard, first, stop) of each; shards are behind those of keys."""
+    listed = _listed(_joined(words)[0])
+    rank = pc.sort_indices(words).to_numpy().astype(np.int64)
+    order, parts = _by_number((np.fromiter(map(zlib.crc32, listed), np.int64, len(listed)) & shards - 1).astype(np.uint16)[rank])
+    return rank[order], [(shards + i, low, high) for i, low, high in parts]
 
 
-def _rows(keys: np.ndarray, counts: np.ndarray | None, words: list[bytes], n: np.ndarray | None, chunk: int, shards: int) -> pa.RecordBatch:
-    """A row (shard, chunk, keys, vals) for each shard of sorted keys and of sorted words."""
+def _rows(keys: np.ndarray, counts: np.ndarray | None, words: pa.Array, n: np.ndarray | None, chunk: int, shards: int) -> pa.RecordBatch:
+    """A row (shard, chunk, keys, vals) for each shard of sorted keys and of distinct words."""
     order, parts = _by_number(_shard(keys, shards))
     keys, counts = keys[order], None if counts is None else counts[order]
     rows = [(i, chunk, _pack(keys[low:high]), b"" if counts is None else _pack(counts[low:high])) for i, low, high in parts]
-    order, parts = _by_number(_word_shard(words, shards))
-    words, n = [words[i] for i in order], None if n is None else n[order]
-    rows += [(i, chunk, _pack_words(words[low:high]), b"" if n is None else _pack(n[low:high])) for i, low, high in parts]
+    order, parts = _by_word(words, shards)
+    (data, at), n = _joined(words.take(pa.array(order))), None if n is None else n[order]
+    rows += [(i, chunk, zstandard.compress(data[at[low] : at[high]], 1), b"" if n is None else _pack(n[low:high])) for i, low, high in parts]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PACKED)] if rows else [pa.nulls(0, f.type) for f in _PACKED], schema=_PACKED)
 
 
 _PACKED = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary())])
 _PACKED_DDL = "shard int, chunk long, keys binary, vals binary"
-_NO_KEYS = np.zeros(0, dtype=np.int64)
+_NO_KEYS, _NO_WORDS = np.zeros(0, dtype=np.int64), _split(b"")
 
 
 def _word_rows(counts: Counter, shards: int) -> pa.RecordBatch:
-    words = sorted(counts)
-    return _rows(_NO_KEYS, None, words, np.array([counts[w] for w in words], dtype=np.int64), -1, shards)
+    return _rows(_NO_KEYS, None, _split(b" ".join([*counts, b""])), np.fromiter(counts.values(), np.int64, len(counts)), -1, shards)
 
 
 def _count(shards: int):
@@ -168,29 +231,38 @@ def _count(shards: int):
 
     def run(batches):
         keys, counts, size, words = [], [], 0, Counter()
+        held, raw = [], 0
 
-        def told(column):
-            for text in column:
-                text = text.as_py()
-                words.update(_words(text))
-                yield text
+        def counted():
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            keys.append(key), counts.append(n), held.clear()
+            return len(key)
 
-        for b in batches:
-            for key, _ in _keys(told(b.column(0))):
-                if len(words) > WORDS:
-                    yield _word_rows(words, shards)
-                    words.clear()
-                key, n = np.unique(key, return_counts=True)
-                keys.append(key), counts.append(n)
-                size += len(key)
+        for bodies in _pieces(text.as_py() for b in batches for text in b.column(0)):
+            code = _words(bodies)[0].dictionary_encode()
+            for word, n in zip(_listed(_joined(code.dictionary)[0]), np.bincount(code.indices.to_numpy()).tolist()):
+                words[word] += n
+            del code
+            pa.default_memory_pool().release_unused()
+            if len(words) > WORDS:
+                yield _word_rows(words, shards)
+                words.clear()
+            for key, _ in _keys(bodies):
+                held.append(key)
+                raw += len(key)
+                if raw <= KEYS:
+                    continue
+                size, raw = size + counted(), 0
                 if size > KEYS:
                     key, n = _summed(keys, counts)
                     keys, counts, size = [key], [n], len(key)
                     if len(key) > KEYS // 2:
-                        yield _rows(key, n, [], None, -1, shards)
+                        yield _rows(key, n, _NO_WORDS, None, -1, shards)
                         keys, counts, size = [], [], 0
+        if held:
+            counted()
         if keys:
-            yield _rows(*_summed(keys, counts), [], None, -1, shards)
+            yield _rows(*_summed(keys, counts), _NO_WORDS, None, -1, shards)
         if words:
             yield _word_rows(words, shards)
 
@@ -222,7 +294,7 @@ def _merge(shards: int):
     def take(state, _, keys, counts):
         if state["shard"] >= shards:
             words = state.setdefault("words", Counter())
-            for word, n in zip(_unpack_words(keys), _unpack(counts).tolist()):
+            for word, n in zip(_listed(zstandard.decompress(keys)), _unpack(counts).tolist()):
                 words[word] += n
             return ()
         state.setdefault("keys", []).append(_unpack(keys)), state.setdefault("counts", []).append(_unpack(counts))
@@ -236,7 +308,7 @@ def _merge(shards: int):
         if state["shard"] >= shards:
             yield _word_rows(state["words"], shards)
         else:
-            yield _rows(*_summed(state["keys"], state["counts"]), [], None, -1, shards)
+            yield _rows(*_summed(state["keys"], state["counts"]), _NO_WORDS, None, -1, shards)
 
     return _by_shard(take, done)
 
@@ -317,23 +389,49 @@ def _answer(low: dict, discount: dict, shards: int):
     """Shards and, behind each, what chunks ask of it to rows (chunk, shard, vals): logarithms of probabilities, or counts."""
     short = _prepared(low, discount)
 
-    def answered(state, keys):
+    def logarithms(state, asked):
+        prepared = [*short, *state.get("long", [])]
+        return np.log10(_probabilities(asked, np.full(len(asked), 1 / 256), prepared)).astype(np.float32)
+
+    def values(state, asked):
+        """What is asked for is mostly in the trie, of whose keys each is computed once, whoever asks for it."""
+        if "keys" not in state:
+            return logarithms(state, asked)
+        if "known" not in state:
+            state["known"] = logarithms(state, state["keys"])
+        leaf = np.minimum(np.searchsorted(state["keys"], asked), len(state["keys"]) - 1)
+        out, other = state["known"][leaf], np.flatnonzero(state["keys"][leaf] != asked)
+        if len(other):
+            out[other] = logarithms(state, asked[other])
+        return out
+
+    def told(state):
+        chunks, asked = state.pop("chunks", []), state.pop("asked", [])
+        state["size"] = 0
+        if not chunks:
+            return
         if state["shard"] >= shards:
             known = state.get("words", {})
-            return _pack(np.array([known.get(w, 0) for w in _unpack_words(keys)], dtype=np.int64))
-        asked = _unpack(keys)
-        p = _probabilities(asked, np.full(len(asked), 1 / 256), [*short, *state.get("long", [])])
-        return np.log10(p).astype(np.float32).tobytes()
+            vals = [_pack(np.array([known.get(w, 0) for w in words], dtype=np.int64)) for words in asked]
+        else:
+            stops = np.cumsum([len(keys) for keys in asked])
+            vals = [x.tobytes() for x in np.split(values(state, np.concatenate(asked)), stops[:-1])]
+        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array([state["shard"]] * len(chunks), pa.int32()), pa.array(vals, pa.binary())], names=["chunk", "shard", "vals"])
 
     def take(state, chunk, keys, counts):
+        words = state["shard"] >= shards
+        keys = _listed(zstandard.decompress(keys)) if words else _unpack(keys)
         if chunk >= 0:
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([state["shard"]], pa.int32()), pa.array([answered(state, keys)], pa.binary())], names=["chunk", "shard", "vals"])
-        elif state["shard"] >= shards:
-            state["words"] = dict(zip(_unpack_words(keys), _unpack(counts).tolist()))
+            state.setdefault("chunks", []).append(chunk), state.setdefault("asked", []).append(keys)
+            state["size"] = state.get("size", 0) + len(keys)
+            if state["size"] >= ASKED:
+                yield from told(state)
+        elif words:
+            state["words"] = dict(zip(keys, _unpack(counts).tolist()))
         else:
-            state["long"] = _prepared(_levels(_unpack(keys), _unpack(counts), ORDER, LOW + 1), discount)
+            state["keys"], state["long"] = keys, _prepared(_levels(keys, _unpack(counts), ORDER, LOW + 1), discount)
 
-    return _by_shard(take, lambda state: ())
+    return _by_shard(take, told)
 
 
 class Model:
@@ -351,25 +449,22 @@ def train(docs: DataFrame, text_col="text") -> Model:
     return Model(common.stage(parts.mapInArrow(_merge(shards), _PACKED_DDL), "trie"), size.n, shards)
 
 
-def _needed(texts: list[bytes | None]) -> tuple[np.ndarray, list[bytes]]:
-    """The distinct keys and words of texts, sorted."""
-    words: set[bytes] = set()
-    for text in texts:
-        words.update(_words(text))
+def _needed(bodies: list[bytes]) -> np.ndarray:
+    """The distinct keys of texts, sorted."""
     keys, held = _NO_KEYS, []
-    for key, _ in _keys(texts):
+    for key, _ in _keys(bodies):
         held.append(_distinct(key))
         if sum(map(len, held)) > KEYS:
             keys, held = _distinct(np.concatenate([keys, *held])), []
-    return _distinct(np.concatenate([keys, *held])), sorted(words)
+    return _distinct(np.concatenate([keys, *held]))
 
 
 def _ask(shards: int):
     """What a chunk needs of each shard."""
 
     def run(table):
-        keys, words = _needed(table["text"].to_pylist())
-        return pa.Table.from_batches([_rows(keys, None, words, None, table["chunk"][0].as_py(), shards)])
+        bodies = [_body(text) for text in table["text"].to_pylist()]
+        return pa.Table.from_batches([_rows(_needed(bodies), None, _words(bodies)[0].unique(), None, table["chunk"][0].as_py(), shards)])
 
     return run
 
@@ -378,34 +473,28 @@ def _score_chunk(total: int, distinct: int, end: int, shards: int, out: pa.Schem
     def run(docs, answers):
         if not docs.num_rows:
             return out.empty_table()
-        texts = docs["text"].to_pylist()
-        words_of = [_words(text) for text in texts]
-        words = sorted(set(chain.from_iterable(words_of)))
-        number = {w: i for i, w in enumerate(words)}
-        places = [np.fromiter(map(number.__getitem__, some), np.int32, len(some)) for some in words_of]
-        del words_of, number
-        slices = []
-        for key, owner in _keys(texts):
-            order = np.argsort(key)
-            key = key[order]
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-            slices.append((key[new], (np.cumsum(new) - 1).astype(np.int32), owner[order].astype(np.int32)))
-        keys = _distinct(np.concatenate([key for key, _, _ in slices]))
+        bodies = [_body(text) for text in docs["text"].to_pylist()]
         got = sorted(zip(answers["shard"].to_pylist(), answers["vals"].to_pylist()))  # in the order in which it was asked
-        logp, count = np.empty(len(keys)), np.empty(len(words), dtype=np.int64)
-        logp[_by_number(_shard(keys, shards))[0]] = np.frombuffer(b"".join(x for i, x in got if i < shards), np.float32)
-        if words:
-            count[_by_number(_word_shard(words, shards))[0]] = np.concatenate([_unpack(x) for i, x in got if i >= shards])
+        words, n = _words(bodies)
+        words = words.dictionary_encode()
+        count = np.empty(len(words.dictionary), dtype=np.int64)
+        if len(count):
+            count[_by_word(words.dictionary, shards)[0]] = np.concatenate([_unpack(x) for i, x in got if i >= shards])
+        code, owner = words.indices.to_numpy(), np.repeat(np.arange(len(bodies)), n)
         base = np.log10((count + 1.0) / (total + distinct + 1.0))
-        score = np.zeros(len(texts))
-        for asked, at, owner in slices:
-            score += np.bincount(owner, weights=logp[np.searchsorted(keys, asked)][at], minlength=len(texts))
-        tokens, seen, base_sum = [], [], []
-        for at in places:
-            tokens.append(len(at) + 1)
-            seen.append(int((count[at] > 0).sum()) + (end > 0))
-            base_sum.append(float(base[at].sum()) + math.log10((end + 1) / (total + distinct + 1)))
-        return pa.table([docs["doc_id"], docs["held_out"], pa.array(tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array([total] * len(texts), pa.int64()), pa.array(base_sum), pa.array(score)], schema=out)
+        base_sum = np.bincount(owner, weights=base[code], minlength=len(bodies)) + math.log10((end + 1) / (total + distinct + 1))
+        seen = np.bincount(owner, weights=count[code] > 0, minlength=len(bodies)).astype(np.int64) + (end > 0)
+        del words, count, base, code, owner
+        pa.default_memory_pool().release_unused()
+        keys = _needed(bodies)
+        logp = np.empty(len(keys))
+        logp[_by_number(_shard(keys, shards))[0]] = np.frombuffer(b"".join(x for i, x in got if i < shards), np.float32)
+        del got
+        score, find = np.zeros(len(bodies)), _finder(keys)
+        for key, owner in _keys(bodies):
+            first, last = owner[0], owner[-1]
+            score[first : last + 1] += np.bincount(owner - first, weights=logp.take(find(key), mode="clip"))
+        return pa.table([docs["doc_id"], docs["held_out"], pa.array(n + 1), pa.array(seen), pa.array([total] * len(bodies), pa.int64()), pa.array(base_sum), pa.array(score)], schema=out)
 
     return run
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,6 +197,40 @@ def test_lm_keys_by_slice(monkeypatch):
     assert [sum(x, []) for x in parts] == [*whole[0]]
 
 
+def test_lm_known_keys_are_computed_once(monkeypatch):
+    """However many chunks ask for a key of the trie, its probability is computed once; all answers are as computed alone."""
+    counted = pa.Table.from_batches(lm_ppm._count(1)([pa.record_batch({"text": [b"abracadabra abra", b"cad bra", None]})]))
+    asked = [lm_ppm._ask(1)(pa.table({"text": [b"Abra  zebra"], "chunk": [i]})) for i in range(20)]
+    trie = [lm_ppm._unpack(counted[c][0].as_py()) for c in ("keys", "vals")]
+    levels = lm_ppm._levels(*trie, lm_ppm.ORDER, 0)
+    discount = lm_ppm.discounts(lm_ppm._numbers(levels))
+    sizes, compute = [], lm_ppm._probabilities
+    monkeypatch.setattr(lm_ppm, "_probabilities", lambda keys, *a: sizes.append(len(keys)) or compute(keys, *a))
+    rows = pa.concat_tables([counted, *asked]).sort_by([("shard", "ascending"), ("chunk", "ascending")])
+    got = pa.Table.from_batches(lm_ppm._answer({j: levels[j] for j in range(lm_ppm.LOW + 1)}, discount, 1)(rows.to_batches()))
+    keys = lm_ppm._unpack(asked[0]["keys"][0].as_py())
+    other = len(np.setdiff1d(keys, trie[0]))
+    assert 0 < other < len(keys) and sum(sizes) <= len(trie[0]) + 20 * other
+    alone = np.log10(compute(keys, np.full(len(keys), 1 / 256), lm_ppm._prepared(levels, discount))).astype(np.float32)
+    for shard, expected in ((0, alone.tolist()), (1, [1, 0])):  # abra is a word of the training texts
+        answers = [(r["chunk"], r["vals"]) for r in got.to_pylist() if r["shard"] == shard]
+        assert sorted(c for c, _ in answers) == [*range(20)]
+        assert all((lm_ppm._unpack(v) if shard else np.frombuffer(v, np.float32)).tolist() == expected for _, v in answers)
+
+
+def test_lm_words_and_places():
+    """Bodies, words and places of keys are those of plain Python, also where hashes collide."""
+    texts = [None, b"", b" \t\r\n\x0b\x0c", b"  A\tb  C ", "É\u00a0é \x00\x1f\u2028x".encode(), b"a" * 999 + b" " * 999 + b"Z"]
+    bodies = [lm_ppm._body(t) for t in texts]
+    assert bodies == [b" ".join((t or b"").lower().split()) for t in texts]
+    words, n = lm_ppm._words(bodies)
+    assert [w.as_py() for w in words] == [w + b" " for b in bodies for w in b.split()] and n.tolist() == [len(b.split()) for b in bodies]
+    for size in (0, 1, 2, 50_000):
+        keys = np.unique(np.random.default_rng(size).integers(0, 1 << 56, size))
+        asked = np.random.default_rng(1).permutation(np.repeat(keys, 2))
+        assert (lm_ppm._finder(keys)(asked) == np.searchsorted(keys, asked)).all()
+
+
 @pytest.mark.parametrize("sf", ["0.01", "0.1"])
 def test_lm_beats_base_on_held_out(spark, sf):
     got = lm_ppm.query(spark, f"/root/testdata/sf{sf}").where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base"), F.max("score").alias("most")).first()
